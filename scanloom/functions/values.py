@@ -26,7 +26,7 @@ BASELINE_JPEG = "1.2.840.10008.1.2.4.50"
 
 def parse_frame_list(text: Column) -> Column:
     """``"1-3,17"`` to sorted distinct frame numbers, or an error. Empty text means frame 1."""
-    parts = F.transform(F.split(text, ","), F.trim)
+    parts = F.transform(F.split(text, ","), lambda p: F.trim(p))
 
     def bounds(part: Column) -> Column:
         sides = F.split(part, "-")
@@ -77,6 +77,11 @@ def parse_duration(text: Column) -> Column:
     return F.when(num >= 0, F.floor(num * scale + 0.5).cast("bigint"))
 
 
+def base64_text(data: Column) -> Column:
+    """Base64 in one line."""
+    return F.regexp_replace(F.base64(data), "\r\n", "")
+
+
 def bulk_uri(data: Column) -> Column:
     return F.concat(F.lit("../../../../bulkdata/"), bulk_path(F.sha2(data, 256)))
 
@@ -90,7 +95,7 @@ def externalize(
     out = vr.isin(*vrs) & (code != "7FE00010") & (F.octet_length(data) >= limit)
     return F.struct(
         F.when(out, bulk_uri(data)).alias("BulkDataURI"),
-        F.when(~out, F.base64(data)).alias("InlineBinary"),
+        F.when(~out, base64_text(data)).alias("InlineBinary"),
     )
 
 
@@ -114,7 +119,7 @@ def value_size(value: Column, dtype: T.DataType) -> Column:
 def inline_binary(chunks: Column) -> Column:
     """Byte chunks concatenated, as base64."""
     empty = F.lit(b"")
-    return F.base64(F.aggregate(chunks, empty, lambda acc, x: F.concat(acc, x)))
+    return base64_text(F.aggregate(chunks, empty, lambda acc, x: F.concat(acc, x)))
 
 
 def frame_bytes(rows: Column, columns: Column, samples: Column, bits_allocated: Column) -> Column:
@@ -173,7 +178,7 @@ def image_class(
         (rep == 1).alias("signed"),
         yes(photometric.isin(*COLOR_PHOTOMETRIC)).alias("color"),
         yes((bits == 8) & (syntax == BASELINE_JPEG) & samples.isin(3, 4)).alias("baseline_jpeg_color"),
-        ~yes(sop_class.isin(*NO_MODALITY_LUT)).alias("modality_lut"),
+        (~yes(sop_class.isin(*NO_MODALITY_LUT))).alias("modality_lut"),
     )
 
 

@@ -118,6 +118,12 @@ def latest_per_key(df: DataFrame, keys: list[str], version: list[Column]) -> Dat
     return df.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
 
 
+def first_per_key(df: DataFrame, keys: list[str], version: list[Column]) -> DataFrame:
+    """Oldest row per key, in the same way."""
+    oldest = Window.partitionBy(*keys).orderBy(*[v.asc_nulls_first() for v in version])
+    return df.withColumn("_rank", F.row_number().over(oldest)).where("_rank = 1").drop("_rank")
+
+
 def middle_element(
     df: DataFrame, keys: list[str], order: list[Column], frames: str | None = None
 ) -> DataFrame:

@@ -1,6 +1,8 @@
 """All registered queries."""
 
-from scanloom.plans import hierarchy_queries  # noqa: F401
+from scanloom.plans import (  # noqa: F401
+    dedup_queries, filter_queries, hierarchy_queries, index_queries, sync_queries, value_queries,
+)
 from scanloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
