@@ -119,13 +119,11 @@ def denaturalize(ds: Column) -> Column:
 
 def project(ds: Column, keywords: list[str]) -> Column:
     """Attributes of a tag set that the dataset has."""
-    wanted = F.array(*[F.lit(tag(k)) for k in keywords])
-    return F.map_filter(ds, lambda k, _: F.array_contains(wanted, k))
+    return F.map_filter(ds, lambda k, _: k.isin(*[tag(w) for w in keywords]))
 
 
 def without(ds: Column, keywords: list[str]) -> Column:
-    unwanted = F.array(*[F.lit(tag(k)) for k in keywords])
-    return F.map_filter(ds, lambda k, _: ~F.array_contains(unwanted, k))
+    return F.map_filter(ds, lambda k, _: ~k.isin(*[tag(w) for w in keywords]))
 
 
 def escape_part(col: Column) -> Column:

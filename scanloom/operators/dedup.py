@@ -26,13 +26,14 @@ INSTANCE = "instance"
 
 def split_extracts(instances: DataFrame, extractors: Mapping[str, list[str]] = EXTRACTORS) -> DataFrame:
     """Add ``parts``: the shared extracts of each instance as ``array<struct<type, hash, ds>>``."""
-    ds, taken, parts = F.col("ds"), set(), []
+    taken, extracts, parts = set(), {}, []
     for kind, keywords in extractors.items():
-        own = [k for k in keywords if k not in taken]
+        name = f"_{kind}"
+        extracts[name] = project(F.col("ds"), [k for k in keywords if k not in taken])
         taken.update(keywords)
-        extract = project(ds, own)
-        parts.append(F.struct(F.lit(kind).alias("type"), content_hash(extract).alias("hash"), extract.alias("ds")))
-    return instances.withColumn("parts", F.array(*parts))
+        part = F.struct(F.lit(kind).alias("type"), content_hash(F.col(name)).alias("hash"), F.col(name).alias("ds"))
+        parts.append(part)
+    return instances.withColumns(extracts).withColumn("parts", F.array(*parts)).drop(*extracts)
 
 
 def extracts_of(split: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanloom.functions.paths import retrieve_url
 from scanloom.operators.ordering import sliced, with_ordinal
@@ -220,5 +221,5 @@ def pack_groups(
         left["group_no"] = groups
         return left[[*keep, "group_no"]]
 
-    schema = placed.select(*keep).schema.add("group_no", "bigint")
+    schema = placed.select(*keep).schema.add("group_no", T.LongType())
     return placed.groupBy("_slice", bucket).cogroup(starts.groupBy("_slice", bucket)).applyInPandas(assign, schema)
