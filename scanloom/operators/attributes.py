@@ -8,11 +8,39 @@ from pyspark.sql import functions as F
 from scanloom.model import AVAILABLE_TRANSFER_SYNTAX, BINARY_VRS
 
 
-def _members(df: DataFrame, document: str) -> DataFrame:
-    """One row per member of a VARIANT object column, as ``tag`` and ``attr``."""
-    as_map = F.try_variant_get(F.col(document), "$", "map<string,variant>")
-    kept = [c for c in df.columns if c != document]
-    return df.select(*kept, F.explode(as_map).alias("tag", "attr"))
+MEMBER = "array<struct<path:string,tag:string,attr:variant,nested:boolean>>"
+
+
+def _members(document: Column, path: Column) -> Column:
+    """Members of a VARIANT object as :data:`MEMBER`."""
+    entries = F.map_entries(F.try_variant_get(document, "$", "map<string,variant>"))
+    return F.transform(
+        entries,
+        lambda e: F.struct(
+            path.alias("path"), e["key"].alias("tag"), e["value"].alias("attr"), _is_sequence(e["value"]).alias("nested")
+        ),
+    )
+
+
+def _is_sequence(attr: Column) -> Column:
+    is_sq = F.try_variant_get(attr, "$.vr", "string") == "SQ"
+    return F.coalesce(is_sq & F.try_variant_get(attr, "$.Value", "array<variant>").isNotNull(), F.lit(False))
+
+
+def _items(members: Column) -> Column:
+    """Members of all items of the sequences among ``members``."""
+
+    def of_sequence(m: Column) -> Column:
+        prefix = F.when(m["path"] == "", "").otherwise(F.concat(m["path"], F.lit("/")))
+        return F.flatten(F.transform(
+            F.try_variant_get(m["attr"], "$.Value", "array<variant>"),
+            lambda item, at: F.coalesce(
+                _members(item, F.concat(prefix, m["tag"], F.lit("["), at.cast("string"), F.lit("]"))),
+                F.array().cast(MEMBER),
+            ),
+        ))
+
+    return F.flatten(F.transform(F.filter(members, lambda m: m["nested"]), of_sequence))
 
 
 def explode_attributes(docs: DataFrame, keys: list[str], document: str, depth: int = 3) -> DataFrame:
@@ -20,32 +48,23 @@ def explode_attributes(docs: DataFrame, keys: list[str], document: str, depth: i
 
     ``path`` names the enclosing sequence items (``00101002[0]/...``); ``values`` is an
     array of VARIANT, ``raw`` the attribute itself. Sequences nested deeper than ``depth``
-    stay whole in ``raw`` of their row.
+    stay whole in ``raw`` of their row. Each document is taken apart once, in its row.
     """
-    level = _members(docs.select(*keys, F.lit("").alias("path"), F.col(document).alias("_doc")), "_doc")
-    out = None
-    for at in range(depth + 1):
-        vr = F.try_variant_get("attr", "$.vr", "string")
-        rows = level.select(
-            *keys, "path", "tag", vr.alias("vr"),
-            F.try_variant_get("attr", "$.Value", "array<variant>").alias("values"),
-            F.try_variant_get("attr", "$.InlineBinary", "string").alias("inline_binary"),
-            F.try_variant_get("attr", "$.BulkDataURI", "string").alias("bulk_uri"),
-            F.col("attr").alias("raw"),
-        )
-        nested = (F.coalesce(F.col("vr"), F.lit("")) == "SQ") & F.col("values").isNotNull()
-        last = at == depth
-        flat = rows if last else rows.where(~nested)
-        out = flat if out is None else out.unionByName(flat)
-        if last:
-            break
-        items = rows.where(nested).select(
-            *keys, "path", "tag", F.posexplode("values").alias("pos", "_doc")
-        )
-        prefix = F.when(F.col("path") == "", "").otherwise(F.concat(F.col("path"), F.lit("/")))
-        item = F.concat(prefix, F.col("tag"), F.lit("["), F.col("pos").cast("string"), F.lit("]"))
-        level = _members(items.select(*keys, item.alias("path"), "_doc"), "_doc")
-    return out
+    df = docs.select(*keys, F.coalesce(_members(F.col(document), F.lit("")), F.array().cast(MEMBER)).alias("_0"))
+    for level in range(1, depth + 1):
+        df = df.withColumn(f"_{level}", _items(F.col(f"_{level - 1}")))
+    flat = [F.filter(f"_{n}", lambda m: ~m["nested"]) for n in range(depth)] + [F.col(f"_{depth}")]
+    # Outer, so that no "not empty" filter repeats the work below the explode.
+    rows = df.select(*keys, F.explode_outer(F.concat(*flat)).alias("m")).where("m IS NOT NULL")
+    attr = F.col("m.attr")
+    return rows.select(
+        *keys, "m.path", "m.tag",
+        F.try_variant_get(attr, "$.vr", "string").alias("vr"),
+        F.try_variant_get(attr, "$.Value", "array<variant>").alias("values"),
+        F.try_variant_get(attr, "$.InlineBinary", "string").alias("inline_binary"),
+        F.try_variant_get(attr, "$.BulkDataURI", "string").alias("bulk_uri"),
+        attr.alias("raw"),
+    )
 
 
 def _kind(value: Column) -> Column:

@@ -38,7 +38,9 @@ def split_extracts(instances: DataFrame, extractors: Mapping[str, list[str]] = E
 
 def extracts_of(split: DataFrame) -> DataFrame:
     """Each distinct extract once: ``(hash, type, ds)``; copies combine before the shuffle."""
-    rows = split.select(F.explode("parts").alias("p")).select("p.*")
+    # The array is never empty. The outer form keeps Spark from adding a "not empty" filter,
+    # which would compute every extract a second time below the explode.
+    rows = split.select(F.explode_outer("parts").alias("p")).select("p.*")
     return rows.groupBy("hash").agg(F.min("type").alias("type"), F.any_value("ds").alias("ds"))
 
 
@@ -211,6 +213,13 @@ def split_study(instances: DataFrame, moved: DataFrame, new_study: Column) -> Da
     return rest.unionByName(tombstones.select(*rest.columns)).unionByName(rekeyed.select(*rest.columns))
 
 
+def extracts_used(instances: DataFrame, extractors: Mapping[str, list[str]] = EXTRACTORS) -> DataFrame:
+    """``(study_uid, type, hash)`` of every reference; the position of a ref tells its type."""
+    kinds = F.array(*[F.lit(k) for k in extractors])
+    refs = instances.select("study_uid", F.posexplode_outer("refs").alias("pos", "hash"))
+    return refs.select("study_uid", F.get(kinds, F.col("pos")).alias("type"), "hash")
+
+
 def dedup_stats(extracts_used: DataFrame, instances: DataFrame) -> DataFrame:
     """Per study: distinct extracts by type, instances, and the hash of the instance set.
 

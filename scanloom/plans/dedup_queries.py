@@ -10,6 +10,7 @@ from scanloom.operators import dedup as D
 from scanloom.operators import hierarchy as H
 from scanloom.plans import view as V
 from scanloom.plans.registry import query, table
+from scanloom.session import settle
 
 KEYS = ["study_uid", "series_uid", "sop_uid"]
 
@@ -94,7 +95,9 @@ def deduplicate_references(spark, folder):
 @query("recombine", f"""WITH {V.SQL_INSTANCES},{V.SQL_STUDIES}
 SELECT sop_uid, {FULL} AS content FROM instances JOIN studies USING (study_uid)""")
 def recombine(spark, folder):
-    extracts, inst = D.deduplicate(datasets(spark, folder))
+    # Both results come from one pass, as they would from the stored archive.
+    split = settle(D.split_extracts(datasets(spark, folder)))
+    extracts, inst = D.extracts_of(split), D.references_of(split)
     return D.recombine(inst, extracts, KEYS).select("sop_uid", G.canonical_text(F.col("ds")).alias("content"))
 
 
@@ -107,7 +110,7 @@ def extractors(spark, folder):
     """De-duplication with other tag sets than the default ones."""
     sets = {"series": SERIES_EXTRACT, "pixel": ["Rows", "Columns"]}
     split = D.split_extracts(datasets(spark, folder), sets)
-    used = split.select(F.explode("parts").alias("p")).select("p.hash", "p.type")
+    used = split.select(F.explode_outer("parts").alias("p")).select("p.hash", "p.type")
     return used.groupBy("hash", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -117,9 +120,9 @@ SELECT study_uid, count(*) AS n_instances, {sql_set_hash("hash")} AS info_hash,
        count(DISTINCT patient) AS n_patient, count(DISTINCT study) AS n_study, count(DISTINCT series) AS n_series,
        count(DISTINCT image) AS n_image FROM refs GROUP BY study_uid""")
 def dedup_stats(spark, folder):
-    split = D.split_extracts(datasets(spark, folder))
-    used = split.select("study_uid", F.explode("parts").alias("p")).select("study_uid", "p.type", "p.hash")
-    return D.dedup_stats(used, D.references_of(split))
+    _, inst = D.deduplicate(datasets(spark, folder))
+    inst = settle(inst.select("study_uid", "refs", "hash"))
+    return D.dedup_stats(D.extracts_used(inst), inst)
 
 
 @query("new_instances_only", """

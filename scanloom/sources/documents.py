@@ -85,7 +85,7 @@ def as_datasets(documents: DataFrame, column: str = "document") -> DataFrame:
     many = F.try_variant_get(column, "$", "array<variant>")
     single = F.when(many.isNull(), F.array(F.col(column))).otherwise(many)
     kept = [c for c in documents.columns if c != column]
-    rows = documents.select(*kept, F.explode(single).alias("_doc"))
+    rows = documents.select(*kept, F.explode_outer(single).alias("_doc")).where("_doc IS NOT NULL")
     return rows.select(*kept, F.from_json(F.to_json("_doc"), DATASET_TYPE).alias("ds"))
 
 

@@ -71,64 +71,56 @@ def write_bulkdata(rows: DataFrame, path: str, existing: DataFrame | None = None
     placed.repartitionByRange("hash").write.mode("append").partitionBy("prefix").parquet(path)
 
 
-def xml_escape(text: Column) -> Column:
+def xml_escape(text: Column, breaks: bool = False) -> Column:
     out = F.replace(text, F.lit("&"), F.lit("&amp;"))
-    return F.replace(F.replace(out, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    out = F.replace(F.replace(out, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.replace(F.replace(out, F.lit("\r"), F.lit("&#13;")), F.lit("\n"), F.lit("&#10;")) if breaks else out
 
 
-def _element(tag: Column, vr: Column, lines: Column) -> Column:
-    start = F.concat(F.lit('<DicomAttribute tag="'), tag, F.lit('" vr="'), vr, F.lit('">'))
-    return F.array_join(F.flatten(F.array(F.array(start), lines, F.array(F.lit("</DicomAttribute>")))), "\n")
-
+def _object_lines(document: Column, depth: int, one_line: bool) -> Column:
+    """XML lines of a VARIANT dataset, in tag order."""
+    by_tag = F.try_variant_get(document, "$", "map<string,variant>")
 
-def _value_lines(values: Column) -> Column:
-    return F.transform(
-        values,
-        lambda v, i: F.concat(
-            F.lit('<Value number="'), (i + 1).cast("string"), F.lit('">'), xml_escape(F.coalesce(v, F.lit(""))),
-            F.lit("</Value>"),
-        ),
-    )
+    def numbered(name: str, at: Column) -> Column:
+        return F.concat(F.lit(f'<{name} number="'), (at + 1).cast("string"), F.lit('">'))
 
+    def value(v: Column, at: Column) -> Column:
+        text = F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))
+        return F.array(F.concat(numbered("Value", at), xml_escape(text, one_line), F.lit("</Value>")))
 
-def _object_lines(document: Column, depth: int) -> Column:
-    """XML elements of a VARIANT dataset, in tag order."""
-    members = F.array_sort(F.map_keys(F.try_variant_get(document, "$", "map<string,variant>")))
-    by_tag = F.try_variant_get(document, "$", "map<string,variant>")
+    def item(v: Column, at: Column) -> Column:
+        inner = _object_lines(v, depth - 1, one_line)
+        return F.flatten(F.array(F.array(numbered("Item", at)), inner, F.array(F.lit("</Item>"))))
 
     def element(tag: Column) -> Column:
-        attr = by_tag[tag]
-        vr = F.try_variant_get(attr, "$.vr", "string")
-        values = F.try_variant_get(attr, "$.Value", "array<variant>")
-        plain = _value_lines(F.transform(values, lambda v: F.try_variant_get(v, "$", "string")))
+        vr = F.try_variant_get(by_tag[tag], "$.vr", "string")
+        values = F.try_variant_get(by_tag[tag], "$.Value", "array<variant>")
+        lines = F.flatten(F.transform(values, value))
         if depth > 0:
-            items = F.transform(
-                values,
-                lambda v, i: F.concat(
-                    F.lit('<Item number="'), (i + 1).cast("string"), F.lit('">\n'),
-                    F.array_join(F.array_append(_object_lines(v, depth - 1), F.lit("</Item>")), "\n"),
-                ),
-            )
-            plain = F.when(vr == "SQ", items).otherwise(plain)
-        return F.when(vr.isNotNull() & values.isNotNull(), _element(tag, vr, plain))
+            lines = F.when(vr == "SQ", F.flatten(F.transform(values, item))).otherwise(lines)
+        start = F.concat(F.lit('<DicomAttribute tag="'), tag, F.lit('" vr="'), vr, F.lit('">'))
+        whole = F.flatten(F.array(F.array(start), lines, F.array(F.lit("</DicomAttribute>"))))
+        return F.when(vr.isNotNull() & values.isNotNull(), whole)
 
-    return F.array_compact(F.transform(members, element))
+    return F.flatten(F.array_compact(F.transform(F.array_sort(F.map_keys(by_tag)), element)))
 
 
-def dataset_xml(document: Column, depth: int = 2) -> Column:
+def dataset_xml(document: Column, depth: int = 2, one_line: bool = False) -> Column:
     """Native-model XML of a VARIANT dataset; sequence items are nested down to ``depth``.
 
-    Built inside the row, without a shuffle. Markup characters in values are escaped.
+    Built inside the row, without a shuffle. Markup characters in values are escaped, in
+    the one-line form line breaks too.
     """
-    lines = F.flatten(F.array(F.array(F.lit(XML_HEAD)), _object_lines(document, depth), F.array(F.lit(XML_TAIL))))
-    return F.array_join(lines, "\n")
+    head = XML_HEAD.replace("\n", "") if one_line else XML_HEAD
+    lines = F.flatten(F.array(
+        F.array(F.lit(head)), _object_lines(document, depth, one_line), F.array(F.lit(XML_TAIL))
+    ))
+    return F.array_join(lines, "" if one_line else "\n")
 
 
 def write_xml(documents: DataFrame, column: str, path: str) -> None:
-    """Text files with one XML document per line; line breaks inside values are escaped."""
-    xml = F.regexp_replace(dataset_xml(F.col(column)), " \n xsi", " xsi")
-    one_line = F.replace(F.regexp_replace(xml, ">\n<", "><"), F.lit("\n"), F.lit("&#10;"))
-    documents.select(one_line.alias("value")).write.text(path)
+    """Text files with one XML document per line."""
+    documents.select(dataset_xml(F.col(column), one_line=True).alias("value")).write.text(path)
 
 
 def export_plan(
