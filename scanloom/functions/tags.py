@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.model import ATTRIBUTE_TYPE, TAGS, tag
+from scanloom.model import ATTRIBUTE_TYPE, TAGS, tag, tag_dictionary
 
 
 def attribute(vr: str | Column, values: Column) -> Column:
@@ -96,10 +96,15 @@ def is_private(code: Column) -> Column:
     return F.conv(F.substring(code, 1, 4), 16, 10).cast("bigint") % 2 == 1
 
 
-def with_vr(attributes: DataFrame, dictionary: DataFrame, code: str = "tag", vr: str = "vr") -> DataFrame:
-    """Explicit VR, else the dictionary's, else UN. ``dictionary`` has a fixed size."""
-    d = dictionary.select(F.col("tag").alias("_tag"), F.col("vr").alias("_vr"))
-    return attributes.join(F.broadcast(d), attributes[code] == d["_tag"], "left").select(
+def with_vr(attributes: DataFrame, dictionary: DataFrame | None = None, code: str = "tag", vr: str = "vr") -> DataFrame:
+    """Explicit VR, else the dictionary's, else UN.
+
+    The built-in dictionary has a fixed size and is broadcast; for a given one Spark
+    decides by its size.
+    """
+    d = F.broadcast(tag_dictionary(attributes.sparkSession)) if dictionary is None else dictionary
+    d = d.select(F.col("tag").alias("_tag"), F.col("vr").alias("_vr"))
+    return attributes.join(d, attributes[code] == d["_tag"], "left").select(
         *[F.col(c) for c in attributes.columns if c != vr],
         F.coalesce(attributes[vr], F.col("_vr"), F.lit("UN")).alias(vr),
     )

@@ -108,8 +108,9 @@ def new_instances(
     """Arrivals whose object is not stored yet, the first of each; when forced, the newest of all."""
     if force:
         return latest_per_key(arrivals, keys, [F.col(v) for v in version])
-    unseen = arrivals.join(existing.select(*keys), keys, "left_anti")
-    return first_per_key(unseen, keys, [F.col(v) for v in version])
+    # First one row per object, which combines map-side, then the look-up.
+    first = first_per_key(arrivals, keys, [F.col(v) for v in version])
+    return first.join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
 def group_log(
@@ -181,8 +182,9 @@ def reject(instances: DataFrame, rejections: DataFrame) -> DataFrame:
         rejections.where("sop_uid IS NOT NULL").select("study_uid", "series_uid", "sop_uid").distinct()
         .withColumn("_single", F.lit(True))
     )
-    marked = instances.join(series, ["study_uid", "series_uid"], "left").join(
-        single, ["study_uid", "series_uid", "sop_uid"], "left"
+    # The wider key first: the second join then has a shuffle of its own, whose skew Spark can split.
+    marked = instances.join(single, ["study_uid", "series_uid", "sop_uid"], "left").join(
+        series, ["study_uid", "series_uid"], "left"
     )
     kind = F.when(F.col("_series").isNotNull() | F.col("_single").isNotNull(), DELETED).otherwise(F.col("type"))
     return marked.select(*[F.col(c) for c in instances.columns if c != "type"], kind.alias("type"))
@@ -206,11 +208,15 @@ def update_attributes(instances: DataFrame, replacements: DataFrame, keys: list[
 
 def split_study(instances: DataFrame, moved: DataFrame, new_study: Column) -> DataFrame:
     """Move series to another study: tombstones under the old UID, rows under the new one."""
-    hit = instances.join(moved.select("study_uid", "series_uid").distinct(), ["study_uid", "series_uid"], "left_semi")
-    rest = instances.join(moved.select("study_uid", "series_uid").distinct(), ["study_uid", "series_uid"], "left_anti")
-    tombstones = hit.withColumn("type", F.lit(DELETED))
-    rekeyed = hit.withColumn("study_uid", new_study)
-    return rest.unionByName(tombstones.select(*rest.columns)).unionByName(rekeyed.select(*rest.columns))
+    flags = moved.select("study_uid", "series_uid").distinct().withColumn("_moved", F.lit(True))
+    marked = instances.join(flags, ["study_uid", "series_uid"], "left")
+    stay = F.struct(F.col("study_uid").alias("uid"), F.col("type").alias("kind"))
+    gone = F.struct(F.col("study_uid").alias("uid"), F.lit(DELETED).alias("kind"))
+    arrived = F.struct(new_study.alias("uid"), F.col("type").alias("kind"))
+    out = F.when(F.col("_moved").isNull(), F.array(stay)).otherwise(F.array(gone, arrived))
+    rows = marked.withColumn("_out", F.explode_outer(out))
+    kept = [c for c in instances.columns if c not in ("study_uid", "type")]
+    return rows.select(F.col("_out.uid").alias("study_uid"), *kept, F.col("_out.kind").alias("type"))
 
 
 def extracts_used(instances: DataFrame, extractors: Mapping[str, list[str]] = EXTRACTORS) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanloom.operators.joins import spread_join
 from scanloom.operators.ordering import number_last_key, sort_studies, with_ordinal
 
 STUDY = ["study_uid"]
@@ -135,13 +136,13 @@ def invalidate_summaries(summaries: DataFrame, batch: DataFrame, keys: list[str]
 
 def rebuild_affected(instances: DataFrame, batch: DataFrame, attributes: list[str]) -> DataFrame:
     """Series summaries recomputed for the series a batch touches, and no others."""
-    touched = instances.join(affected_keys(batch, SERIES), SERIES, "left_semi")
+    touched = spread_join(instances, affected_keys(batch, SERIES), SERIES, ["sop_uid"], "left_semi")
     return series_summary(touched, attributes)
 
 
 def build_missing(instances: DataFrame, existing: DataFrame, attributes: list[str]) -> DataFrame:
     """Series summaries for series that have none yet."""
-    lacking = instances.join(existing.select(*SERIES), SERIES, "left_anti")
+    lacking = spread_join(instances, affected_keys(existing, SERIES), SERIES, ["sop_uid"], "left_anti")
     return series_summary(lacking, attributes)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,6 +118,16 @@ def replica_differences(left: DataFrame, right: DataFrame, keys: list[str], colu
     return a.join(b, keys, "full_outer").select(*keys, status.alias("status"))
 
 
+def consistency_round(
+    replica: DataFrame, other: DataFrame, build_index: Callable[[DataFrame], DataFrame], keys: list[str],
+    columns: list[str],
+) -> DataFrame:
+    """One round between two replicas of the arrivals: merge both, rebuild the index from the
+    merged arrivals, and compare it with the index the replica has now."""
+    merged = build_index(concat_indexes(replica, other))
+    return replica_differences(merged, build_index(replica), keys, columns)
+
+
 def consistent(differences: DataFrame) -> DataFrame:
     """One row: number of differing keys, and whether a round left nothing to upload."""
     differing = F.count_if(F.col("status") != "identical")

@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 from scanloom.session import settle
 
 
-def _shuffle_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def number_or_none(col: Column) -> Column:
     """Numeric reading of a text or number column, NULL when it is not a number."""
     return col.cast("string").try_cast("double")
@@ -47,15 +43,17 @@ def number_last_key(number: Column, *uids: Column) -> Column:
     )
 
 
-def study_order(date: str = "study_date", time: str = "study_time", uid: str = "study_uid") -> list[Column]:
-    """Ascending date, time, UID; missing first."""
-    return [F.col(date).asc_nulls_first(), F.col(time).asc_nulls_first(), F.col(uid).asc_nulls_first()]
+def study_order(date: str = "study_date", time: str | None = "study_time", uid: str = "study_uid") -> list[Column]:
+    """Ascending date, time, UID; missing first.
+
+    UIDs are digits and dots, for which byte order is the locale's order.
+    """
+    keys = [compare_key(F.col(c)) for c in (date, time) if c]
+    return [*[k.asc() for k in keys], F.col(uid).asc_nulls_first()]
 
 
 def sort_studies(studies: DataFrame) -> DataFrame:
-    if "study_time" not in studies.columns:
-        return studies.orderBy(F.col("study_date").asc_nulls_first(), F.col("study_uid").asc_nulls_first())
-    return studies.orderBy(*study_order())
+    return studies.orderBy(*study_order(time="study_time" if "study_time" in studies.columns else None))
 
 
 def _same(left: str, right: str, names: list[str]) -> Column:
@@ -66,9 +64,13 @@ def _same(left: str, right: str, names: list[str]) -> Column:
 
 
 def sliced(df: DataFrame, keys: list[str], order: list[Column], slices: int | None = None) -> DataFrame:
-    """Rows range-partitioned by (keys, order), with the slice number fixed in ``_slice``."""
-    n = slices or _shuffle_partitions(df)
-    placed = df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
+    """Rows range-partitioned by (keys, order), with the slice number fixed in ``_slice``.
+
+    Without a given number of slices adaptive execution sizes them; it only merges
+    neighbouring ranges, so slice numbers still follow the order.
+    """
+    by = [*[F.col(k) for k in keys], *order]
+    placed = df.repartitionByRange(slices, *by) if slices else df.repartitionByRange(*by)
     return settle(placed.withColumn("_slice", F.spark_partition_id()))
 
 
@@ -93,11 +95,7 @@ def slice_offsets(placed: DataFrame, keys: list[str], amounts: dict[str, Column]
     )
 
 
-def with_ordinal(
-    df: DataFrame, keys: list[str], order: list[Column], name: str = "ordinal", slices: int | None = None
-) -> DataFrame:
-    """Add the 1-based position of each row within its group (the whole table without keys)."""
-    placed = sliced(df, keys, order, slices)
+def _numbered(placed: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     local = Window.partitionBy("_slice", *keys).orderBy(*order)
     numbered = placed.withColumn("_pos", F.row_number().over(local))
     offsets = slice_offsets(placed, keys, {"_before": F.count(F.lit(1))})
@@ -105,7 +103,24 @@ def with_ordinal(
         F.broadcast(offsets.alias("o")), _same("n", "o", ["_slice", *keys]), "left"
     )
     position = F.col("n._pos") + F.coalesce(F.col("o._before"), F.lit(0))
-    return joined.select(*[F.col(f"n.{c}") for c in df.columns], position.cast("bigint").alias(name))
+    columns = [c for c in placed.columns if c != "_slice"]
+    return joined.select(*[F.col(f"n.{c}") for c in columns], position.cast("bigint").alias(name))
+
+
+def with_ordinal(
+    df: DataFrame, keys: list[str], order: list[Column], name: str = "ordinal", slices: int | None = None
+) -> DataFrame:
+    """Add the 1-based position of each row within its group (the whole table without keys)."""
+    return _numbered(sliced(df, keys, order, slices), keys, order, name)
+
+
+def with_ordinal_and_totals(
+    df: DataFrame, keys: list[str], order: list[Column], name: str, totals: dict[str, Column]
+) -> tuple[DataFrame, DataFrame]:
+    """Positions, and aggregates per group taken from the same materialised rows."""
+    placed = sliced(df, keys, order)
+    sums = placed.groupBy(*keys).agg(*[v.alias(n) for n, v in totals.items()])
+    return _numbered(placed, keys, order, name), sums
 
 
 def latest_per_key(df: DataFrame, keys: list[str], version: list[Column]) -> DataFrame:
@@ -128,12 +143,8 @@ def middle_element(
     df: DataFrame, keys: list[str], order: list[Column], frames: str | None = None
 ) -> DataFrame:
     """Row at index floor(n/2) of every ordered group, with its middle frame."""
-    placed = with_ordinal(df, keys, order, "position")
-    middle = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("group_size"))
-        .withColumn("position", F.expr("group_size div 2 + 1"))
-    )
+    placed, sizes = with_ordinal_and_totals(df, keys, order, "position", {"group_size": F.count(F.lit(1))})
+    middle = sizes.withColumn("position", F.expr("group_size div 2 + 1"))
     out = placed.join(middle, [*keys, "position"])
     if frames:
         count = F.coalesce(F.col(frames), F.lit(1))

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanloom.operators.joins import spread_join
+
 # Counter scopes and the scope each one adds to.
 SCOPE_PARENTS: dict[str, str | None] = {
     "BufferStats": "StudyStats",
@@ -28,7 +30,7 @@ def job_states(events: DataFrame) -> DataFrame:
     """
     keys = ["job_id", "type"]
     starts = events.where("event = 'start'").groupBy(*keys).agg(F.min("ts").alias("started"))
-    later = events.where("event <> 'start'").join(starts, keys).where(F.col("ts") >= F.col("started"))
+    later = spread_join(events.where("event <> 'start'"), starts, keys, ["ts"]).where(F.col("ts") >= F.col("started"))
     is_end = F.col("event") == "end"
     ends = later.where(is_end).groupBy(*keys).agg(
         F.min("ts").alias("ended"), F.min_by(failed_end(), F.struct("ts", failed_end())).alias("failed")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scanloom.functions.paths import retrieve_url
-from scanloom.operators.ordering import sliced, with_ordinal
+from scanloom.operators.ordering import sliced, with_ordinal_and_totals
 
 MIB = 1024 * 1024
 DEFAULT_FAILURE = 0xC000
@@ -123,8 +123,10 @@ def transfer_stats(done: DataFrame, keys: list[str], ts: str = "ts") -> DataFram
 
 def transfer_progress(done: DataFrame, keys: list[str], order: list[str], ts: str = "ts") -> DataFrame:
     """Percent done, speed and estimated seconds left after each file."""
-    totals = done.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"), F.min(ts).alias("_from"))
-    numbered = with_ordinal(done, keys, [F.col(ts), *[F.col(o) for o in order]], "done")
+    numbered, totals = with_ordinal_and_totals(
+        done, keys, [F.col(ts), *[F.col(o) for o in order]], "done",
+        {"_total": F.count(F.lit(1)), "_from": F.min(ts)},
+    )
     rows = numbered.join(totals, keys)
     elapsed = _seconds(F.col("_from"), F.col(ts))
     speed = F.when(elapsed > 0, F.col("done") / elapsed)

@@ -146,9 +146,7 @@ def consistency_round(spark, folder):
         newest = latest_per_key(lines, ["l_orderkey", "l_linenumber"], V.version_order())
         return H.study_summary(H.series_summary(V.as_instances(newest), V.INSTANCE_COLUMNS))
 
-    return I.replica_differences(
-        index(I.concat_indexes(first, second)), index(first), ["study_uid"], ["n_series", "n_instances"]
-    )
+    return I.consistency_round(first, second, index, ["study_uid"], ["n_series", "n_instances"])
 
 
 @query("replicas_consistent", """

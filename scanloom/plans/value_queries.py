@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scanloom.functions import paths as P
 from scanloom.functions import tags as G
 from scanloom.functions import values as X
-from scanloom.model import tag_dictionary
+from scanloom.model import PATIENT_QUERY
 from scanloom.operators import attributes as A
 from scanloom.plans import view as V
 from scanloom.plans.registry import query, table
@@ -154,7 +154,7 @@ def vr_lookup(spark, folder):
         .when(F.col("p_type") == "LARGE", "00281050").otherwise("00191234")
     )
     rows = part.select("p_partkey", code.alias("tag"), F.when(F.col("p_brand") == "Brand#1", "CS").alias("vr"))
-    return G.with_vr(rows, tag_dictionary(spark))
+    return G.with_vr(rows)
 
 
 @query("naturalize", f"""
@@ -222,8 +222,6 @@ WITH {V.SQL_STUDIES}
 SELECT study_uid, '00100010,00100020' AS patient_tags, CASE WHEN study_status <> 'P' THEN 4 ELSE 3 END AS rest,
        patient_name FROM studies""")
 def extract_tagset(spark, folder):
-    from scanloom.model import PATIENT_QUERY
-
     ds = F.col("ds")
     patient = G.project(ds, PATIENT_QUERY)
     return header(spark, folder).select(

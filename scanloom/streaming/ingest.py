@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -106,19 +106,29 @@ def drop_seen(stream: DataFrame, keys: list[str], ts: str, horizon: str) -> Data
 
 
 class SeenTable:
-    """Second stage of stream de-duplication: repeats older than the watermark, against a table."""
+    """Second stage of stream de-duplication: repeats older than the watermark, against a table.
 
-    def __init__(self, root: str, keys: list[str], schema: str):
-        self.root, self.keys, self.schema = root, keys, schema
+    The table is laid out by key bucket; the history is first cut down to the keys of the
+    batch, a join that prunes the bucket folders the batch does not touch.
+    """
+
+    def __init__(self, root: str, keys: list[str], schema: str, buckets: int = 64):
+        self.root, self.keys, self.schema, self.buckets = root, keys, schema, buckets
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        stored = read_batches(batch.sparkSession, self.root, "seen", self.schema, batch_id - 1)
-        unseen = batch.dropDuplicates(self.keys).join(stored.select(*self.keys), self.keys, "left_anti")
+        spark = batch.sparkSession
         names = [f.name for f in T._parse_datatype_string(self.schema).fields]
-        write_batch(unseen.select(*names), self.root, "seen", batch_id)
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        fresh = batch.select(*names).dropDuplicates(self.keys).withColumn("bucket", bucket)
+        joint = ["bucket", *self.keys]
+        known = self._stored(spark, batch_id - 1).select(*joint).join(fresh.select(*joint), joint, "left_semi")
+        write_batch(fresh.join(known, joint, "left_anti"), self.root, "seen", batch_id, "bucket")
+
+    def _stored(self, spark: SparkSession, last: int | None = None) -> DataFrame:
+        return read_batches(spark, self.root, "seen", self.schema + ", bucket int", last)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return read_batches(spark, self.root, "seen", self.schema)
+        return self._stored(spark).drop("batch", "bucket")
 
     def run(self, stream: DataFrame) -> None:
         query = stream.writeStream.foreachBatch(self.process).option("checkpointLocation", f"{self.root}/_progress")
@@ -132,8 +142,6 @@ def settled_sessions(events: DataFrame, key: str, ts: str, gap_seconds: int) ->
     belong together), so a very busy key shrinks to a number of rows that only depends on
     the covered time.
     """
-    from pyspark.sql import Window
-
     gap = gap_seconds * 1_000_000
     at = F.unix_micros(ts)
     bins = (

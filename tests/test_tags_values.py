@@ -92,7 +92,8 @@ def test_typed_values(spark):
 
 def test_vr_lookup_is_broadcast(spark):
     rows = spark.createDataFrame([("00080060", None), ("00191234", None), ("00100010", "LO")], "tag string, vr string")
-    df = G.with_vr(rows, tag_dictionary(spark))
+    df = G.with_vr(rows)
+    assert set(df.collect()) == set(G.with_vr(rows, tag_dictionary(spark)).collect())
     assert {(r.tag, r.vr) for r in df.collect()} == {("00080060", "CS"), ("00191234", "UN"), ("00100010", "LO")}
     assert "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
 
