@@ -127,10 +127,10 @@ SELECT DISTINCT '1.2.' || user_id || '.' || CAST(json_extract(props, '$.k') AS B
 FROM events""")
 def dedupe_stream(spark, folder):
     rows = event_arrivals(spark, folder).select("sop_uid", F.sha2("modality", 256).alias("hash"), "version")
-    path = as_files(rows, 3, "version")
+    path = as_files(rows, 3, F.xxhash64("sop_uid", "version"))
     stream = S.file_stream(spark, path, rows.schema, files_per_batch=1)
     seen = S.SeenTable(new_folder(spark, "seen"), ["sop_uid", "hash"], "sop_uid string, hash string", buckets=4)
-    seen.run(S.drop_seen(stream, ["sop_uid", "hash"], "version", "1 day"))
+    seen.run(S.drop_seen(stream, ["sop_uid", "hash"], "1 hour"))
     return seen.read(spark)
 
 

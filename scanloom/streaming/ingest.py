@@ -100,9 +100,14 @@ def file_stream(
     return reader.format(fmt).load(path)
 
 
-def drop_seen(stream: DataFrame, keys: list[str], ts: str, horizon: str) -> DataFrame:
-    """Drop repeats that arrive within the horizon; state is bounded by the watermark."""
-    return stream.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(keys)
+def drop_seen(stream: DataFrame, keys: list[str], horizon: str) -> DataFrame:
+    """Drop repeats that arrive within the horizon.
+
+    The watermark runs on the arrival time, not on a time in the data: state stays bounded
+    and no row is ever too late, however old its own timestamps are.
+    """
+    arrived = stream.withColumn("_arrived", F.current_timestamp())
+    return arrived.withWatermark("_arrived", horizon).dropDuplicatesWithinWatermark(keys).drop("_arrived")
 
 
 class SeenTable:
@@ -161,7 +166,11 @@ def settled_sessions(events: DataFrame, key: str, ts: str, gap_seconds: int) ->
 
 
 def settled_stream(stream: DataFrame, key: str, ts: str, gap: str, lateness: str) -> DataFrame:
-    """The same on a stream: a session is emitted once the watermark has passed its quiet time."""
+    """The same on a stream: a session is emitted once the watermark has passed its quiet time.
+
+    Arrivals later than ``lateness`` no longer change an emitted session; they are still in
+    the arrival log, from which :func:`settled_sessions` gives the full picture.
+    """
     return (
         stream.withWatermark(ts, lateness)
         .groupBy(F.session_window(ts, gap).alias("session"), key)

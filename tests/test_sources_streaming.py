@@ -137,6 +137,22 @@ def test_sessions_on_stream_and_table_agree(spark, tmp_path):
     assert streamed == batch
 
 
+def test_stream_dedup_keeps_old_and_late_rows(spark, tmp_path):
+    schema = "sop_uid string, hash string, s int"
+    src = str(tmp_path / "src")
+    for base in (10**8, 0, 10**7):  # the second and third file hold much older rows
+        rows = [(f"u{(base // 10**7 + i) % 30}", f"h{i % 2}", base + i) for i in range(40)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    stored = spark.read.parquet(src)
+    seen = S.SeenTable(str(tmp_path / "seen"), ["sop_uid", "hash"], "sop_uid string, hash string", buckets=3)
+    seen.run(S.drop_seen(S.file_stream(spark, src, schema, files_per_batch=1), ["sop_uid", "hash"], "1 hour"))
+    got = sorted(tuple(r) for r in seen.read(spark).collect())
+    assert got == sorted(tuple(r) for r in stored.select("sop_uid", "hash").distinct().collect())
+    # A second run over the same rows in another stage adds nothing.
+    seen.process(stored, 99)
+    assert seen.read(spark).count() == len(got)
+
+
 def test_queue_retries_and_gives_up(spark, tmp_path):
     rows = [("t", str(i), str(i), f"m{i}", 0) for i in range(6)]
     batch = spark.createDataFrame(rows, "type string, id string, data string, message_id string, s int").withColumn("sent_at", F.timestamp_seconds("s"))
