@@ -236,7 +236,8 @@ def location_kind(location: Column) -> Column:
     drive = s.rlike(r"^[a-zA-Z]:[/\\]")
     blank = F.coalesce(s, F.lit("")) == ""
     is_file = ~blank & ((scheme == "") | (scheme == "file") | drive)
-    bare = F.url_decode(F.regexp_replace(s, r"^[fF][iI][lL][eE]:(//)?", ""))
+    encoded = F.replace(F.regexp_replace(s, r"^[fF][iI][lL][eE]:(//)?", ""), F.lit("+"), F.lit("%2B"))
+    bare = F.coalesce(F.try_url_decode(encoded), s)
     path = F.when(is_file, F.when(scheme == "file", bare).otherwise(s))
     return F.struct(F.when(is_file, "file").otherwise("remote").alias("kind"), path.alias("path"))
 

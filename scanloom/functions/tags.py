@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.model import ATTRIBUTE_TYPE, TAGS, tag, tag_dictionary
+from scanloom.model import ATTRIBUTE_TYPE, BINARY_VRS, DECIMAL_VRS, INTEGER_VRS, TAGS, tag, tag_dictionary
 
 
 def attribute(vr: str | Column, values: Column) -> Column:
@@ -162,24 +162,26 @@ def document_hash(text: Column) -> Column:
 def typed_values(vr: Column, raw: Column) -> Column:
     """Decode raw text by VR.
 
-    DS and IS are split at backslashes into numbers, PN into name components; the other
-    text VRs stay one value, backslashes included. Empty text has no values.
+    Number VRs are split at backslashes into numbers, PN into names, byte VRs are base64;
+    the other text VRs stay one value, backslashes included. Empty text has no values.
     """
     parts = F.split(raw, r"\\")
     blank = raw == ""
     number = r"^\s*([+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?)"
     whole = r"^\s*([+-]?[0-9]+)"
     return F.struct(
-        F.when(vr == "DS", F.when(blank, F.array()).otherwise(
+        F.when(vr.isin(*DECIMAL_VRS), F.when(blank, F.array()).otherwise(
             F.transform(parts, lambda x: F.regexp_extract(x, number, 1).try_cast("double"))
         )).alias("decimals"),
-        F.when(vr == "IS", F.when(blank, F.array()).otherwise(
+        F.when(vr.isin(*INTEGER_VRS), F.when(blank, F.array()).otherwise(
             F.transform(parts, lambda x: F.regexp_extract(x, whole, 1).try_cast("bigint"))
         )).alias("integers"),
         F.when(vr == "PN", F.when(blank, F.array()).otherwise(
             F.transform(parts, lambda x: F.struct(x.alias("Alphabetic")))
         )).alias("names"),
-        F.when(~vr.isin("DS", "IS", "PN"), F.when(blank, F.array()).otherwise(F.array(raw))).alias("texts"),
+        F.when(vr.isin(*BINARY_VRS), F.try_to_binary(raw, F.lit("base64"))).alias("bytes"),
+        F.when(~vr.isin("PN", *DECIMAL_VRS, *INTEGER_VRS, *BINARY_VRS), F.when(blank, F.array()).otherwise(F.array(raw)))
+        .alias("texts"),
     )
 
 

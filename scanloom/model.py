@@ -143,6 +143,10 @@ AVAILABLE_TRANSFER_SYNTAX = "00083002"
 # Value representations that hold bytes.
 BINARY_VRS = ["OB", "OD", "OF", "OL", "OV", "OW", "UN"]
 
+# Value representations that hold numbers.
+DECIMAL_VRS = ["DS", "FL", "FD"]
+INTEGER_VRS = ["IS", "SS", "US", "SL", "UL"]
+
 # Transfer syntax -> content type, extension, gzip, lossy, uncompressed.
 TRANSFER_SYNTAXES: list[tuple[str, str, str | None, bool, bool, bool]] = [
     ("1.2.840.10008.1.2", "application/octet-stream", None, True, False, True),

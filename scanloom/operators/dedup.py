@@ -113,23 +113,25 @@ def new_instances(
     return first.join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
-def group_log(
-    instances: DataFrame, source_files: DataFrame | None = None, new_only: bool = True
-) -> DataFrame:
+def group_log(instances: DataFrame, source_files: DataFrame | None = None, dirty_only: bool = True) -> DataFrame:
     """Group record per study: hash of its instance set, counts, and the files it replaces.
 
     ``source_files(study_uid, file_hash)`` are the per-instance and older group files that
-    were read; they become rows of :func:`group_refs`, not an array.
+    were read; they become rows of :func:`group_refs`, not an array. With ``dirty_only`` a
+    study is written only if it has new instances (column ``is_new``) or several files.
     """
+    fresh = F.col("is_new") if "is_new" in instances.columns else F.lit(False)
     out = instances.groupBy("study_uid").agg(
         set_hash(F.col("hash")).alias("file_hash"),
         F.count(F.lit(1)).alias("n_instances"),
+        F.count_if(fresh).alias("n_new"),
     )
     if source_files is None:
         return out
     read = source_files.groupBy("study_uid").agg(F.count(F.lit(1)).alias("n_files"))
     merged = out.join(read, "study_uid", "left")
-    return merged.where(F.coalesce(F.col("n_files"), F.lit(0)) > 1) if new_only else merged
+    dirty = (F.col("n_new") > 0) | (F.coalesce(F.col("n_files"), F.lit(0)) > 1)
+    return merged.where(dirty) if dirty_only else merged
 
 
 def group_refs(group: DataFrame, source_files: DataFrame) -> DataFrame:

@@ -84,7 +84,9 @@ def match_value(col: Column, dtype: T.DataType, wanted: object, compat: bool = F
         return match_value(col["Alphabetic"], dtype["Alphabetic"].dataType, wanted, compat)
     if isinstance(dtype, T.StringType):
         return match_text(col, str(wanted), compat)
-    return col == F.lit(wanted).cast(dtype)
+    if wanted in ("", "*"):
+        return F.lit(not compat)
+    return F.coalesce(col == F.lit(wanted).try_cast(dtype), F.lit(False))
 
 
 def match_date_range(col: Column, wanted: str, compat: bool = False) -> Column:

@@ -84,6 +84,8 @@ def transcode_plan(
 ) -> DataFrame:
     """What to do with the pixels of each image: copy, decode, encode or transcode.
 
+    The targets are names of :data:`TRANSCODE_TARGETS` or their syntaxes.
+
     ``images(transfer_syntax, samples, planar, photometric, target_syntax)``. Planar and
     palette images are copied, as are those whose source is not listed for recompression
     or whose requested syntax is not the configured target.
@@ -93,8 +95,10 @@ def transcode_plan(
     rows = images.join(F.broadcast(source), F.col("transfer_syntax") == F.col("_uid"), "left")
     is_color = F.coalesce(F.col("samples") == 3, F.lit(False))
 
+    by_syntax = {syntax: (syntax, encode) for syntax, encode in reversed(TRANSCODE_TARGETS.values())}
+
     def target(i: int) -> Column:
-        g, c = TRANSCODE_TARGETS.get(grey), TRANSCODE_TARGETS.get(color)
+        g, c = [TRANSCODE_TARGETS.get(name) or by_syntax.get(name) for name in (grey, color)]
         return F.when(is_color, F.lit(c and c[i])).otherwise(F.lit(g and g[i]))
 
     def listed(names: Sequence[str]) -> Column:

@@ -20,10 +20,15 @@ def number_or_none(col: Column) -> Column:
     return col.cast("string").try_cast("double")
 
 
-def compare_key(col: Column) -> Column:
-    """Total order of mixed values: missing, then numbers by value, then text by locale."""
-    num = number_or_none(col)
+def compare_key(col: Column, compat: bool = False) -> Column:
+    """Total order of mixed values: missing, then numbers by value, then text by locale.
+
+    In compatible mode blank text counts as the number 0.
+    """
     text = col.cast("string")
+    num = number_or_none(col)
+    if compat:
+        num = F.when(F.trim(text) == "", F.lit(0.0)).otherwise(num)
     rank = F.when(col.isNull(), 0).when(num.isNotNull(), 1).when(text == "", 2).otherwise(3)
     return F.struct(
         rank.alias("rank"),

@@ -2,39 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanloom.functions.paths import retrieve_url
+from scanloom.functions.paths import include_exclude, retrieve_url
 from scanloom.operators.ordering import sliced, with_ordinal_and_totals
 
 MIB = 1024 * 1024
 DEFAULT_FAILURE = 0xC000
 
 
+def _same_object(size: str, other_size: str, name: str, etag: str, md5: str) -> Column:
+    """Stored and local object are taken as equal: by size alone above 1 MiB, for names without
+    ``json`` and without ETag, otherwise also by MD5."""
+    enough = (
+        (F.col(size) > MIB)
+        | ~F.col(name).contains("json")
+        | (F.coalesce(F.col(etag), F.lit("")) == "")
+        | (F.col(md5) == F.col(etag))
+    )
+    return F.coalesce((F.col(size) == F.col(other_size)) & enough, F.lit(False))
+
+
 def sync_plan(local: DataFrame, remote: DataFrame, dry_run: bool = False, force: bool = False) -> DataFrame:
     """Action per local file: skip what the remote already has, transfer the rest.
 
-    ``local(key, size, md5)``, ``remote(key, size, etag)``. Equal size is enough above 1 MiB,
-    for names without ``json``, and without ETag; otherwise the MD5 decides.
+    ``local(key, size, md5)``, ``remote(key, size, etag)``.
     """
     r = remote.select("key", F.col("size").alias("_size"), F.regexp_replace("etag", "['\"]", "").alias("_etag"))
     rows = local.join(r, "key", "left")
-    same_size = F.col("size") == F.col("_size")
-    enough = (
-        (F.col("size") > MIB)
-        | ~F.col("key").contains("json")
-        | (F.coalesce(F.col("_etag"), F.lit("")) == "")
-        | (F.col("md5") == F.col("_etag"))
-    )
-    skip = F.coalesce(same_size & enough, F.lit(False)) & F.lit(not force)
+    skip = _same_object("size", "_size", "key", "_etag", "md5") & F.lit(not force)
     action = F.when(skip, "exists").otherwise("dryrun" if dry_run else "transfer")
     return rows.select(*local.columns, action.alias("action"))
 
 
+def retrieve_plan(
+    remote: DataFrame, local: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = ("temp",),
+    force: bool = False,
+) -> DataFrame:
+    """The other direction: action per remote object in scope, ``skip`` or ``retrieve``.
+
+    ``remote(file_name, size, etag)``, ``local(file_name, size, md5)``.
+    """
+    scope = remote.where(include_exclude(F.col("file_name"), include, exclude))
+    mine = local.select("file_name", F.col("size").alias("_size"), F.col("md5").alias("_md5"))
+    rows = scope.withColumn("_etag", F.regexp_replace("etag", "['\"]", "")).join(mine, "file_name", "left")
+    skip = _same_object("_size", "size", "file_name", "_etag", "_md5") & F.lit(not force)
+    return rows.select(*remote.columns, F.when(skip, "skip").otherwise("retrieve").alias("action"))
+
+
 def outcome_counts(plan: DataFrame, column: str = "action") -> DataFrame:
     return plan.groupBy(F.col(column).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -49,7 +70,7 @@ def deletable(plan: DataFrame, successful: bool = True, failed: bool = False) ->
 def match_failures(failed: DataFrame, files: DataFrame) -> DataFrame:
     """Input file of each failed item: by content location, else object UID, else position.
 
-    Both tables carry ``request_id`` and ``position``. Several files with the same name or
+    ``position`` counts the files of a request, and the failed items of its response. Several files with the same name or
     UID resolve to the earliest one.
     """
     first = F.min_by("path", "position")

@@ -170,7 +170,7 @@ JOIN (SELECT study_uid, count(*) AS n_files FROM files GROUP BY study_uid HAVING
 def group_log(spark, folder):
     files = order_files(spark, folder)
     read = files.where("status = 'F'").withColumnRenamed("file_hash", "hash")
-    return D.group_log(read, files)
+    return D.group_log(read, files).drop("n_new")
 
 
 @query("unreferenced_files", f"""WITH {SQL_FILES}

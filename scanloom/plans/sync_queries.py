@@ -42,6 +42,16 @@ def sync_plan(spark, folder):
     return S.sync_plan(local_files(spark, folder).select("key", "size", "md5"), remote_files(spark, folder)).drop("md5")
 
 
+@query("retrieve_plan", f"""WITH {SQL_PLAN}
+SELECT key AS file_name, size + CASE WHEN starts_with(key, 'src2/') THEN 1 ELSE 0 END AS size,
+  CASE WHEN action = 'transfer' THEN 'retrieve' ELSE 'skip' END AS action
+FROM plan WHERE NOT starts_with(key, 'src1/') AND (contains(key, '.json') OR contains(key, '/1')) AND NOT contains(key, 'src19')""")
+def retrieve_plan(spark, folder):
+    remote = remote_files(spark, folder).withColumnRenamed("key", "file_name")
+    local = local_files(spark, folder).select(F.col("key").alias("file_name"), "size", "md5")
+    return S.retrieve_plan(remote, local, [".json", "/1"], ["src19"]).drop("etag")
+
+
 @query("upload_result_counts", f"WITH {SQL_PLAN} SELECT action AS outcome, count(*) AS n FROM plan GROUP BY action")
 def upload_result_counts(spark, folder):
     plan = S.sync_plan(local_files(spark, folder).select("key", "size", "md5"), remote_files(spark, folder))

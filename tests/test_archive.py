@@ -95,6 +95,8 @@ def test_sync_rules(spark, key, size, etag, remote_size, action):
     remote = spark.createDataFrame([(key, remote_size, etag)], "key string, size bigint, etag string")
     assert S.sync_plan(local, remote).first().action == action
     assert S.sync_plan(local, remote, force=True).first().action == "transfer"
+    back = S.retrieve_plan(remote.withColumnRenamed("key", "file_name"), local.withColumnRenamed("key", "file_name"))
+    assert back.first().action == {"exists": "skip", "transfer": "retrieve"}[action]
 
 
 def test_store_response_status(spark):

@@ -75,6 +75,13 @@ def test_wildcards(spark, pattern, text, standard, compat):
     assert (row.s, row.c) == (standard, compat)
 
 
+def test_numbers_compare_by_value(spark):
+    df = spark.createDataFrame([("a", 7), ("b", 8)], "study_uid string, accession int")
+    assert found(Q.qido_filter(df, {"AccessionNumber": "7"})) == ["a"]
+    assert found(Q.qido_filter(df, {"AccessionNumber": ["8", "x"]})) == ["b"]
+    assert found(Q.qido_filter(df, {"AccessionNumber": "*"})) == ["a", "b"]
+
+
 def test_single_uid(studies):
     assert Q.single_uid({"0020000d": "1.2.2"}) == "1.2.2"
     assert Q.single_uid({"STUDYINSTANCEUID": "1.2.2"}) == "1.2.2"

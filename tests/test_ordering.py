@@ -57,6 +57,8 @@ def test_compare_key(spark):
     got = [r.v for r in df.orderBy(O.compare_key(F.col("v"))).collect()]
     assert got[0] is None and got[1:3] == ["-1", "9"] and set(got[3:5]) == {"10", "1e1"}
     assert got[5:] == ["", "a", "b", "B"]
+    compat = [r.v for r in df.orderBy(O.compare_key(F.col("v"), compat=True)).collect()]
+    assert compat[:3] == [None, "-1", ""]
 
 
 def test_middle_element(spark):

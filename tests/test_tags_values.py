@@ -81,13 +81,14 @@ def test_document_hash_ignores_key_order(spark):
 
 
 def test_typed_values(spark):
-    df = spark.createDataFrame([("DS", "1.5\\-2e1\\x"), ("IS", "3\\4.9"), ("PN", "A^B\\C"), ("CS", "A\\B"), ("LO", "")], "vr string, raw string")
+    df = spark.createDataFrame([("DS", "1.5\\-2e1\\x"), ("IS", "3\\4.9"), ("PN", "A^B\\C"), ("CS", "A\\B"), ("LO", ""), ("US", "7\\8"), ("OB", "YWJj")], "vr string, raw string")
     got = [r.t for r in df.select(G.typed_values(F.col("vr"), F.col("raw")).alias("t")).collect()]
     assert got[0].decimals == [1.5, -20.0, None]
     assert got[1].integers == [3, 4]
     assert [n.Alphabetic for n in got[2].names] == ["A^B", "C"]
     assert got[3].texts == ["A\\B"]
     assert got[4].texts == []
+    assert got[5].integers == [7, 8] and bytes(got[6].bytes) == b"abc" and got[6].texts is None
 
 
 def test_vr_lookup_is_broadcast(spark):
@@ -125,7 +126,7 @@ def test_duration(spark, text, ms):
 @pytest.mark.parametrize(
     "location, kind, path",
     [("/a/b", "file", "/a/b"), ("file:///a%20b", "file", "/a b"), ("C:\\x", "file", "C:\\x"), ("https://h/x", "remote", None),
-     ("s3://b/k", "remote", None), ("  ", "remote", None), ("c:x", "remote", None)],
+     ("s3://b/k", "remote", None), ("file:/a+b%zz", "file", "file:/a+b%zz"), ("file:/a+b", "file", "/a+b"), ("  ", "remote", None), ("c:x", "remote", None)],
 )
 def test_location(spark, location, kind, path):
     r = spark.createDataFrame([(location,)], "t string").select(P.location_kind(F.col("t")).alias("r")).first().r
