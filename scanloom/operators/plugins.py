@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.operators.filters import qido_filter
+from scanloom.sources.sinks import read_study
 
 QueryPlugin = Callable[[DataFrame, Mapping[str, object]], DataFrame]
 
@@ -25,18 +26,15 @@ def run_query(name: str, df: DataFrame, params: Mapping[str, object]) -> DataFra
     return df.transform(lambda d: _PLUGINS[name](d, params))
 
 
-def read_series_index(spark: SparkSession, path: str, study_uid: str) -> DataFrame:
-    """Series rows of one study; the bucket predicate prunes folders, the UID row groups."""
-    series = spark.read.parquet(path)
-    rows = series.where(F.col("study_uid") == study_uid)
-    if "study_bucket" in series.columns:
-        buckets = int(series.schema["study_bucket"].metadata.get("buckets", 0))
-        if buckets:
-            rows = rows.where(F.col("study_bucket") == F.pmod(F.xxhash64(F.lit(study_uid)), F.lit(buckets)))
-    return rows
-
+def read_series_index(spark: SparkSession, path: str, study_uid: str, buckets: int | None = None) -> DataFrame:
+    """Series rows of one study from a stored series table.
 
-def series_of_study(series: DataFrame, study_uid: str) -> DataFrame:
+    For a table written in study buckets the bucket predicate prunes folders; the UID
+    prunes row groups.
+    """
+    series = spark.read.parquet(path)
+    if buckets:
+        return read_study(series, study_uid, buckets).drop("study_bucket")
     return series.where(F.col("study_uid") == study_uid)
 
 

@@ -252,8 +252,11 @@ def register_query(spark, folder):
 @query("series_index_plugin", f"""WITH {V.SQL_INSTANCES},{V.SQL_SERIES}
 SELECT study_uid, series_uid, modality, n_instances FROM series WHERE study_uid = '1.2.11'""")
 def series_index_plugin(spark, folder):
-    series = H.series_summary(V.instances(spark, folder), V.INSTANCE_COLUMNS)
-    return U.series_of_study(series, "1.2.11").select("study_uid", "series_uid", "modality", "n_instances")
+    """The series table is stored in study buckets and read back for one study."""
+    path = new_folder(spark, "series")
+    K.write_archive(H.series_summary(V.instances(spark, folder), V.INSTANCE_COLUMNS), path, buckets=8)
+    rows = U.read_series_index(spark, path, "1.2.11", buckets=8)
+    return rows.select("study_uid", "series_uid", "modality", "n_instances")
 
 
 @query("validate_hook", """

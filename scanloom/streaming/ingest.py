@@ -31,10 +31,11 @@ class ArchiveStream:
     and out-of-order arrivals lead to the same tables as in-order ones.
     """
 
-    def __init__(self, root: str, keep: str = "newest", buckets: int = 64):
+    def __init__(self, root: str, keep: str = "newest", buckets: int = 64, progress: str | None = None):
         self.root = root.rstrip("/")
         self.keep = keep
         self.buckets = buckets
+        self.progress = progress or f"{self.root}/_progress"
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -77,10 +78,23 @@ class ArchiveStream:
         rows = read_batches(spark, self.root, "studies", STUDY_ROW)
         return rows.groupBy("study_uid").agg(F.max("batch").alias("batch"))
 
+    def compact(self, spark: SparkSession, root: str) -> ArchiveStream:
+        """Copy the current state to a new folder as its first batch.
+
+        The returned archive goes on with the progress of this one, so a stream that is
+        stopped, compacted and started again neither loses nor repeats arrivals, and its logs
+        hold one version per object and one row per key.
+        """
+        new = ArchiveStream(root, self.keep, self.buckets, self.progress)
+        first = -1
+        log = self._current(self._log(spark)).drop("batch")
+        write_batch(log.repartitionByRange("bucket", "study_uid", "sop_uid"), new.root, "arrivals", first, "bucket")
+        write_batch(self.series(spark), new.root, "series", first)
+        write_batch(self.studies(spark), new.root, "studies", first)
+        return new
+
     def start(self, arrivals: DataFrame, available_now: bool = True, interval: str = "1 minute") -> StreamingQuery:
-        writer = arrivals.writeStream.foreachBatch(self.process).option(
-            "checkpointLocation", f"{self.root}/_progress"
-        )
+        writer = arrivals.writeStream.foreachBatch(self.process).option("checkpointLocation", self.progress)
         trigger = {"availableNow": True} if available_now else {"processingTime": interval}
         return writer.trigger(**trigger).start()
 

@@ -114,6 +114,8 @@ def test_archive_is_independent_of_arrival_order(spark, tmp_path, keep):
             archive.process(batch, n)
             if n == 2:
                 archive.process(batch, n)  # a batch that is run again changes nothing
+            if n == 3:
+                archive = archive.compact(spark, str(tmp_path / f"{keep}-compact"))
         studies = sorted((r.study_uid, r.n_series, r.n_instances, tuple(r.modalities)) for r in archive.studies(spark).collect())
         series = sorted(tuple(r) for r in archive.series(spark).select("study_uid", "series_uid", "modality", "n_instances").collect())
         assert sum(s[2] for s in studies) == sum(s[3] for s in series) == archive.instances(spark).count()
