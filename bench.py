@@ -2,7 +2,7 @@
 
     BENCH_SF_DIR  table folder (default /root/testdata/sf0.1)
     BENCH_CPUS    local cores (default 8)
-    BENCH_RUNS    timed runs per query, the median counts (default 3)
+    BENCH_RUNS    timed runs per query, the median counts (default 2)
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from scanloom.session import archive_session, new_folder  # noqa: E402
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 
 HEADLINE = [
     "latest_per_key", "series_summary", "study_summary", "studies_index", "series_instances", "sort_studies",

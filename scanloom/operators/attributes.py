@@ -5,26 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanloom.functions.tags import canonical_values
 from scanloom.model import AVAILABLE_TRANSFER_SYNTAX, BINARY_VRS
 
 
-MEMBER = "array<struct<path:string,tag:string,attr:variant,nested:boolean>>"
+ATTRIBUTE = "struct<vr:string,Value:variant,InlineBinary:string,BulkDataURI:string>"
+MEMBER = (
+    "array<struct<path:string,tag:string,vr:string,values:array<variant>,inline_binary:string,bulk_uri:string,"
+    "nested:boolean>>"
+)
 
 
-def _members(document: Column, path: Column) -> Column:
-    """Members of a VARIANT object as :data:`MEMBER`."""
-    entries = F.map_entries(F.try_variant_get(document, "$", "map<string,variant>"))
-    return F.transform(
-        entries,
-        lambda e: F.struct(
-            path.alias("path"), e["key"].alias("tag"), e["value"].alias("attr"), _is_sequence(e["value"]).alias("nested")
+def _attributes(document: Column) -> Column:
+    """A VARIANT object as ``map<tag, attribute>`` in one cast.
+
+    The cast fails as a whole when a member is not an object; only such a document goes
+    through the slower member-wise reading, where the odd member has no fields.
+    """
+    whole = F.try_variant_get(document, "$", f"map<string,{ATTRIBUTE}>")
+    single = F.transform_values(
+        F.try_variant_get(document, "$", "map<string,variant>"),
+        lambda _, v: F.struct(
+            F.try_variant_get(v, "$.vr", "string").alias("vr"),
+            F.try_variant_get(v, "$.Value", "variant").alias("Value"),
+            F.try_variant_get(v, "$.InlineBinary", "string").alias("InlineBinary"),
+            F.try_variant_get(v, "$.BulkDataURI", "string").alias("BulkDataURI"),
         ),
     )
+    return F.coalesce(whole, single)
 
 
-def _is_sequence(attr: Column) -> Column:
-    is_sq = F.try_variant_get(attr, "$.vr", "string") == "SQ"
-    return F.coalesce(is_sq & F.try_variant_get(attr, "$.Value", "array<variant>").isNotNull(), F.lit(False))
+def _members(document: Column, path: Column) -> Column:
+    """Members of a VARIANT object as :data:`MEMBER`; a scalar value counts as one value."""
+
+    def member(e: Column) -> Column:
+        attr = e["value"]
+        sequence = F.coalesce(attr["vr"] == "SQ", F.lit(False)) & attr["Value"].isNotNull()
+        return F.struct(
+            path.alias("path"), e["key"].alias("tag"), attr["vr"].alias("vr"),
+            canonical_values(attr["Value"]).alias("values"), attr["InlineBinary"].alias("inline_binary"),
+            attr["BulkDataURI"].alias("bulk_uri"), sequence.alias("nested"),
+        )
+
+    return F.transform(F.map_entries(_attributes(document)), member)
 
 
 def _items(members: Column) -> Column:
@@ -33,7 +56,7 @@ def _items(members: Column) -> Column:
     def of_sequence(m: Column) -> Column:
         prefix = F.when(m["path"] == "", "").otherwise(F.concat(m["path"], F.lit("/")))
         return F.flatten(F.transform(
-            F.try_variant_get(m["attr"], "$.Value", "array<variant>"),
+            m["values"],
             lambda item, at: F.coalesce(
                 _members(item, F.concat(prefix, m["tag"], F.lit("["), at.cast("string"), F.lit("]"))),
                 F.array().cast(MEMBER),
@@ -47,8 +70,8 @@ def explode_attributes(docs: DataFrame, keys: list[str], document: str, depth: i
     """Attributes of VARIANT documents, items of sequences included down to ``depth``.
 
     ``path`` names the enclosing sequence items (``00101002[0]/...``); ``values`` is an
-    array of VARIANT, ``raw`` the attribute itself. Sequences nested deeper than ``depth``
-    stay whole in ``raw`` of their row. Each document is taken apart once, in its row.
+    array of VARIANT. Sequences nested deeper than ``depth`` stay one row, whose values are
+    the whole items. Each document is taken apart once, in its row.
     """
     df = docs.select(*keys, F.coalesce(_members(F.col(document), F.lit("")), F.array().cast(MEMBER)).alias("_0"))
     for level in range(1, depth + 1):
@@ -56,15 +79,7 @@ def explode_attributes(docs: DataFrame, keys: list[str], document: str, depth: i
     flat = [F.filter(f"_{n}", lambda m: ~m["nested"]) for n in range(depth)] + [F.col(f"_{depth}")]
     # Outer, so that no "not empty" filter repeats the work below the explode.
     rows = df.select(*keys, F.explode_outer(F.concat(*flat)).alias("m")).where("m IS NOT NULL")
-    attr = F.col("m.attr")
-    return rows.select(
-        *keys, "m.path", "m.tag",
-        F.try_variant_get(attr, "$.vr", "string").alias("vr"),
-        F.try_variant_get(attr, "$.Value", "array<variant>").alias("values"),
-        F.try_variant_get(attr, "$.InlineBinary", "string").alias("inline_binary"),
-        F.try_variant_get(attr, "$.BulkDataURI", "string").alias("bulk_uri"),
-        attr.alias("raw"),
-    )
+    return rows.select(*keys, "m.path", "m.tag", "m.vr", "m.values", "m.inline_binary", "m.bulk_uri")
 
 
 def _kind(value: Column) -> Column:
@@ -96,7 +111,7 @@ def export_cleanup(attributes: DataFrame) -> DataFrame:
         | (F.col("vr").isNotNull() & (F.col("values").isNull() | (F.size(present) > 0)))
     )
     return attributes.where(keep).select(
-        *[c for c in attributes.columns if c not in ("vr", "values", "raw")],
+        *[c for c in attributes.columns if c not in ("vr", "values")],
         vr.alias("vr"),
         text.alias("values"),
     )

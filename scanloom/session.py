@@ -18,7 +18,8 @@ def archive_session(master: str | None = None, cpus: int | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.parquet.filterPushdown": "true",
+        # A busy key's sessions merge before the shuffle.
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         "spark.ui.showConsoleProgress": "false",
     }
     if cpus:
