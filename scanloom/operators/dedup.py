@@ -25,7 +25,8 @@ INSTANCE = "instance"
 
 
 def split_extracts(instances: DataFrame, extractors: Mapping[str, list[str]] = EXTRACTORS) -> DataFrame:
-    """Add ``parts``: the shared extracts of each instance as ``array<struct<type, hash, ds>>``."""
+    """Split each dataset: ``ds`` keeps the instance's own attributes, ``parts`` holds the shared
+    extracts as ``array<struct<type, hash, ds>>``."""
     taken, extracts, parts = set(), {}, []
     for kind, keywords in extractors.items():
         name = f"_{kind}"
@@ -33,7 +34,10 @@ def split_extracts(instances: DataFrame, extractors: Mapping[str, list[str]] = E
         taken.update(keywords)
         part = F.struct(F.lit(kind).alias("type"), content_hash(F.col(name)).alias("hash"), F.col(name).alias("ds"))
         parts.append(part)
-    return instances.withColumns(extracts).withColumn("parts", F.array(*parts)).drop(*extracts)
+    own = without(F.col("ds"), sorted(taken - set(KEPT_UIDS)))
+    return instances.withColumns({**extracts, "_own": own}).select(
+        *[c for c in instances.columns if c != "ds"], F.col("_own").alias("ds"), F.array(*parts).alias("parts")
+    )
 
 
 def extracts_of(split: DataFrame) -> DataFrame:
@@ -44,13 +48,11 @@ def extracts_of(split: DataFrame) -> DataFrame:
     return rows.groupBy("hash").agg(F.min("type").alias("type"), F.any_value("ds").alias("ds"))
 
 
-def references_of(split: DataFrame, extractors: Mapping[str, list[str]] = EXTRACTORS) -> DataFrame:
+def references_of(split: DataFrame) -> DataFrame:
     """Instances with only their own attributes and the hashes of their extracts."""
-    shared = [k for keywords in extractors.values() for k in keywords if k not in KEPT_UIDS]
-    own = without(F.col("ds"), shared)
     refs = F.transform("parts", lambda p: p["hash"])
     kept = [c for c in split.columns if c not in ("ds", "parts")]
-    out = split.select(*kept, own.alias("ds"), refs.alias("refs"), F.lit(INSTANCE).alias("type"))
+    out = split.select(*kept, "ds", refs.alias("refs"), F.lit(INSTANCE).alias("type"))
     return out.withColumn("hash", instance_hash(F.col("ds"), F.col("refs")))
 
 
@@ -61,9 +63,12 @@ def instance_hash(ds: Column, refs: Column) -> Column:
 def deduplicate(
     instances: DataFrame, extractors: Mapping[str, list[str]] = EXTRACTORS
 ) -> tuple[DataFrame, DataFrame]:
-    """``(extracts, instances with refs)`` of a table with one dataset ``ds`` per row."""
+    """``(extracts, instances with refs)`` of a table with one dataset ``ds`` per row.
+
+    A job that writes both should materialise :func:`split_extracts` once and derive them from it.
+    """
     split = split_extracts(instances, extractors)
-    return extracts_of(split), references_of(split, extractors)
+    return extracts_of(split), references_of(split)
 
 
 def _first_wins(pieces: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.functions.paths import extension, is_input_name, scannable
+from scanloom.functions.paths import is_input_name, key_to_file, scannable
 from scanloom.model import DATASET_TYPE
 
 
@@ -47,8 +47,6 @@ def input_files(spark: SparkSession, paths: str | Sequence[str], check_names: bo
 
 def list_objects(spark: SparkSession, root: str) -> DataFrame:
     """Object listing below ``root``: key, size, relative URI and file name."""
-    from scanloom.functions.paths import key_to_file
-
     files = scan_files(spark, root)
     base = F.regexp_replace(F.col("path"), "^[a-z0-9]+:/+", "/")
     prefix = "/" + root.split(":", 1)[-1].strip("/") + "/"
@@ -73,7 +71,7 @@ def split_documents(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_documents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """One row per JSON file, plain or ``.gz``, as VARIANT; arrays give their first element's row each."""
+    """One row per JSON file, plain or ``.gz``, with its document as VARIANT."""
     files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")
     )
@@ -136,9 +134,3 @@ def read_multipart(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """All multipart files below ``path`` in one distributed scan."""
     files = scan_files(spark, path, with_content=True)
     return files.select("path", multipart_fields(F.col("content")).alias("m")).select("path", "m.*")
-
-
-__all__ = [
-    "as_datasets", "as_listing", "extension", "image_set_ids", "input_files", "list_objects", "multipart_fields",
-    "parse_documents", "read_documents", "read_import_results", "read_multipart", "scan_files", "split_documents",
-]

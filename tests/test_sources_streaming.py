@@ -2,7 +2,6 @@ import gzip
 import json
 import os
 import random
-import xml.etree.ElementTree  # noqa: F401
 
 import pytest
 from pyspark.sql import functions as F
