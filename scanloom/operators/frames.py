@@ -64,7 +64,8 @@ def frame_rows(instances: DataFrame, keys: list[str], frames: str = "n_frames",
     """One row per frame, numbered from 1, with file name and part header."""
     typed = with_transfer_syntax(instances.select(*keys, frames, syntax), syntax)
     n = number_of_frames(F.col(frames))
-    rows = typed.where(n > 0).withColumn("frame_no", F.explode(F.sequence(F.lit(1), n)))
+    # Outer: the sequence is never empty, and no "not empty" filter has to build it twice.
+    rows = typed.where(n > 0).withColumn("frame_no", F.explode_outer(F.sequence(F.lit(1), n)))
     number = F.col("frame_no").cast("string")
     # Only plain little/big endian variants are canonicalised in the header.
     named = canonical_syntax(F.col(syntax))
