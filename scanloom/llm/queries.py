@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scanloom.llm.best_fit_packing import best_fit_packing
+from scanloom.llm.chat_formatting import preference_pairs, swapped_answers
 from scanloom.llm.quality_classifier import quality_classifier
 from scanloom.llm.quality_rules import quality_rules
 from scanloom.llm.sharding import shard_documents
 from scanloom.llm.token_counts import token_counts
+from scanloom.llm.topk_search import topk_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +31,11 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op4_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    return preference_pairs(turns, swapped_answers(turns))
+
+
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(table(spark, folder, "documents"))
 
@@ -40,11 +48,47 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return best_fit_packing(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return topk_search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+SQL_CHAT = """WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+said AS (SELECT conv_id, max(turn) AS last, arg_max(text, turn) AS other FROM t WHERE role = 'assistant' GROUP BY conv_id),
+r AS (SELECT t.conv_id, t.turn, t.role, CASE WHEN t.role = 'assistant' AND t.turn = s.last THEN coalesce(o.other, '') ELSE t.text END AS text
+  FROM t LEFT JOIN said s ON s.conv_id = t.conv_id LEFT JOIN said o ON o.conv_id = xor(t.conv_id, 1)),
+a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM t),
+b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM r),
+n AS (SELECT a.conv_id, coalesce(min(a.i) FILTER (WHERE a.role <> b.role OR a.text <> b.text) - 1, count(*)) AS n
+  FROM a JOIN b ON a.conv_id = b.conv_id AND a.i = b.i GROUP BY a.conv_id),
+both_sides AS (SELECT 'a' AS side, * FROM a UNION ALL SELECT 'b', * FROM b),
+line AS (SELECT side, conv_id, i, n, role, length(text) + 1 AS said, '<|' || role || '|>' || chr(10) || text || chr(10) AS s
+  FROM both_sides JOIN n USING (conv_id)),
+place AS (SELECT *, sum(CASE WHEN i > n THEN length(s) ELSE 0 END) OVER (PARTITION BY side, conv_id ORDER BY i) - said AS at FROM line)
+SELECT conv_id, any_value(n)::INTEGER AS n_prefix,
+  coalesce(string_agg(s, '' ORDER BY i) FILTER (WHERE side = 'a' AND i <= n), '') AS prompt,
+  coalesce(string_agg(s, '' ORDER BY i) FILTER (WHERE side = 'a' AND i > n), '') AS chosen,
+  coalesce(string_agg(s, '' ORDER BY i) FILTER (WHERE side = 'b' AND i > n), '') AS rejected,
+  coalesce(string_agg(at::BIGINT || ':' || said, ' ' ORDER BY i) FILTER (WHERE side = 'a' AND i > n AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg(at::BIGINT || ':' || said, ' ' ORDER BY i) FILTER (WHERE side = 'b' AND i > n AND role = 'assistant'), '') AS rejected_mask
+FROM place GROUP BY conv_id"""
+
+SQL_TOPK = """WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_chat_formatting": op4_chat_formatting,
     "op6_sharding": op6_sharding,
     "op8_token_counts": op8_token_counts,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_topk_search": op10_topk_search,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_chat_formatting": SQL_CHAT, "op10_topk_search": SQL_TOPK}

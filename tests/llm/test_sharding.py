@@ -46,7 +46,7 @@ def test_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r.doc_id: r.text.encode() for r in docs.collect()}
     rows = shard_documents(docs, 16, 12, blocks=8).collect()
-    assert Counter(r.doc_id for r in rows) == Counter(texts)
+    assert Counter(r.doc_id for r in rows) == Counter(list(texts))
     slots, sizes, old = defaultdict(list), Counter(), Counter()
     for r in rows:
         assert r.size == len(texts[r.doc_id]) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id])
