@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scanloom.llm.best_fit_packing import best_fit_packing
 from scanloom.llm.chat_formatting import preference_pairs, swapped_answers
+from scanloom.llm.jaccard_join import jaccard_join
 from scanloom.llm.quality_classifier import quality_classifier
 from scanloom.llm.quality_rules import quality_rules
 from scanloom.llm.sharding import shard_documents
@@ -36,6 +37,10 @@ def op4_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return preference_pairs(turns, swapped_answers(turns))
 
 
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join(table(spark, folder, "documents"), n=4, num=85, den=100)
+
+
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(table(spark, folder, "documents"))
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_sharding": op6_sharding,
     "op8_token_counts": op8_token_counts,
     "op9_best_fit_packing": op9_best_fit_packing,
