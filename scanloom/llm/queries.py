@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scanloom.llm.best_fit_packing import best_fit_packing
 from scanloom.llm.chat_formatting import preference_pairs, swapped_answers
 from scanloom.llm.jaccard_join import jaccard_join
+from scanloom.llm.mixing import domain_of_labels, mix
 from scanloom.llm.quality_classifier import quality_classifier
 from scanloom.llm.quality_rules import quality_rules
 from scanloom.llm.sharding import shard_documents
@@ -28,6 +29,11 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(table(spark, folder, "documents"))
 
 
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels").select("doc_id", domain_of_labels().alias("domain"))
+    return mix(table(spark, folder, "documents"), labels, {"good": 0.94, "low": 0.04, "toxic": 0.02})
+
+
 def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -89,6 +95,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_mixing": op2_mixing,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_jaccard_join": op5_jaccard_join,
