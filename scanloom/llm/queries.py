@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scanloom.llm.best_fit_packing import best_fit_packing
 from scanloom.llm.chat_formatting import preference_pairs, swapped_answers
 from scanloom.llm.jaccard_join import jaccard_join
+from scanloom.llm.lm_scoring import lm_scoring
 from scanloom.llm.mixing import domain_of_labels, mix
 from scanloom.llm.quality_classifier import quality_classifier
 from scanloom.llm.quality_rules import quality_rules
@@ -51,6 +52,10 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(table(spark, folder, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring(table(spark, folder, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -100,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op4_chat_formatting": op4_chat_formatting,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_sharding": op6_sharding,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_token_counts": op8_token_counts,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_topk_search": op10_topk_search,
