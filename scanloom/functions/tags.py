@@ -133,17 +133,29 @@ def without(ds: Column, keywords: list[str]) -> Column:
 
 def escape_part(col: Column) -> Column:
     """Escape the separators of the canonical text."""
-    return F.replace(F.replace(col, F.lit("\\"), F.lit("\\\\")), F.lit("="), F.lit("\\="))
+    for mark, name in (("\\", "\\\\"), ("=", "\\="), ("\n", "\\n")):
+        col = F.replace(col, F.lit(mark), F.lit(name))
+    return col
 
 
 def canonical_text(ds: Column) -> Column:
-    """Key-order independent text of a dataset: sorted ``tag=vr=value`` lines."""
+    """Key-order independent text of a dataset, different for different datasets.
+
+    Sorted lines ``tag=R:vr=V2:+value\\-=I:binary=B:uri``; absent fields are left out. A value list has its length
+    before it, ``+`` before each value and ``-`` for a NULL one.
+    """
+    def labelled(name: str, value: Column) -> Column:
+        return F.concat(F.lit(name), escape_part(value))
+
+    def values(v: Column) -> Column:
+        marked = F.transform(v, lambda x: F.coalesce(labelled("+", x), F.lit("-")))
+        return F.concat(F.lit("V"), F.size(v).cast("string"), F.lit(":"), F.array_join(marked, "\\"))
+
     lines = F.transform(
         F.array_sort(F.map_entries(ds)),
         lambda e: F.concat_ws(
-            "=", e["key"], e["value"]["vr"],
-            F.array_join(F.transform(e["value"]["Value"], escape_part), "\\"),
-            e["value"]["InlineBinary"], e["value"]["BulkDataURI"],
+            "=", escape_part(e["key"]), labelled("R:", e["value"]["vr"]), values(e["value"]["Value"]),
+            labelled("I:", e["value"]["InlineBinary"]), labelled("B:", e["value"]["BulkDataURI"]),
         ),
     )
     return F.array_join(lines, "\n")

@@ -90,9 +90,12 @@ def externalize(
     code: Column, vr: Column, data: Column, public_limit: int = 131074, private_limit: int = 128,
     vrs: list[str] = BINARY_VRS,
 ) -> Column:
-    """Inline below the threshold, otherwise a content-addressed URI. ``data`` is binary."""
+    """Inline below the threshold, otherwise a content-addressed URI. ``data`` is binary.
+
+    Without VR or tag there is no rule to move the data out, so it stays inline.
+    """
     limit = F.when(is_private(code), private_limit).otherwise(public_limit)
-    out = vr.isin(*vrs) & (code != "7FE00010") & (F.octet_length(data) >= limit)
+    out = F.coalesce(vr.isin(*vrs) & (code != "7FE00010") & (F.octet_length(data) >= limit), F.lit(False))
     return F.struct(
         F.when(out, bulk_uri(data)).alias("BulkDataURI"),
         F.when(~out, base64_text(data)).alias("InlineBinary"),

@@ -41,11 +41,14 @@ def split_extracts(instances: DataFrame, extractors: Mapping[str, list[str]] = E
 
 
 def extracts_of(split: DataFrame) -> DataFrame:
-    """Each distinct extract once: ``(hash, type, ds)``; copies combine before the shuffle."""
+    """Each distinct extract of a type once: ``(hash, type, ds)``; copies combine before the shuffle.
+
+    Extracts of two types can have equal contents (both empty, say) and then share a hash, not a row.
+    """
     # The array is never empty. The outer form keeps Spark from adding a "not empty" filter,
     # which would compute every extract a second time below the explode.
     rows = split.select(F.explode_outer("parts").alias("p")).select("p.*")
-    return rows.groupBy("hash").agg(F.min("type").alias("type"), F.any_value("ds").alias("ds"))
+    return rows.groupBy("hash", "type").agg(F.any_value("ds").alias("ds"))
 
 
 def references_of(split: DataFrame) -> DataFrame:
@@ -82,29 +85,36 @@ def _first_wins(pieces: Column) -> Column:
     )
 
 
-def recombine(instances: DataFrame, extracts: DataFrame, keys: list[str]) -> DataFrame:
+def recombine(
+    instances: DataFrame, extracts: DataFrame, keys: list[str], extractors: Mapping[str, list[str]] = EXTRACTORS
+) -> DataFrame:
     """Full datasets again: own values first, then the extracts in the order of the refs.
 
-    Only the references travel through the join on the hash. A dataset has a handful
-    of refs, so the list that is merged per instance is short.
+    ``missing_refs`` counts references whose extract is not there; such a dataset is incomplete. Only the references
+    travel through the join on type and hash. A dataset has a handful of refs, so the list that is merged per instance
+    is short.
     """
-    refs = instances.select(*keys, F.posexplode("refs").alias("pos", "hash"))
-    shared = refs.join(extracts.select("hash", "ds"), "hash").select(*keys, "pos", "ds")
-    own = instances.select(*keys, F.lit(-1).alias("pos"), "ds")
-    pieces = own.unionByName(shared).groupBy(*keys).agg(F.collect_list(F.struct("pos", "ds")).alias("pieces"))
-    return pieces.select(*keys, _first_wins(F.col("pieces")).alias("ds"))
+    kinds = F.array(*[F.lit(k) for k in extractors])
+    refs = instances.select(*keys, F.posexplode("refs").alias("pos", "hash")).withColumn("type", F.get(kinds, F.col("pos")))
+    found = extracts.select("type", "hash", "ds").withColumn("found", F.lit(True))
+    shared = refs.join(found, ["type", "hash"], "left").select(*keys, "pos", "ds", F.coalesce("found", F.lit(False)).alias("found"))
+    own = instances.select(*keys, F.lit(-1).alias("pos"), "ds", F.lit(True).alias("found"))
+    pieces = own.unionByName(shared).groupBy(*keys).agg(
+        F.collect_list(F.when(F.col("found"), F.struct("pos", "ds"))).alias("pieces"), F.count_if(~F.col("found")).alias("missing_refs")
+    )
+    return pieces.select(*keys, _first_wins(F.col("pieces")).alias("ds"), "missing_refs")
 
 
 def set_hash(col: Column) -> Column:
-    """Aggregate: hash of a set of hex digests, independent of order.
+    """Aggregate: hash of a multiset of hex digests of 64 digits, independent of order.
 
-    Works on running XORs instead of a collected list, so any number of members
-    combines map-side into four numbers.
+    Works on running XORs and sums instead of a collected list, so any number of members combines map-side into a few
+    numbers. The sums tell apart what XORs cancel: members that occur twice.
     """
-    words = [
-        F.bit_xor(F.conv(F.substring(col, at, 15), 16, 10).cast("bigint")).cast("string") for at in (1, 16, 31, 46)
-    ]
-    return F.sha2(F.concat_ws(":", F.count(col).cast("string"), *words), 256)
+    words = [F.conv(F.substring(col, at, 8), 16, 10).cast("bigint") for at in range(1, 65, 8)]
+    xors = [F.bit_xor(w).cast("string") for w in words]
+    sums = [F.sum(w.cast("decimal(10,0)")).cast("string") for w in words]
+    return F.sha2(F.concat_ws(":", F.count(col).cast("string"), *xors, *sums), 256)
 
 
 def new_instances(
@@ -202,15 +212,19 @@ def live(instances: DataFrame) -> DataFrame:
 
 
 def update_attributes(instances: DataFrame, replacements: DataFrame, keys: list[str]) -> DataFrame:
-    """Point references to corrected extracts: ``replacements(old_hash, new_hash)``."""
-    refs = instances.select(*keys, F.posexplode("refs").alias("pos", "old_hash"))
-    moved = refs.join(replacements, "old_hash", "left").select(
-        *keys, F.struct("pos", F.coalesce("new_hash", "old_hash").alias("ref")).alias("r")
+    """Point references to corrected extracts: ``replacements(old_hash, new_hash)``.
+
+    Every instance stays, with its refs as they are where none of them is replaced.
+    """
+    refs = instances.select(*keys, F.explode("refs").alias("old_hash"))
+    hits = refs.join(replacements.where("new_hash IS NOT NULL"), "old_hash").select(*keys, F.struct("old_hash", "new_hash").alias("r"))
+    # One instance has a handful of refs, so this map is short.
+    swaps = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_set("r")).alias("_swaps"))
+    swapped = F.transform("refs", lambda r: F.coalesce(F.element_at("_swaps", r), r))
+    marked = instances.join(swaps, keys, "left")
+    return marked.select(
+        *[F.col(c) if c != "refs" else F.when(F.col("_swaps").isNull(), F.col("refs")).otherwise(swapped).alias("refs") for c in instances.columns]
     )
-    # One instance has a handful of refs, so this list is short.
-    lists = moved.groupBy(*keys).agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    fixed = lists.select(*keys, F.transform("rs", lambda r: r["ref"]).alias("refs"))
-    return instances.drop("refs").join(fixed, keys)
 
 
 def split_study(instances: DataFrame, moved: DataFrame, new_study: Column) -> DataFrame:

@@ -39,7 +39,7 @@ def datasets(spark, folder):
 
 
 def line(code, vr, value):
-    return f"'{code}={vr}=' || {value}"
+    return f"'{code}=R:{vr}=V1:+' || {value}"
 
 
 def lines(*parts):
@@ -60,6 +60,12 @@ FULL = lines(
     ("0020000E", "UI", "series_uid"), ("00200011", "IS", "series_number"), ("00200013", "IS", "instance_number"),
     ("00280008", "IS", "n_frames"), ("00280010", "US", "part_key"),
 )
+NO_IMAGE = lines(
+    ("00080018", "UI", "sop_uid"), ("00080020", "DA", "study_date"), ("00080050", "SH", "accession"),
+    ("00080060", "CS", "modality"), ("00081030", "LO", "description"), ("00100010", "PN", "patient_name"),
+    ("00100020", "LO", "patient_id"), ("0020000D", "UI", "study_uid"), ("0020000E", "UI", "series_uid"),
+    ("00200011", "IS", "series_number"), ("00200013", "IS", "instance_number"), ("00280008", "IS", "n_frames"),
+)
 
 SQL_PARTS = f"""WITH {V.SQL_INSTANCES},{V.SQL_STUDIES},
 full_rows AS (SELECT * FROM instances JOIN studies USING (study_uid)),
@@ -70,10 +76,9 @@ refs AS (SELECT *, sha256(own || chr(10) || patient || chr(10) || study || chr(1
 
 
 def sql_set_hash(col):
-    words = " || ':' || ".join(
-        f"bit_xor(CAST('0x' || substr({col}, {at}, 15) AS BIGINT))" for at in (1, 16, 31, 46)
-    )
-    return f"sha256(count({col}) || ':' || {words})"
+    words = [f"CAST('0x' || substr({col}, {at}, 8) AS BIGINT)" for at in range(1, 65, 8)]
+    parts = " || ':' || ".join([f"bit_xor({w})" for w in words] + [f"sum({w})" for w in words])
+    return f"sha256(count({col}) || ':' || {parts})"
 
 
 @query("deduplicate", f"""{SQL_PARTS}
@@ -92,13 +97,28 @@ def deduplicate_references(spark, folder):
     return inst.select("sop_uid", F.array_join("refs", ",").alias("refs"), "hash", F.size("ds").alias("n_tags"))
 
 
-@query("recombine", f"""WITH {V.SQL_INSTANCES},{V.SQL_STUDIES}
-SELECT sop_uid, {FULL} AS content FROM instances JOIN studies USING (study_uid)""")
+@query("recombine", f"""{SQL_PARTS}
+SELECT sop_uid, CASE WHEN image < '1' THEN {NO_IMAGE} ELSE {FULL} END AS content,
+  (CASE WHEN image < '1' THEN 1 ELSE 0 END)::BIGINT AS missing_refs
+FROM full_rows JOIN (SELECT sop_uid, image FROM refs) USING (sop_uid)""")
 def recombine(spark, folder):
+    """Some image extracts are lost: those datasets come back without them and say so."""
     # Both results come from one pass, as they would from the stored archive.
     split = settle(D.split_extracts(datasets(spark, folder)))
     extracts, inst = D.extracts_of(split), D.references_of(split)
-    return D.recombine(inst, extracts, KEYS).select("sop_uid", G.canonical_text(F.col("ds")).alias("content"))
+    back = D.recombine(inst, extracts.where("type <> 'image' OR hash >= '1'"), KEYS)
+    return back.select("sop_uid", G.canonical_text(F.col("ds")).alias("content"), "missing_refs")
+
+
+@query("set_hash", f"""WITH m AS (SELECT o_custkey, sha256(o_orderstatus) AS h FROM orders),
+twice AS (SELECT o_custkey, h FROM m UNION ALL SELECT o_custkey, h FROM m)
+SELECT o_custkey, {sql_set_hash("h")} AS once, (SELECT {sql_set_hash("t.h")} FROM twice t WHERE t.o_custkey = m.o_custkey) AS twice
+FROM m GROUP BY o_custkey""")
+def set_hash(spark, folder):
+    """Repeated members do not cancel: a set and the same set with every member twice differ, as do two such multisets."""
+    m = table(spark, folder, "orders").select("o_custkey", F.sha2(F.col("o_orderstatus"), 256).alias("h"))
+    once = m.groupBy("o_custkey").agg(D.set_hash(F.col("h")).alias("once"))
+    return once.join(m.union(m).groupBy("o_custkey").agg(D.set_hash(F.col("h")).alias("twice")), "o_custkey")
 
 
 @query("extractors", f"""WITH {V.SQL_INSTANCES},
@@ -241,10 +261,14 @@ def rejected_summary(spark, folder):
 new_patient AS (SELECT DISTINCT patient, sha256('new' || patient) AS replacement FROM refs JOIN full_rows USING (sop_uid)
                 WHERE full_rows.description = 'BUILDING')
 SELECT sop_uid, coalesce(replacement, refs.patient) || ',' || study || ',' || series || ',' || image AS refs
-FROM refs LEFT JOIN new_patient ON refs.patient = new_patient.patient""")
+FROM refs LEFT JOIN new_patient ON refs.patient = new_patient.patient WHERE sop_uid NOT LIKE '%7' AND sop_uid NOT LIKE '%8'
+UNION ALL SELECT sop_uid, '' FROM refs WHERE sop_uid LIKE '%7' UNION ALL SELECT sop_uid, NULL FROM refs WHERE sop_uid LIKE '%8'""")
 def attribute_update(spark, folder):
+    """Instances without refs, empty or NULL, stay as they are."""
     data = datasets(spark, folder)
     _, inst = D.deduplicate(data)
+    kept = F.when(F.col("sop_uid").endswith("7"), F.array().cast("array<string>")).when(~F.col("sop_uid").endswith("8"), F.col("refs"))
+    inst = inst.withColumn("refs", kept)
     building = data.where(G.get_value(F.col("ds"), "StudyDescription") == "BUILDING")
     old = D.split_extracts(building).select(F.get("parts", F.lit(0))["hash"].alias("old_hash")).distinct()
     swaps = old.withColumn("new_hash", F.sha2(F.concat(F.lit("new"), "old_hash"), 256))

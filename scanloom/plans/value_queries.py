@@ -233,15 +233,27 @@ def extract_tagset(spark, folder):
 
 
 @query("content_hash", """
-SELECT p_partkey, sha256('00081030=LO=' || replace(p_name, '=', '\\=') || chr(10)
-  || '00081090=LO=' || p_brand || chr(10) || '00200011=IS=' || p_size) AS hash, true AS order_free FROM part""")
+SELECT p_partkey, sha256('00081030=R:LO=V1:+' || replace(p_name, '=', '\\=') || chr(10)
+  || '00081090=R:LO=V1:+' || p_brand || chr(10) || '00200011=R:IS=V1:+' || p_size) AS hash, true AS order_free, 9 AS n_different FROM part""")
 def content_hash(spark, folder):
     part = table(spark, folder, "part")
     size = F.col("p_size").cast("string")
     one = G.dataset({"SeriesNumber": size, "StudyDescription": F.col("p_name"), "ManufacturerModelName": F.col("p_brand")})
     two = G.dataset({"ManufacturerModelName": F.col("p_brand"), "StudyDescription": F.col("p_name"), "SeriesNumber": size})
-    return part.select("p_partkey", G.content_hash(one).alias("hash"), G.content_hash(two).alias("h2")).select(
-        "p_partkey", "hash", (F.col("hash") == F.col("h2")).alias("order_free")
+    # Datasets that a careless text makes equal.
+    brand, none, empty = F.col("p_brand"), F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    texts = lambda *x: F.array(*x).cast("array<string>")
+    shapes = [
+        (texts(brand), none, none), (empty, brand, none), (empty, none, brand), (texts(none, brand), none, none), (texts(brand, none), none, none),
+        (texts(), none, none), (texts(F.lit("")), none, none), (empty, none, none), (texts(F.concat(brand, F.lit("\\+"), brand)), none, none),
+    ]
+    hashes = [
+        G.content_hash(F.create_map(F.lit("00281199"), F.struct(
+            F.lit("OW").alias("vr"), v.alias("Value"), i.alias("InlineBinary"), b.alias("BulkDataURI")
+        ))) for v, i, b in shapes
+    ]
+    return part.select("p_partkey", G.content_hash(one).alias("hash"), G.content_hash(two).alias("h2"), F.array(*hashes).alias("h")).select(
+        "p_partkey", "hash", (F.col("hash") == F.col("h2")).alias("order_free"), F.size(F.array_distinct("h")).alias("n_different")
     )
 
 
@@ -385,14 +397,16 @@ def parse_duration(spark, folder):
 
 
 @query("externalize_bulk", """
-WITH d AS (SELECT doc_id, text, lang = 'en' AS private, strlen(text) AS bytes, sha256(text) AS h FROM documents)
+WITH d AS (SELECT doc_id, text, lang = 'en' AS private, CASE WHEN source = 'src3' THEN 0 ELSE strlen(text) END AS bytes,
+  sha256(text) AS h FROM documents)
 SELECT doc_id, CASE WHEN bytes >= CASE WHEN private THEN 128 ELSE 1000 END
     THEN '../../../../bulkdata/' || h[1:2] || '/' || h[3:4] || '/' || h[5:] || '.mht.gz' END AS uri,
   CASE WHEN bytes < CASE WHEN private THEN 128 ELSE 1000 END THEN to_base64(encode(text)) END AS inline_text FROM d""")
 def externalize_bulk(spark, folder):
     d = table(spark, folder, "documents")
     code = F.when(F.col("lang") == "en", "00091010").otherwise("50003000")
-    out = X.externalize(code, F.lit("OW"), F.col("text").cast("binary"), public_limit=1000)
+    vr = F.when(F.col("source") != "src3", "OW")  # without VR the data stays inline
+    out = X.externalize(code, vr, F.col("text").cast("binary"), public_limit=1000)
     return d.select("doc_id", out.alias("o")).select(
         "doc_id", F.col("o.BulkDataURI").alias("uri"), F.col("o.InlineBinary").alias("inline_text")
     )

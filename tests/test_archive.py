@@ -28,7 +28,7 @@ def instances(spark):
 
 def test_recombine_restores_every_dataset(instances):
     extracts, refs = D.deduplicate(instances)
-    assert extracts.groupBy("hash").count().where("count > 1").count() == 0
+    assert extracts.groupBy("hash", "type").count().where("count > 1").count() == 0
     back = D.recombine(refs, extracts, KEYS)
     a = {r.sop_uid: r.t for r in instances.select("sop_uid", G.canonical_text(F.col("ds")).alias("t")).collect()}
     b = {r.sop_uid: r.t for r in back.select("sop_uid", G.canonical_text(F.col("ds")).alias("t")).collect()}
@@ -46,8 +46,8 @@ def test_shared_tag_goes_to_the_first_set(instances):
 def test_own_value_and_earlier_ref_win(spark):
     ds = lambda **kv: G.dataset({k: F.lit(v) for k, v in kv.items()})
     inst = spark.range(1).select(F.lit("x").alias("sop_uid"), ds(StudyID="own").alias("ds"), F.array(F.lit("h1"), F.lit("gone"), F.lit("h2")).alias("refs"))
-    ext = spark.range(1).select(F.lit("h1").alias("hash"), ds(StudyID="1", Modality="CT").alias("ds")).unionByName(
-        spark.range(1).select(F.lit("h2").alias("hash"), ds(Modality="MR", PatientID="7").alias("ds")))
+    ext = spark.range(1).select(F.lit("h1").alias("hash"), F.lit("patient").alias("type"), ds(StudyID="1", Modality="CT").alias("ds")).unionByName(
+        spark.range(1).select(F.lit("h2").alias("hash"), F.lit("series").alias("type"), ds(Modality="MR", PatientID="7").alias("ds")))
     r = D.recombine(inst, ext, KEYS).select(*[G.get_value(F.col("ds"), k).alias(k) for k in ("StudyID", "Modality", "PatientID")]).first()
     assert tuple(r) == ("own", "CT", "7")
 
