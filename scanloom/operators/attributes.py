@@ -2,91 +2,48 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.functions.tags import canonical_values
+from scanloom.functions.nested import attributes, dumped, parsed, plain, values_of
 from scanloom.model import AVAILABLE_TRANSFER_SYNTAX, BINARY_VRS
 
 
-ATTRIBUTE = "struct<vr:string,Value:variant,InlineBinary:string,BulkDataURI:string>"
-MEMBER = (
-    "array<struct<path:string,tag:string,vr:string,values:array<variant>,inline_binary:string,bulk_uri:string,"
-    "nested:boolean>>"
-)
+def explode_attributes(docs: DataFrame, keys: list[str], document: str) -> DataFrame:
+    """Attributes of VARIANT documents, items of sequences included at any depth.
 
-
-def _attributes(document: Column) -> Column:
-    """A VARIANT object as ``map<tag, attribute>`` in one cast.
-
-    The cast fails as a whole when a member is not an object; only such a document goes
-    through the slower member-wise reading, where the odd member has no fields.
-    """
-    whole = F.try_variant_get(document, "$", f"map<string,{ATTRIBUTE}>")
-    single = F.transform_values(
-        F.try_variant_get(document, "$", "map<string,variant>"),
-        lambda _, v: F.struct(
-            F.try_variant_get(v, "$.vr", "string").alias("vr"),
-            F.try_variant_get(v, "$.Value", "variant").alias("Value"),
-            F.try_variant_get(v, "$.InlineBinary", "string").alias("InlineBinary"),
-            F.try_variant_get(v, "$.BulkDataURI", "string").alias("BulkDataURI"),
-        ),
-    )
-    return F.coalesce(whole, single)
-
-
-def _members(document: Column, path: Column) -> Column:
-    """Members of a VARIANT object as :data:`MEMBER`; a scalar value counts as one value."""
-
-    def member(e: Column) -> Column:
-        attr = e["value"]
-        sequence = F.coalesce(attr["vr"] == "SQ", F.lit(False)) & attr["Value"].isNotNull()
-        return F.struct(
-            path.alias("path"), e["key"].alias("tag"), attr["vr"].alias("vr"),
-            canonical_values(attr["Value"]).alias("values"), attr["InlineBinary"].alias("inline_binary"),
-            attr["BulkDataURI"].alias("bulk_uri"), sequence.alias("nested"),
-        )
-
-    return F.transform(F.map_entries(_attributes(document)), member)
-
-
-def _items(members: Column) -> Column:
-    """Members of all items of the sequences among ``members``."""
-
-    def of_sequence(m: Column) -> Column:
-        prefix = F.when(m["path"] == "", "").otherwise(F.concat(m["path"], F.lit("/")))
-        return F.flatten(F.transform(
-            m["values"],
-            lambda item, at: F.coalesce(
-                _members(item, F.concat(prefix, m["tag"], F.lit("["), at.cast("string"), F.lit("]"))),
-                F.array().cast(MEMBER),
-            ),
-        ))
-
-    return F.flatten(F.transform(F.filter(members, lambda m: m["nested"]), of_sequence))
-
-
-def explode_attributes(docs: DataFrame, keys: list[str], document: str, depth: int = 3) -> DataFrame:
-    """Attributes of VARIANT documents, items of sequences included down to ``depth``.
-
-    ``path`` names the enclosing sequence items (``00101002[0]/...``); ``values`` is an
-    array of VARIANT. Sequences nested deeper than ``depth`` stay one row, whose values are
-    the whole items. Each document is taken apart once, in its row.
+    ``path`` names the enclosing sequence items (``00101002[0]/...``); ``values`` is an array of VARIANT, a scalar value
+    counts as one. Each document is taken apart once, where it is read, without a shuffle.
     """
-    df = docs.select(*keys, F.coalesce(_members(F.col(document), F.lit("")), F.array().cast(MEMBER)).alias("_0"))
-    for level in range(1, depth + 1):
-        df = df.withColumn(f"_{level}", _items(F.col(f"_{level - 1}")))
-    flat = [F.filter(f"_{n}", lambda m: ~m["nested"]) for n in range(depth)] + [F.col(f"_{depth}")]
-    # Outer, so that no "not empty" filter repeats the work below the explode.
-    rows = df.select(*keys, F.explode_outer(F.concat(*flat)).alias("m")).where("m IS NOT NULL")
-    return rows.select(*keys, "m.path", "m.tag", "m.vr", "m.values", "m.inline_binary", "m.bulk_uri")
+    columns = ("path", "tag", "vr", "inline_binary", "bulk_uri")
+    narrow = docs.select(*keys, F.to_json(document).alias("_json"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]] + [f"{c} string" for c in columns]
+
+    def run(batches):
+        for batch in batches:
+            rows, at = {c: [] for c in (*columns, "_values")}, []
+            for i, text in enumerate(batch.column("_json").to_pylist()):
+                for path, tag, a in attributes(parsed(text)):
+                    values = values_of(a)
+                    row = (path, tag, plain(a.get("vr")), plain(a.get("InlineBinary")), plain(a.get("BulkDataURI")),
+                           None if values is None else [dumped(v) for v in values])
+                    for c, v in zip(rows, row):
+                        rows[c].append(v)
+                    at.append(i)
+            own = [batch.column(k).take(pa.array(at, pa.int64())) for k in keys]
+            texts = [pa.array(rows[c], pa.string()) for c in columns]
+            yield pa.RecordBatch.from_arrays([*own, *texts, pa.array(rows["_values"], pa.list_(pa.string()))], names=[*keys, *rows])
+
+    out = narrow.mapInArrow(run, ", ".join(fields) + ", _values array<string>")
+    return out.select(*keys, "path", "tag", "vr", F.transform("_values", F.parse_json).alias("values"), "inline_binary", "bulk_uri")
 
 
 def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def export_cleanup(attributes: DataFrame) -> DataFrame:
+def export_cleanup(rows: DataFrame) -> DataFrame:
     """Rules applied before an export.
 
     Internal tags, empty and all-null values are dropped, nulls filtered, numbers become
@@ -110,8 +67,8 @@ def export_cleanup(attributes: DataFrame) -> DataFrame:
         | (F.col("vr").isNull() & F.coalesce(first_is_text, F.lit(False)))
         | (F.col("vr").isNotNull() & (F.col("values").isNull() | (F.size(present) > 0)))
     )
-    return attributes.where(keep).select(
-        *[c for c in attributes.columns if c not in ("vr", "values")],
+    return rows.where(keep).select(
+        *[c for c in rows.columns if c not in ("vr", "values")],
         vr.alias("vr"),
         text.alias("values"),
     )

@@ -212,11 +212,16 @@ SELECT o_orderkey, '{XML_SQL}' || chr(10) || '<DicomAttribute tag="00080050" vr=
   || '<Value number="1">' || o_orderpriority || ' &lt;&amp;</Value>' || chr(10) || '<Value number="2">b</Value>' || chr(10)
   || '</DicomAttribute>' || chr(10) || '<DicomAttribute tag="00101002" vr="SQ">' || chr(10) || '<Item number="1">' || chr(10)
   || '<DicomAttribute tag="00100020" vr="LO">' || chr(10) || '<Value number="1">' || o_custkey || '</Value>' || chr(10)
-  || '</DicomAttribute>' || chr(10) || '</Item>' || chr(10) || '</DicomAttribute>' || chr(10) || '</NativeDicomModel>' AS xml
-FROM orders""")
+  || '</DicomAttribute>' || chr(10) || '</Item>' || chr(10)
+  || '<Item number="2">' || chr(10) || repeat('<DicomAttribute tag="00101002" vr="SQ">' || chr(10) || '<Item number="1">' || chr(10), 4)
+  || '<DicomAttribute tag="00100020" vr="LO">' || chr(10) || '<Value number="1">deep</Value>' || chr(10) || '</DicomAttribute>' || chr(10)
+  || repeat('</Item>' || chr(10) || '</DicomAttribute>' || chr(10), 5) || '</NativeDicomModel>' AS xml FROM orders""")
 def export_xml(spark, folder):
+    deep = '{"00100020":{"vr":"LO","Value":["deep"]}}'
+    for _ in range(4):
+        deep = '{"00101002":{"vr":"SQ","Value":[' + deep + "]}}"
     doc = F.format_string(
-        '{"00101002":{"vr":"SQ","Value":[{"00100020":{"vr":"LO","Value":["%s"]}}]},'
+        '{"00101002":{"vr":"SQ","Value":[{"00100020":{"vr":"LO","Value":["%s"]}},' + deep + ']},'
         '"00080050":{"vr":"SH","Value":["%s <&","b"]},"00080090":{"vr":"PN"}}',
         F.col("o_custkey"), F.col("o_orderpriority"),
     )

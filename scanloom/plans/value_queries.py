@@ -449,18 +449,24 @@ UNION ALL SELECT doc, '', '00091001', CASE o_orderstatus WHEN 'P' THEN 'LO' ELSE
   CASE o_orderstatus WHEN 'P' THEN 'n' || o_orderkey ELSE '1.2.' || o_orderkey END FROM o
 UNION ALL SELECT doc, '', '00104000', 'LT', 'note' FROM o WHERE o_orderstatus = 'F'
 UNION ALL SELECT doc, '00101002[0]', '00100020', 'LO', CAST(o_custkey AS VARCHAR) FROM o
-UNION ALL SELECT doc, '00101002[1]', '00200013', 'IS', '5' FROM o""")
+UNION ALL SELECT doc, '00101002[1]', '00200013', 'IS', '5' FROM o
+UNION ALL SELECT doc, '00101002[2]/00101002[0]/00101002[0]/00101002[0]/00101002[1]', '00100020', 'LO', 'deep' FROM o""")
 def export_cleanup(spark, folder):
     """Every order as a document that needs each of the clean-up rules."""
     o = table(spark, folder, "orders")
     status, key = F.col("o_orderstatus"), F.col("o_orderkey").cast("string")
     unknown = F.when(status == "P", F.concat(F.lit("n"), key)).otherwise(F.concat(F.lit("1.2."), key))
     bare = F.when(status == "F", F.lit('{"Value":["note"]}')).when(status == "P", '{"Value":[1]}').otherwise('{"Value":[null]}')
+    # Five levels down the rules hold as well.
+    deep = '{"00083002":{"vr":"UI","Value":["1"]}},{"00100020":{"vr":"LO","Value":["deep",null]},"00080061":{"vr":"CS","Value":[null]}}'
+    for _ in range(4):
+        deep = '{"00101002":{"vr":"SQ","Value":[' + deep + "]}}"
+    deep = "," + deep
     doc = F.format_string(
         '{"00080050":{"vr":"SH","Value":["%s",null]},"00200011":{"vr":"IS","Value":[%s,7]},'
         '"00083002":{"vr":"UI","Value":["1.2"]},"00091001":{"vr":"UN","Value":["%s"]},'
         '"00104000":%s,"00080060":{"vr":"CS","Value":[]},"00080061":{"vr":"CS","Value":[null]},'
-        '"00101002":{"vr":"SQ","Value":[{"00100020":{"vr":"LO","Value":["%s"]}},{"00200013":{"vr":"IS","Value":[5]}}]}}',
+        '"00101002":{"vr":"SQ","Value":[{"00100020":{"vr":"LO","Value":["%s"]}},{"00200013":{"vr":"IS","Value":[5]}}' + deep + "]}}",
         F.col("o_orderpriority"), F.col("o_custkey"), unknown, bare, F.col("o_custkey"),
     )
     docs = o.select(F.concat(F.lit("o"), key).alias("doc"), F.parse_json(doc).alias("document"))

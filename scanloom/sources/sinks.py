@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanloom.functions.nested import parsed, xml_lines
 from scanloom.functions.paths import archive_path, bulk_path
 
 # Opening and closing lines of the XML document.
@@ -71,51 +73,19 @@ def write_bulkdata(rows: DataFrame, path: str, existing: DataFrame | None = None
     placed.repartitionByRange("hash").write.mode("append").partitionBy("prefix").parquet(path)
 
 
-def xml_escape(text: Column, breaks: bool = False) -> Column:
-    out = F.replace(text, F.lit("&"), F.lit("&amp;"))
-    out = F.replace(F.replace(out, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    return F.replace(F.replace(out, F.lit("\r"), F.lit("&#13;")), F.lit("\n"), F.lit("&#10;")) if breaks else out
-
-
-def _object_lines(document: Column, depth: int, one_line: bool) -> Column:
-    """XML lines of a VARIANT dataset, in tag order."""
-    by_tag = F.try_variant_get(document, "$", "map<string,variant>")
-
-    def numbered(name: str, at: Column) -> Column:
-        return F.concat(F.lit(f'<{name} number="'), (at + 1).cast("string"), F.lit('">'))
-
-    def value(v: Column, at: Column) -> Column:
-        text = F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))
-        return F.array(F.concat(numbered("Value", at), xml_escape(text, one_line), F.lit("</Value>")))
-
-    def item(v: Column, at: Column) -> Column:
-        inner = _object_lines(v, depth - 1, one_line)
-        return F.flatten(F.array(F.array(numbered("Item", at)), inner, F.array(F.lit("</Item>"))))
-
-    def element(tag: Column) -> Column:
-        vr = F.try_variant_get(by_tag[tag], "$.vr", "string")
-        values = F.try_variant_get(by_tag[tag], "$.Value", "array<variant>")
-        lines = F.flatten(F.transform(values, value))
-        if depth > 0:
-            lines = F.when(vr == "SQ", F.flatten(F.transform(values, item))).otherwise(lines)
-        start = F.concat(F.lit('<DicomAttribute tag="'), tag, F.lit('" vr="'), vr, F.lit('">'))
-        whole = F.flatten(F.array(F.array(start), lines, F.array(F.lit("</DicomAttribute>"))))
-        return F.when(vr.isNotNull() & values.isNotNull(), whole)
-
-    return F.flatten(F.array_compact(F.transform(F.array_sort(F.map_keys(by_tag)), element)))
+def dataset_xml(document: Column, one_line: bool = False) -> Column:
+    """Native-model XML of a VARIANT dataset, sequence items nested as deeply as they come.
 
+    Built inside the row, in Arrow batches, without a shuffle. Markup characters in values are escaped, in the one-line
+    form line breaks too.
+    """
+    head, end = (XML_HEAD.replace("\n", ""), "") if one_line else (XML_HEAD, "\n")
 
-def dataset_xml(document: Column, depth: int = 2, one_line: bool = False) -> Column:
-    """Native-model XML of a VARIANT dataset; sequence items are nested down to ``depth``.
+    @F.pandas_udf("string")
+    def render(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: end.join([head, *xml_lines(parsed(t), one_line), XML_TAIL]))
 
-    Built inside the row, without a shuffle. Markup characters in values are escaped, in
-    the one-line form line breaks too.
-    """
-    head = XML_HEAD.replace("\n", "") if one_line else XML_HEAD
-    lines = F.flatten(F.array(
-        F.array(F.lit(head)), _object_lines(document, depth, one_line), F.array(F.lit(XML_TAIL))
-    ))
-    return F.array_join(lines, "" if one_line else "\n")
+    return F.when(document.isNotNull(), render(F.to_json(document)))
 
 
 def write_xml(documents: DataFrame, column: str, path: str) -> None:
