@@ -16,39 +16,40 @@ from pyspark.sql.window import Window
 from scanloom.llm.common import map_columns
 from scanloom.session import settle
 
-MEMO = 1 << 19
+MEMO = 1 << 20
 
 
 class ChunkIds:
     """Token ids of texts, remembered per chunk between ASCII spaces.
 
-    Right for tokenisers that drop white space and never look across it, as ``word_bpe_49k.json``; ids are kept as
-    little-endian bytes, four for each, so that a document is a join of chunks.
+    Right for tokenisers that lower-case, drop white space and never look across it, as ``word_bpe_49k.json``: A-Z may be
+    lower-cased first, which leaves fewer chunks, but not in a text that may hold a special token's string. Ids are kept
+    as little-endian bytes, four for each, so that a document is a join of chunks.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.marks = [t.content.encode()[:2] for t in self.library.get_added_tokens_decoder().values()]
+        self.known: dict[bytes, bytes] = {}
 
     def of(self, texts: list[str]) -> list[bytes]:
-        split = [t.translate(SPACE).split(" ") for t in texts]
-        fresh = list(set().union(*split).difference(self.known))
+        raw = [t.encode() for t in texts]
+        split = [(t if any(m in t for m in self.marks) else t.lower()).split() for t in raw]
+        fresh = set().union(*split).difference(self.known)
         if len(self.known) + len(fresh) > MEMO:
             self.known = {}
-            fresh = list(set().union(*split))
+            fresh = set().union(*split)
+        fresh = list(fresh)
         for i in range(0, len(fresh), 10_000):
             part = fresh[i : i + 10_000]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
+            for w, e in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
-SPACE = str.maketrans("\t\n\v\f\r", "     ")
-
-
 @cache
 def chunk_ids(path: str) -> ChunkIds:
     return ChunkIds(path)
@@ -95,7 +96,7 @@ class Search:
     """Bin completion over counted lengths; ``plan`` is a list of (lengths of a sequence, how many such sequences)."""
 
     capacity: int
-    nodes: int = 2_000
+    nodes: int = 6_000
     best: int = 1 << 62
     plan: list[tuple[tuple[int, ...], int]] = field(default_factory=list)
     bound: int = 0
@@ -202,18 +203,18 @@ class Search:
     def branch(self, have: np.ndarray) -> None:
         """Depth first, without recursion; a node is a choice of filling for the largest piece left, used as often as it lasts.
 
-        A branch ends when its waste so far cannot beat the incumbent. The number of ended branches is bounded; the
-        incumbent is the answer then, and it is proven best when it meets the lower bound.
+        A branch ends when its waste so far cannot beat the incumbent. The number of steps is bounded; the incumbent is
+        the answer then, and it is proven best when it meets the lower bound.
         """
         state, plan, waste = have.copy(), [], 0
         stack: list[list] = []
         descend = True
         while self.left > 0 and self.best > self.bound:
             if descend:
+                self.left -= 1
                 lengths = np.flatnonzero(state)
                 if not len(lengths):
                     self.keep(plan)
-                    self.left -= 1
                     descend = False
                     continue
                 first = int(lengths[-1])
@@ -245,12 +246,12 @@ class Search:
             self.left -= not descend
 
 
-def plan_packing(counts: dict[int, int], capacity: int, nodes: int = 2_000) -> list[tuple[tuple[int, ...], int]]:
+def plan_packing(counts: dict[int, int], capacity: int, nodes: int = 6_000) -> list[tuple[tuple[int, ...], int]]:
     """Sequences, as (lengths, number of such sequences), that hold ``counts`` pieces of each length."""
     return Search(capacity, nodes).run(counts)
 
 
-def pack(rows: DataFrame, capacity: int = 4096, nodes: int = 2_000, group: int = 20_000) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = 4096, nodes: int = 6_000, group: int = 20_000) -> DataFrame:
     """Adds sequence_id and offset to rows with ``length`` and ``place`` (a number of its own for each row, stored with it).
 
     Pieces of one length are interchangeable, so the search sees only how many there are of each (``capacity`` numbers,
@@ -294,7 +295,7 @@ def pack(rows: DataFrame, capacity: int = 4096, nodes: int = 2_000, group: int =
     return ranked.select(*out.columns, "rank").mapInPandas(run, schema + ", sequence_id bigint, offset bigint")
 
 
-def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, nodes: int = 2_000) -> DataFrame:
+def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, nodes: int = 6_000) -> DataFrame:
     """All documents packed into as few sequences of at most ``capacity`` tokens as the search finds.
 
     ``docs`` needs doc_id and text; other columns are ignored. Returns per piece doc_id, piece, start, length,
