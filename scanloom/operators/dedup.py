@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions.tags import content_hash, project, without
 from scanloom.model import IMAGE_EXTRACT, PATIENT_QUERY, SERIES_EXTRACT, STUDY_QUERY
+from scanloom.operators.joins import split_hot_keys
 from scanloom.operators.ordering import first_per_key, latest_per_key
 
 # Tag set of each shared extract, in the order that decides who gets a tag listed twice.
@@ -151,7 +152,7 @@ def group_log(instances: DataFrame, source_files: DataFrame | None = None, dirty
 
 def group_refs(group: DataFrame, source_files: DataFrame) -> DataFrame:
     """References of the group records: ``(study_uid, file_hash, ref)``."""
-    read = source_files.select("study_uid", F.col("file_hash").alias("ref"))
+    read = split_hot_keys(source_files).select("study_uid", F.col("file_hash").alias("ref"))
     return group.select("study_uid", "file_hash").join(read, "study_uid").where("ref <> file_hash")
 
 
@@ -200,7 +201,7 @@ def reject(instances: DataFrame, rejections: DataFrame) -> DataFrame:
         .withColumn("_single", F.lit(True))
     )
     # The wider key first: the second join then has a shuffle of its own, whose skew Spark can split.
-    marked = instances.join(single, ["study_uid", "series_uid", "sop_uid"], "left").join(
+    marked = split_hot_keys(instances).join(single, ["study_uid", "series_uid", "sop_uid"], "left").join(
         series, ["study_uid", "series_uid"], "left"
     )
     kind = F.when(F.col("_series").isNotNull() | F.col("_single").isNotNull(), DELETED).otherwise(F.col("type"))

@@ -89,7 +89,8 @@ def transcode_plan(
 
     ``images(transfer_syntax, samples, planar, photometric, target_syntax)``. Planar and
     palette images are copied, as are those whose source is not listed for recompression
-    or whose requested syntax is not the configured target.
+    or whose requested syntax is not the configured target. ``available_syntax`` is that of the pixels as they will
+    be stored, so copied ones keep their own.
     """
     spark = images.sparkSession
     source = spark.createDataFrame(TRANSCODE_SOURCES, "_uid string, _decode boolean, _alias string")
@@ -123,7 +124,7 @@ def transcode_plan(
     )
     return rows.select(
         *images.columns, op.alias("op"),
-        F.when(retag, target(0)).otherwise(F.col("transfer_syntax")).alias("available_syntax"),
+        F.when(done, target(0)).otherwise(F.col("transfer_syntax")).alias("available_syntax"),
     )
 
 

@@ -67,9 +67,9 @@ def study_summary(series: DataFrame, attributes: list[str] = ()) -> DataFrame:
 
 
 def studies_index(instances: DataFrame, study_attributes: DataFrame, series_attributes: list[str]) -> DataFrame:
-    """All study rows of the archive, in study order."""
+    """All study rows of the archive, in study order; a study without an attribute row has NULL attributes."""
     series = series_summary(instances, series_attributes)
-    return sort_studies(study_summary(series).join(study_attributes, "study_uid"))
+    return sort_studies(study_summary(series).join(study_attributes, "study_uid", "left"))
 
 
 def first_instance(instances: DataFrame, attributes: list[str]) -> DataFrame:

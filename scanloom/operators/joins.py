@@ -18,13 +18,25 @@ def for_every_salt(df: DataFrame, salts: int = SALTS) -> DataFrame:
     return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
+def split_hot_keys(df: DataFrame) -> DataFrame:
+    """Let Spark split skewed join partitions also where an aggregation on the same keys follows.
+
+    By default it keeps the join's partitioning for that aggregation, and one task gets all rows of a frequent key. The
+    setting costs a shuffle of the join's result, and only where a partition is found skewed.
+    """
+    df.sparkSession.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    return df
+
+
 def spread_join(
-    df: DataFrame, per_key: DataFrame, keys: list[str], spread_by: list[str], how: str = "inner", salts: int = SALTS
+    df: DataFrame, per_key: DataFrame, keys: list[str], spread_by: list[str], how: str = "inner", salts: int = 1
 ) -> DataFrame:
     """Join ``df`` with a table that has one row per key, a key's rows spread over many tasks.
 
-    For joins that feed an aggregation on the same keys: there Spark would keep the join's
-    partitioning, and the adaptive splitting of skewed partitions does not apply.
+    Skewed partitions are split by Spark when it meets them; with ``salts`` above 1, for plans that run without adaptive
+    execution, every row of ``per_key`` is copied that often instead.
     """
+    if salts == 1:
+        return split_hot_keys(df).join(per_key, keys, how)
     rows = df.withColumn("_salt", salt_of(*spread_by, salts=salts))
     return rows.join(for_every_salt(per_key, salts), [*keys, "_salt"], how).drop("_salt")

@@ -17,33 +17,36 @@ MIB = 1024 * 1024
 DEFAULT_FAILURE = 0xC000
 
 
-def _same_object(size: str, other_size: str, name: str, etag: str, md5: str) -> Column:
-    """Stored and local object are taken as equal: by size alone above 1 MiB, for names without
-    ``json`` and without ETag, otherwise also by MD5."""
-    enough = (
-        (F.col(size) > MIB)
-        | ~F.col(name).contains("json")
-        | (F.coalesce(F.col(etag), F.lit("")) == "")
-        | (F.col(md5) == F.col(etag))
-    )
+def _same_object(size: str, other_size: str, name: str, etag: str, md5: str, compat: bool) -> Column:
+    """Stored and local object are taken as equal: same size, and same MD5 where both sides have one.
+
+    An ETag with a hyphen is that of an upload in parts and no MD5. With ``compat`` the MD5 counts only for names with
+    ``json`` up to 1 MiB, as tools did that could not afford to read large files twice.
+    """
+    tag = F.coalesce(F.col(etag), F.lit(""))
+    enough = (tag == "") | tag.contains("-") | F.col(md5).isNull() | (F.col(md5) == tag)
+    if compat:
+        enough = enough | (F.col(size) > MIB) | ~F.col(name).contains("json")
     return F.coalesce((F.col(size) == F.col(other_size)) & enough, F.lit(False))
 
 
-def sync_plan(local: DataFrame, remote: DataFrame, dry_run: bool = False, force: bool = False) -> DataFrame:
+def sync_plan(
+    local: DataFrame, remote: DataFrame, dry_run: bool = False, force: bool = False, compat: bool = False
+) -> DataFrame:
     """Action per local file: skip what the remote already has, transfer the rest.
 
     ``local(key, size, md5)``, ``remote(key, size, etag)``.
     """
     r = remote.select("key", F.col("size").alias("_size"), F.regexp_replace("etag", "['\"]", "").alias("_etag"))
     rows = local.join(r, "key", "left")
-    skip = _same_object("size", "_size", "key", "_etag", "md5") & F.lit(not force)
+    skip = _same_object("size", "_size", "key", "_etag", "md5", compat) & F.lit(not force)
     action = F.when(skip, "exists").otherwise("dryrun" if dry_run else "transfer")
     return rows.select(*local.columns, action.alias("action"))
 
 
 def retrieve_plan(
     remote: DataFrame, local: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = ("temp",),
-    force: bool = False,
+    force: bool = False, compat: bool = False,
 ) -> DataFrame:
     """The other direction: action per remote object in scope, ``skip`` or ``retrieve``.
 
@@ -52,7 +55,7 @@ def retrieve_plan(
     scope = remote.where(include_exclude(F.col("file_name"), include, exclude))
     mine = local.select("file_name", F.col("size").alias("_size"), F.col("md5").alias("_md5"))
     rows = scope.withColumn("_etag", F.regexp_replace("etag", "['\"]", "")).join(mine, "file_name", "left")
-    skip = _same_object("_size", "size", "file_name", "_etag", "_md5") & F.lit(not force)
+    skip = _same_object("_size", "size", "file_name", "_etag", "_md5", compat) & F.lit(not force)
     return rows.select(*remote.columns, F.when(skip, "skip").otherwise("retrieve").alias("action"))
 
 
@@ -61,10 +64,12 @@ def outcome_counts(plan: DataFrame, column: str = "action") -> DataFrame:
 
 
 def deletable(plan: DataFrame, successful: bool = True, failed: bool = False) -> DataFrame:
-    """Keys whose local file may be deleted after the upload."""
-    done = F.col("action") != "failed"
-    keep = (done & F.lit(successful)) | (~done & F.lit(failed))
-    return plan.where(keep).select("key")
+    """Keys whose local file may be deleted after the upload: those that are ``stored`` or already ``exists``.
+
+    A file that was only planned or tried for show is on one side alone and stays; ``failed`` adds failed ones.
+    """
+    kinds = (["stored", "exists"] if successful else []) + (["failed"] if failed else [])
+    return plan.where(F.col("action").isin(*kinds)).select("key")
 
 
 def match_failures(failed: DataFrame, files: DataFrame) -> DataFrame:

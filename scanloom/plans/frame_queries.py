@@ -45,7 +45,7 @@ WITH i AS (SELECT p_partkey, p_type, CASE WHEN p_size < 20 THEN 3 ELSE 1 END AS
   {SYNTAX_SQL} AS src FROM part)
 SELECT p_partkey, CASE WHEN planar = 1 OR photo = 'PALETTE COLOR' THEN 'copy'
     WHEN p_type = 'SMALL' THEN 'transcode' WHEN p_type = 'STANDARD' AND samples = 1 THEN 'transcode' ELSE 'copy' END AS op,
-  CASE WHEN p_type = 'SMALL' AND samples = 1 OR p_type = 'STANDARD' AND samples = 1 THEN '1.2.840.10008.1.2.4.80'
+  CASE WHEN planar = 1 OR photo = 'PALETTE COLOR' THEN src WHEN p_type = 'SMALL' AND samples = 1 OR p_type = 'STANDARD' AND samples = 1 THEN '1.2.840.10008.1.2.4.80'
     WHEN p_type = 'SMALL' THEN '1.2.840.10008.1.2.4.201' ELSE src END AS available_syntax FROM i""")
 def transcode_plan(spark, folder):
     size, brand = F.col("p_size"), F.col("p_brand")

@@ -53,9 +53,12 @@ def study_summary(spark, folder):
 
 @query("studies_index", f"""
 {WITH_SERIES},{V.SQL_STUDY_ROWS},{V.SQL_STUDIES}
-SELECT * FROM study_rows JOIN studies USING (study_uid) ORDER BY study_date, study_uid""")
+SELECT * FROM study_rows LEFT JOIN (SELECT * FROM studies WHERE study_uid NOT LIKE '%3') USING (study_uid)
+ORDER BY study_date, study_uid""")
 def studies_index(spark, folder):
-    index = H.studies_index(V.instances(spark, folder), V.studies(spark, folder), V.INSTANCE_COLUMNS)
+    """Some studies have no attribute row; they stay in the index."""
+    attributes = V.studies(spark, folder).where("study_uid NOT LIKE '%3'")
+    index = H.studies_index(V.instances(spark, folder), attributes, V.INSTANCE_COLUMNS)
     return index.withColumn("modalities", F.array_join("modalities", ","))
 
 

@@ -34,7 +34,7 @@ def remote_files(spark, folder):
 
 SQL_PLAN = """plan AS (SELECT source || '/' || doc_id || CASE lang WHEN 'en' THEN '.json' ELSE '.mht' END AS key,
   strlen(text)::BIGINT AS size, CASE WHEN source IN ('src1', 'src2') THEN 'transfer'
-    WHEN source = 'src3' AND lang = 'en' AND strlen(text) <= 1048576 THEN 'transfer' ELSE 'exists' END AS action FROM documents)"""
+    WHEN source = 'src3' THEN 'transfer' ELSE 'exists' END AS action FROM documents)"""
 
 
 @query("sync_plan", f"WITH {SQL_PLAN} SELECT key, size, action FROM plan")
@@ -42,6 +42,14 @@ def sync_plan(spark, folder):
     return S.sync_plan(local_files(spark, folder).select("key", "size", "md5"), remote_files(spark, folder)).drop("md5")
 
 
+@query("sync_plan_compat", """SELECT source || '/' || doc_id || CASE lang WHEN 'en' THEN '.json' ELSE '.mht' END AS key,
+  strlen(text)::BIGINT AS size, CASE WHEN source IN ('src1', 'src2') THEN 'transfer'
+    WHEN source = 'src3' AND lang = 'en' AND strlen(text) <= 1048576 THEN 'transfer' ELSE 'exists' END AS action FROM documents""")
+def sync_plan_compat(spark, folder):
+    local = local_files(spark, folder).select("key", "size", "md5")
+    return S.sync_plan(local, remote_files(spark, folder), compat=True).drop("md5")
+
+
 @query("retrieve_plan", f"""WITH {SQL_PLAN}
 SELECT key AS file_name, size + CASE WHEN starts_with(key, 'src2/') THEN 1 ELSE 0 END AS size,
   CASE WHEN action = 'transfer' THEN 'retrieve' ELSE 'skip' END AS action
@@ -58,10 +66,17 @@ def upload_result_counts(spark, folder):
     return S.outcome_counts(plan)
 
 
-@query("upload_deletable", f"WITH {SQL_PLAN} SELECT key FROM plan")
+@query("upload_deletable", f"""WITH {SQL_PLAN}
+SELECT 'dry' AS run, key FROM plan WHERE action = 'exists'
+UNION ALL SELECT 'real', key FROM plan WHERE action = 'exists' OR key NOT LIKE 'src2/%'""")
 def upload_deletable(spark, folder):
-    plan = S.sync_plan(local_files(spark, folder).select("key", "size", "md5"), remote_files(spark, folder), dry_run=True)
-    return S.deletable(plan)
+    """After a dry run only what the remote already had; after a real one, whose src2 uploads failed, the stored files too."""
+    local = local_files(spark, folder).select("key", "size", "md5")
+    dry = S.deletable(S.sync_plan(local, remote_files(spark, folder), dry_run=True))
+    outcome = F.when(F.col("key").startswith("src2/"), "failed").otherwise("stored")
+    plan = S.sync_plan(local, remote_files(spark, folder))
+    real = S.deletable(plan.withColumn("action", F.when(F.col("action") == "transfer", outcome).otherwise(F.col("action"))))
+    return dry.select(F.lit("dry").alias("run"), "key").unionByName(real.select(F.lit("real").alias("run"), "key"))
 
 
 SQL_REQUESTS = """

@@ -24,9 +24,10 @@ def collapse_pending(messages: DataFrame, policy: str = "latest") -> DataFrame:
 class MessageQueue:
     """At-least-once handling of messages with a bounded number of attempts.
 
-    A micro-batch joins its new messages with the failures of the batch before, collapses
-    them per key and hands them to the ``succeeds`` rule; failures wait in a table for the next
-    batch, those out of attempts go to the dead letters.
+    A micro-batch joins its new messages with the failures of the step before, collapses them per key and hands them to
+    the ``succeeds`` rule; failures wait in a table for the next step, those out of attempts go to the dead letters.
+    Steps are numbered across stream batches and drain rounds by a small log, so neither overwrites the other, and a
+    batch that is run again finds its number and overwrites itself.
     """
 
     def __init__(
@@ -44,8 +45,19 @@ class MessageQueue:
     def _read(self, spark: SparkSession, table: str) -> DataFrame:
         return read_batches(spark, self.root, table, self.schema)
 
-    def process(self, batch: DataFrame, batch_id: int) -> None:
+    def _step(self, spark: SparkSession, kind: str, number: int) -> int:
+        """The step of a stream batch or drain round, a new one if it has none yet."""
+        log = read_batches(spark, self.root, "steps", "kind string, number bigint")
+        mine = (F.col("kind") == kind) & (F.col("number") == number)
+        found, last = log.agg(F.max(F.when(mine, F.col("batch"))), F.max("batch")).first()
+        if found is None:
+            found = 0 if last is None else last + 1
+            write_batch(spark.createDataFrame([(kind, number)], "kind string, number bigint"), self.root, "steps", found)
+        return found
+
+    def process(self, batch: DataFrame, batch_id: int, kind: str = "stream") -> None:
         spark = batch.sparkSession
+        batch_id = self._step(spark, kind, batch_id)
         names = [f.name for f in T._parse_datatype_string(MESSAGE).fields]
         fresh = batch.select(*names).withColumn("attempt", F.lit(1))
         again = self._read(spark, "waiting").where(F.col("batch") == batch_id - 1).drop("batch")
@@ -68,11 +80,11 @@ class MessageQueue:
         """Retry what waits until it is done or out of attempts; at most ``attempts`` rounds."""
         empty = spark.createDataFrame([], MESSAGE)
         for _ in range(self.attempts):
-            last = self._read(spark, "waiting").agg(F.max("batch")).first()[0]
-            done = self._read(spark, "handled").agg(F.max("batch")).first()[0]
-            if last is None or last < done:
+            steps = read_batches(spark, self.root, "steps", "kind string, number bigint")
+            last, rounds = steps.agg(F.max("batch"), F.count_if(F.col("kind") == "drain")).first()
+            if last is None or self._read(spark, "waiting").where(F.col("batch") == last).isEmpty():
                 return
-            self.process(empty, done + 1)
+            self.process(empty, rounds, "drain")
 
     def done(self, spark: SparkSession) -> DataFrame:
         return self._read(spark, "done").drop("batch")

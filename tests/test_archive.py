@@ -85,15 +85,17 @@ def test_change_set(spark):
 
 
 @pytest.mark.parametrize(
-    "key, size, etag, remote_size, action",
-    [("a.json", 5, '"m"', 5, "exists"), ("a.json", 5, '"n"', 5, "transfer"), ("a.mht", 5, '"n"', 5, "exists"),
-     ("a.json", 5, None, 5, "exists"), ("a.json", 2**21, '"n"', 2**21, "exists"), ("a.json", 5, '"m"', 6, "transfer"),
-     ("b.json", 5, "'m'", 5, "exists")],
+    "key, size, etag, remote_size, action, compat",
+    [("a.json", 5, '"m"', 5, "exists", "exists"), ("a.json", 5, '"n"', 5, "transfer", "transfer"),
+     ("a.mht", 5, '"n"', 5, "transfer", "exists"), ("a.json", 5, None, 5, "exists", "exists"),
+     ("a.json", 2**21, '"n"', 2**21, "transfer", "exists"), ("a.json", 5, '"m"', 6, "transfer", "transfer"),
+     ("b.json", 5, "'m'", 5, "exists", "exists"), ("c.mht", 5, '"n-2"', 5, "exists", "exists")],
 )
-def test_sync_rules(spark, key, size, etag, remote_size, action):
+def test_sync_rules(spark, key, size, etag, remote_size, action, compat):
     local = spark.createDataFrame([(key, size, "m")], "key string, size bigint, md5 string")
     remote = spark.createDataFrame([(key, remote_size, etag)], "key string, size bigint, etag string")
     assert S.sync_plan(local, remote).first().action == action
+    assert S.sync_plan(local, remote, compat=True).first().action == compat
     assert S.sync_plan(local, remote, force=True).first().action == "transfer"
     back = S.retrieve_plan(remote.withColumnRenamed("key", "file_name"), local.withColumnRenamed("key", "file_name"))
     assert back.first().action == {"exists": "skip", "transfer": "retrieve"}[action]
