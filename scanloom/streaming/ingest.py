@@ -11,24 +11,29 @@ from pyspark.sql.streaming import StreamingQuery
 from scanloom.operators import hierarchy as H
 from scanloom.operators.ordering import first_per_key, latest_per_key
 from scanloom.sources.sinks import study_bucket
-from scanloom.streaming.tables import read_batches, write_batch
+from scanloom.sources.documents import _existing
+from scanloom.streaming.tables import read_batches, remove_folders, write_batch
 
 ARRIVAL = (
     "study_uid string, series_uid string, sop_uid string, series_number bigint, instance_number bigint, "
     "modality string, n_frames int, version timestamp"
 )
 SERIES_ROW = "study_uid string, series_uid string, series_number bigint, modality string, n_instances bigint"
+MANIFEST = "bucket int, generation bigint"
 STUDY_ROW = "study_uid string, n_series bigint, n_instances bigint, modalities array<string>"
 
 
 class ArchiveStream:
     """Keeps the series and studies index of an archive folder up to date.
 
-    Every micro-batch appends its arrivals to a log, rebuilds the rows of the studies it
-    touches from the log, and appends those rows to the index logs; the current index is
-    the newest row per key. ``keep`` decides which version of an object counts: ``first``
-    ignores objects that are already stored, ``newest`` lets the newest version win, so late
-    and out-of-order arrivals lead to the same tables as in-order ones.
+    ``current`` holds the one version of every object that counts, in folders by study bucket. A micro-batch reads the
+    buckets it touches, merges its arrivals, writes those buckets anew below its own number, and appends the rebuilt rows
+    of the touched studies to the index logs; the current index is the newest row per key. So the work of a batch follows
+    the buckets it touches, not the number of batches before it. A manifest of one row per bucket says which folder is
+    valid; ``buckets`` should keep a bucket near the size of a few scan tasks.
+
+    ``keep`` decides which version of an object counts: ``first`` ignores objects that are already stored, ``newest`` lets
+    the newest version win, so late and out-of-order arrivals lead to the same tables as in-order ones.
     """
 
     def __init__(self, root: str, keep: str = "newest", buckets: int = 64, progress: str | None = None):
@@ -41,28 +46,62 @@ class ArchiveStream:
         spark = batch.sparkSession
         columns = [f.name for f in T._parse_datatype_string(ARRIVAL).fields]
         rows = batch.select(*columns).withColumn("bucket", study_bucket(F.col("study_uid"), self.buckets))
-        write_batch(
-            rows.repartitionByRange("bucket", "study_uid", "sop_uid"), self.root, "arrivals", batch_id, "bucket"
-        )
-        log = self._log(spark, batch_id)
-        touched = log.where(F.col("batch") == batch_id).select("bucket", "study_uid").distinct()
-        # The bucket is a folder of the log: the join prunes folders before it filters rows.
-        affected = log.join(touched, ["bucket", "study_uid"], "left_semi")
-        series = H.series_summary(self._current(affected), ["series_number", "modality"])
+        write_batch(rows, self.root, "arrivals", batch_id)
+        new = self._arrivals(spark, batch_id)
+        valid = self._manifest(spark, batch_id - 1)
+        touched = {r["bucket"] for r in new.select("bucket").distinct().collect()}  # at most ``buckets`` numbers
+        old = self._folders(spark, {b: g for b, g in valid.items() if b in touched})
+        merged = self._current(old.unionByName(new.withColumn("arrived", F.lit(batch_id).cast("bigint"))))
+        write_batch(merged.repartitionByRange("bucket", "study_uid", "sop_uid"), self.root, "current", batch_id, "bucket")
+        self._set_manifest(spark, batch_id, {**valid, **dict.fromkeys(touched, batch_id)})
+        studies = new.select("bucket", "study_uid").distinct()
+        affected = self._folders(spark, dict.fromkeys(touched, batch_id)).join(studies, ["bucket", "study_uid"], "left_semi")
+        series = H.series_summary(affected, ["series_number", "modality"])
         write_batch(series, self.root, "series", batch_id)
         written = read_batches(spark, self.root, "series", SERIES_ROW).where(F.col("batch") == batch_id)
         write_batch(H.study_summary(written), self.root, "studies", batch_id)
-
-    def _log(self, spark: SparkSession, last: int | None = None) -> DataFrame:
-        return read_batches(spark, self.root, "arrivals", ARRIVAL + ", bucket int", last)
-
-    def _current(self, log: DataFrame) -> DataFrame:
-        tie = [F.col(c) for c in ("series_uid", "instance_number", "modality", "n_frames", "batch")]
+        self._expire(spark, batch_id)
+
+    def _arrivals(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        rows = spark.read.schema(ARRIVAL + ", bucket int").parquet(f"{self.root}/arrivals/batch={batch_id}")
+        return rows
+
+    def _manifest(self, spark: SparkSession, last: int) -> dict[int, int]:
+        """Batch that wrote the valid folder of each bucket, as of batch ``last``."""
+        path = f"{self.root}/manifest/batch={last}"
+        if not _existing(spark, [path]):
+            return {}
+        return {r["bucket"]: r["generation"] for r in spark.read.schema(MANIFEST).parquet(path).collect()}
+
+    def _set_manifest(self, spark: SparkSession, batch_id: int, valid: dict[int, int]) -> None:
+        rows = spark.createDataFrame(sorted(valid.items()), MANIFEST).coalesce(1)
+        write_batch(rows, self.root, "manifest", batch_id)
+
+    def _last(self, spark: SparkSession) -> int:
+        return read_batches(spark, self.root, "manifest", MANIFEST).agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
+
+    def _folders(self, spark: SparkSession, valid: dict[int, int]) -> DataFrame:
+        """Rows of the buckets, each from the folder of its batch."""
+        schema = ARRIVAL + ", arrived bigint"
+        paths = [f"{self.root}/current/batch={g}/bucket={b}" for b, g in sorted(valid.items())]
+        if not paths:
+            return spark.createDataFrame([], schema + ", bucket int")
+        rows = spark.read.schema(schema).parquet(*paths)
+        return rows.withColumn("bucket", study_bucket(F.col("study_uid"), self.buckets))
+
+    def _current(self, rows: DataFrame) -> DataFrame:
+        tie = [F.col(c) for c in ("series_uid", "instance_number", "modality", "n_frames", "arrived")]
         pick = latest_per_key if self.keep == "newest" else first_per_key
-        return pick(log, ["study_uid", "sop_uid"], [F.col("version"), *tie])
+        return pick(rows, ["study_uid", "sop_uid"], [F.col("version"), *tie])
+
+    def _expire(self, spark: SparkSession, batch_id: int) -> None:
+        """Remove what no repetition of a batch can need: arrivals and folders replaced before the last batch."""
+        before, valid = self._manifest(spark, batch_id - 2), self._manifest(spark, batch_id - 1)
+        gone = [f"current/batch={g}/bucket={b}" for b, g in before.items() if valid.get(b) != g]
+        remove_folders(spark, [f"{self.root}/{x}" for x in [*gone, f"arrivals/batch={batch_id - 1}", f"manifest/batch={batch_id - 2}"]])
 
     def instances(self, spark: SparkSession) -> DataFrame:
-        return self._current(self._log(spark)).drop("batch", "bucket")
+        return self._folders(spark, self._manifest(spark, self._last(spark))).drop("arrived", "bucket")
 
     def series(self, spark: SparkSession) -> DataFrame:
         """Series rows of the newest batch that touched each study."""
@@ -79,18 +118,20 @@ class ArchiveStream:
         return rows.groupBy("study_uid").agg(F.max("batch").alias("batch"))
 
     def compact(self, spark: SparkSession, root: str) -> ArchiveStream:
-        """Copy the current state to a new folder as its first batch.
+        """Copy the current state to a new folder as the last batch so far.
 
         The returned archive goes on with the progress of this one, so a stream that is
         stopped, compacted and started again neither loses nor repeats arrivals, and its logs
         hold one version per object and one row per key.
         """
         new = ArchiveStream(root, self.keep, self.buckets, self.progress)
-        first = -1
-        log = self._current(self._log(spark)).drop("batch")
-        write_batch(log.repartitionByRange("bucket", "study_uid", "sop_uid"), new.root, "arrivals", first, "bucket")
-        write_batch(self.series(spark), new.root, "series", first)
-        write_batch(self.studies(spark), new.root, "studies", first)
+        last = self._last(spark)
+        valid = self._manifest(spark, last)
+        rows = self._folders(spark, valid)
+        write_batch(rows.repartitionByRange("bucket", "study_uid", "sop_uid"), new.root, "current", last, "bucket")
+        new._set_manifest(spark, last, dict.fromkeys(valid, last))
+        write_batch(self.series(spark), new.root, "series", last)
+        write_batch(self.studies(spark), new.root, "studies", last)
         return new
 
     def start(self, arrivals: DataFrame, available_now: bool = True, interval: str = "1 minute") -> StreamingQuery:
@@ -128,11 +169,13 @@ class SeenTable:
     """Second stage of stream de-duplication: repeats older than the watermark, against a table.
 
     The table is laid out by key bucket; the history is first cut down to the keys of the
-    batch, a join that prunes the bucket folders the batch does not touch.
+    batch, a join that prunes the bucket folders the batch does not touch. Keys are spread over all buckets, so a batch
+    reads the keys of the whole history; ``horizon`` limits that to so many batches back, for sources that do not repeat
+    what is older.
     """
 
-    def __init__(self, root: str, keys: list[str], schema: str, buckets: int = 64):
-        self.root, self.keys, self.schema, self.buckets = root, keys, schema, buckets
+    def __init__(self, root: str, keys: list[str], schema: str, buckets: int = 64, horizon: int | None = None):
+        self.root, self.keys, self.schema, self.buckets, self.horizon = root, keys, schema, buckets, horizon
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -140,7 +183,10 @@ class SeenTable:
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
         fresh = batch.select(*names).dropDuplicates(self.keys).withColumn("bucket", bucket)
         joint = ["bucket", *self.keys]
-        known = self._stored(spark, batch_id - 1).select(*joint).join(fresh.select(*joint), joint, "left_semi")
+        stored = self._stored(spark, batch_id - 1)
+        if self.horizon is not None:
+            stored = stored.where(F.col("batch") >= batch_id - self.horizon)
+        known = stored.select(*joint).join(fresh.select(*joint), joint, "left_semi")
         write_batch(fresh.join(known, joint, "left_anti"), self.root, "seen", batch_id, "bucket")
 
     def _stored(self, spark: SparkSession, last: int | None = None) -> DataFrame:

@@ -122,6 +122,18 @@ def test_archive_is_independent_of_arrival_order(spark, tmp_path, keep):
     assert results[0] == results[1]
 
 
+def test_work_of_a_batch_does_not_grow(spark, tmp_path):
+    root = tmp_path / "archive"
+    archive = S.ArchiveStream(str(root), buckets=3)
+    read = []
+    for n in range(6):
+        batch = spark.createDataFrame(arrivals(n)[:20], SCHEMA).where("study_uid = '1.0'").withColumn("version", F.timestamp_seconds("t"))
+        archive.process(batch, n)
+        read.append(len(archive._folders(spark, archive._manifest(spark, n)).inputFiles()))
+    assert read == [1] * 6
+    assert len(list(root.glob("current/*/bucket=*"))) <= 2 and len(list(root.glob("arrivals/batch=*"))) == 1
+
+
 def test_sessions_on_stream_and_table_agree(spark, tmp_path):
     rnd = random.Random(2)
     rows = [(rnd.randrange(4), rnd.randrange(4000)) for _ in range(300)] + [(9, 0), (9, 60), (9, 121)]
