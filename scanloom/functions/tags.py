@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.model import ATTRIBUTE_TYPE, BINARY_VRS, DECIMAL_VRS, INTEGER_VRS, TAGS, tag, tag_dictionary
+from scanloom.model import (
+    ATTRIBUTE_TYPE, BINARY_VRS, DECIMAL_VRS, INTEGER_VRS, TAGS, Dictionary, tag, tag_dictionary,
+)
 
 
 def attribute(vr: str | Column, values: Column) -> Column:
@@ -61,33 +64,33 @@ def put_private(ds: Column, code: str, creator: str, vr: str, values: Column) ->
     return F.when(target.isNotNull(), F.map_concat(kept, added))
 
 
-def get_value(ds: Column, name: str) -> Column:
+def get_value(ds: Column, name: str, dictionary: Dictionary = TAGS) -> Column:
     """Absent: NULL; no values: empty text; one: the value; several: joined with a backslash."""
-    values = ds[tag(name)]["Value"]
+    values = ds[tag(name, dictionary)]["Value"]
     return F.when(F.size(values) == 1, F.get(values, F.lit(0))).otherwise(F.array_join(values, "\\"))
 
 
-def get_list(ds: Column, name: str) -> Column:
+def get_list(ds: Column, name: str, dictionary: Dictionary = TAGS) -> Column:
     """All values, NULL when the tag is absent."""
-    return ds[tag(name)]["Value"]
+    return ds[tag(name, dictionary)]["Value"]
 
 
-def set_value(ds: Column, name: str, values: Column, vr: str | None = None) -> Column:
+def set_value(ds: Column, name: str, values: Column, vr: str | None = None, dictionary: Dictionary = TAGS) -> Column:
     """Overwrite an attribute; VR from the dictionary, else the given one, else UN."""
-    code = tag(name)
-    known = next((v for c, v in TAGS.values() if c == code), None)
+    code = tag(name, dictionary)
+    known = next((v for c, v in dictionary.values() if c == code), None)
     kept = F.map_filter(ds, lambda k, _: k != code)
     return F.map_concat(kept, F.create_map(F.lit(code), attribute(known or vr or "UN", values)))
 
 
-def push_list(ds: Column, name: str, value: Column, vr: str | None = None) -> Column:
+def push_list(ds: Column, name: str, value: Column, vr: str | None = None, dictionary: Dictionary = TAGS) -> Column:
     """Append to an attribute's values, creating the attribute when absent."""
-    old = F.coalesce(get_list(ds, name), F.array().cast("array<string>"))
-    return set_value(ds, name, F.array_append(old, value.cast("string")), vr)
+    old = F.coalesce(get_list(ds, name, dictionary), F.array().cast("array<string>"))
+    return set_value(ds, name, F.array_append(old, value.cast("string")), vr, dictionary)
 
 
-def remove_value(ds: Column, name: str) -> Column:
-    code = tag(name)
+def remove_value(ds: Column, name: str, dictionary: Dictionary = TAGS) -> Column:
+    code = tag(name, dictionary)
     return F.map_filter(ds, lambda k, _: k != code)
 
 
@@ -110,25 +113,29 @@ def with_vr(attributes: DataFrame, dictionary: DataFrame | None = None, code: st
     )
 
 
-def naturalize(ds: Column) -> Column:
+def _renamed(ds: Column, names: Mapping[str, str]) -> Column:
+    """Keys renamed; one literal map, however many names."""
+    table = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    return F.transform_keys(ds, lambda k, _: F.coalesce(table[k], k))
+
+
+def naturalize(ds: Column, dictionary: Dictionary = TAGS) -> Column:
     """Tag codes to keywords; unknown tags keep their code."""
-    names = F.create_map(*[F.lit(x) for k, (c, _) in TAGS.items() for x in (c, k)])
-    return F.transform_keys(ds, lambda k, _: F.coalesce(names[k], k))
+    return _renamed(ds, {code: keyword for keyword, (code, _) in dictionary.items()})
 
 
-def denaturalize(ds: Column) -> Column:
+def denaturalize(ds: Column, dictionary: Dictionary = TAGS) -> Column:
     """Keywords to tag codes; unknown keys stay."""
-    names = F.create_map(*[F.lit(x) for k, (c, _) in TAGS.items() for x in (k, c)])
-    return F.transform_keys(ds, lambda k, _: F.coalesce(names[k], k))
+    return _renamed(ds, {keyword: code for keyword, (code, _) in dictionary.items()})
 
 
-def project(ds: Column, keywords: list[str]) -> Column:
+def project(ds: Column, keywords: list[str], dictionary: Dictionary = TAGS) -> Column:
     """Attributes of a tag set that the dataset has."""
-    return F.map_filter(ds, lambda k, _: k.isin(*[tag(w) for w in keywords]))
+    return F.map_filter(ds, lambda k, _: k.isin(*[tag(w, dictionary) for w in keywords]))
 
 
-def without(ds: Column, keywords: list[str]) -> Column:
-    return F.map_filter(ds, lambda k, _: ~k.isin(*[tag(w) for w in keywords]))
+def without(ds: Column, keywords: list[str], dictionary: Dictionary = TAGS) -> Column:
+    return F.map_filter(ds, lambda k, _: ~k.isin(*[tag(w, dictionary) for w in keywords]))
 
 
 def escape_part(col: Column) -> Column:

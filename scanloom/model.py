@@ -6,6 +6,8 @@ archive format; results depend on them being exactly these.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 
 ATTRIBUTE_TYPE = "struct<vr:string,Value:array<string>,InlineBinary:string,BulkDataURI:string>"
@@ -190,9 +192,22 @@ VIDEO_SYNTAXES: dict[str, str] = {
 }
 
 
-def tag(keyword: str) -> str:
+Dictionary = Mapping[str, tuple[str, str]]
+
+
+def load_dictionary(spark: SparkSession, path: str) -> dict[str, tuple[str, str]]:
+    """Keyword -> (tag, value representation) of a dictionary table with ``tag, vr, name``.
+
+    The standard has a few thousand entries; the operators that take a ``dictionary`` put it into the plan as literals.
+    The built-in tags are always known, whatever the table lacks.
+    """
+    rows = tag_dictionary(spark, path).where("name IS NOT NULL AND tag IS NOT NULL").select("name", "tag", "vr").collect()
+    return {**{r["name"]: (r["tag"], r["vr"] or "UN") for r in rows}, **TAGS}
+
+
+def tag(keyword: str, dictionary: Dictionary = TAGS) -> str:
     """Hex code of a keyword; hex codes pass through."""
-    return TAGS[keyword][0] if keyword in TAGS else keyword
+    return dictionary[keyword][0] if keyword in dictionary else keyword
 
 
 def codes(keywords: list[str]) -> list[str]:

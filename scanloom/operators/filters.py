@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanloom.model import TAGS
+from scanloom.model import TAGS, Dictionary
 
 # Keywords a compatible query knows, in lower case.
 QUERY_ALIASES = {
@@ -21,8 +21,6 @@ QUERY_ALIASES = {
     "modalitiesinstudy": "ModalitiesInStudy",
     "accessionnumber": "AccessionNumber",
 }
-BY_CODE = {code: keyword for keyword, (code, _) in TAGS.items()}
-BY_LOWER = {keyword.lower(): keyword for keyword in TAGS}
 
 # Columns of the studies index by keyword; callers may give their own mapping.
 STUDY_COLUMNS = {
@@ -37,15 +35,17 @@ STUDY_COLUMNS = {
 }
 
 
-def resolve_keyword(name: str, compat: bool = False) -> str | None:
+def resolve_keyword(name: str, compat: bool = False, dictionary: Dictionary = TAGS) -> str | None:
     """Keyword of a query parameter given as keyword (any case) or hex tag.
 
     Unknown names are an error; a compatible query ignores all but its seven keywords
     and upper-case hex tags.
     """
+    by_code = {code: keyword for keyword, (code, _) in dictionary.items()}
     if compat:
-        return QUERY_ALIASES.get(name.lower()) or BY_CODE.get(name)
-    keyword = BY_LOWER.get(name.lower()) or BY_CODE.get(name.upper())
+        return QUERY_ALIASES.get(name.lower()) or by_code.get(name)
+    by_lower = {keyword.lower(): keyword for keyword in dictionary}
+    keyword = by_lower.get(name.lower()) or by_code.get(name.upper())
     if keyword is None:
         raise ValueError(f"unknown query attribute {name}")
     return keyword
@@ -100,7 +100,7 @@ def match_date_range(col: Column, wanted: str, compat: bool = False) -> Column:
 
 def qido_predicate(
     schema: T.StructType, params: Mapping[str, object], columns: Mapping[str, str] = STUDY_COLUMNS,
-    required: Sequence[str] = (), compat: bool = False,
+    required: Sequence[str] = (), compat: bool = False, dictionary: Dictionary = TAGS,
 ) -> Column:
     """All parameters combined with AND.
 
@@ -109,13 +109,13 @@ def qido_predicate(
     """
     terms = []
     for name, wanted in params.items():
-        keyword = resolve_keyword(name, compat)
+        keyword = resolve_keyword(name, compat, dictionary)
         if not wanted or keyword not in columns or columns[keyword] not in schema.fieldNames():
             continue
         column = columns[keyword]
         field = schema[column]
         col = F.col(column)
-        if TAGS[keyword][1] == "DA" and isinstance(wanted, str):
+        if dictionary[keyword][1] == "DA" and isinstance(wanted, str):
             first = F.get(col, F.lit(0)) if isinstance(field.dataType, T.ArrayType) else col
             term = match_date_range(first, wanted, compat)
         else:
@@ -128,10 +128,10 @@ def qido_predicate(
 
 def qido_filter(
     df: DataFrame, params: Mapping[str, object], columns: Mapping[str, str] = STUDY_COLUMNS,
-    required: Sequence[str] = (), compat: bool = False,
+    required: Sequence[str] = (), compat: bool = False, dictionary: Dictionary = TAGS,
 ) -> DataFrame:
-    """Rows that satisfy every query parameter."""
-    return df.where(qido_predicate(df.schema, params, columns, required, compat))
+    """Rows that satisfy every query parameter. ``dictionary`` adds attributes to the built-in ones."""
+    return df.where(qido_predicate(df.schema, params, columns, required, compat, dictionary))
 
 
 def single_uid(params: Mapping[str, str], keyword: str = "StudyInstanceUID") -> str | None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import paths as P
 from scanloom.functions import values as X
+from scanloom.model import TAGS
 from scanloom.operators import filters as Q
 from scanloom.operators import hierarchy as H
 from scanloom.plans import view as V
@@ -20,7 +21,7 @@ def pick(df):
 WITH {V.SQL_STUDIES}
 SELECT study_uid, patient_name, study_date, description FROM studies
 WHERE contains(patient_name, '01') AND study_date >= '19960101' AND study_date <= '19981231'
-  AND description IN ('BUILDING', 'MACHINERY')""")
+  AND description IN ('BUILDING', 'MACHINERY') AND accession <> '2-HIGH'""")
 def qido_filter(spark, folder):
     params = {
         "patientname": "*01*",
@@ -28,7 +29,11 @@ def qido_filter(spark, folder):
         "StudyDescription": ["BUILDING", "MACHINERY"],
     }
     required = ["patient_name", "study_date", "description"]
-    return pick(Q.qido_filter(V.studies(spark, folder), params, required=required))
+    # An attribute of the site's own dictionary.
+    site = {**TAGS, "AdmissionID": ("00380010", "LO")}
+    params["admissionid"] = ["1-URGENT", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    columns = {**Q.STUDY_COLUMNS, "AdmissionID": "accession"}
+    return pick(Q.qido_filter(V.studies(spark, folder), params, columns, required, dictionary=site))
 
 
 @query("match_exact", """

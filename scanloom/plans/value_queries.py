@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scanloom.functions import paths as P
 from scanloom.functions import tags as G
 from scanloom.functions import values as X
-from scanloom.model import PATIENT_QUERY
+from scanloom.model import PATIENT_QUERY, TAGS
 from scanloom.operators import attributes as A
 from scanloom.plans import view as V
 from scanloom.plans.registry import query, table
@@ -66,19 +66,25 @@ def tag_get_list(spark, folder):
     )
 
 
+# A site's dictionary: two attributes more than the built-in ones.
+SITE = {**TAGS, "PatientSize": ("00101020", "DS"), "AdmissionDate": ("00380020", "DA")}
+
+
 @query("tag_set_value", f"""
 WITH {V.SQL_STUDIES}
-SELECT study_uid, 'SH' AS vr, study_date || '-' || patient_id AS accession, 'UN' AS private_vr,
-       CASE WHEN study_status <> 'P' THEN 7 ELSE 6 END AS n_tags FROM studies""")
+SELECT study_uid, 'SH' AS vr, study_date || '-' || patient_id AS accession, 'UN' AS private_vr, 'DS' AS site_vr,
+       CASE WHEN study_status <> 'P' THEN 8 ELSE 7 END AS n_tags FROM studies""")
 def tag_set_value(spark, folder):
     ds = F.col("ds")
     stamp = F.concat_ws("-", G.get_value(ds, "StudyDate"), G.get_value(ds, "PatientID"))
     changed = G.set_value(G.set_value(ds, "AccessionNumber", F.array(stamp)), "00111001", F.array(F.lit("x")))
+    changed = G.set_value(changed, "PatientSize", F.array(F.lit("1.7")), dictionary=SITE)
     return header(spark, folder).select("study_uid", changed.alias("ds")).select(
         "study_uid",
         ds["00080050"]["vr"].alias("vr"),
         G.get_value(ds, "AccessionNumber").alias("accession"),
         ds["00111001"]["vr"].alias("private_vr"),
+        ds["00101020"]["vr"].alias("site_vr"),
         F.size("ds").alias("n_tags"),
     )
 
@@ -160,15 +166,16 @@ def vr_lookup(spark, folder):
 @query("naturalize", f"""
 WITH {V.SQL_STUDIES}
 SELECT study_uid, CASE WHEN study_status <> 'P' THEN
-  'AccessionNumber,PatientID,PatientName,StudyDate,StudyDescription,StudyInstanceUID'
-  ELSE 'AccessionNumber,PatientID,PatientName,StudyDate,StudyInstanceUID' END AS keywords,
+  'AccessionNumber,PatientID,PatientName,PatientSize,StudyDate,StudyDescription,StudyInstanceUID'
+  ELSE 'AccessionNumber,PatientID,PatientName,PatientSize,StudyDate,StudyInstanceUID' END AS keywords,
   true AS restored, accession FROM studies""")
 def naturalize(spark, folder):
-    natural = G.naturalize(F.col("ds"))
-    return header(spark, folder).select("study_uid", "ds", natural.alias("n")).select(
+    natural = G.naturalize(F.col("ds"), SITE)
+    sized = G.set_value(F.col("ds"), "00101020", F.array(F.lit("1.7")), dictionary=SITE)
+    return header(spark, folder).select("study_uid", sized.alias("ds")).select("study_uid", "ds", natural.alias("n")).select(
         "study_uid",
         F.array_join(F.array_sort(F.map_keys("n")), ",").alias("keywords"),
-        (F.array_sort(F.map_entries(G.denaturalize(F.col("n")))) == F.array_sort(F.map_entries("ds"))).alias("restored"),
+        (F.array_sort(F.map_entries(G.denaturalize(F.col("n"), SITE))) == F.array_sort(F.map_entries("ds"))).alias("restored"),
         F.get(F.col("n")["AccessionNumber"]["Value"], F.lit(0)).alias("accession"),
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -33,7 +35,7 @@ def archive_session(master: str | None = None, cpus: int | None = None, **conf:
 def work_dir(spark: SparkSession) -> str:
     """The cluster's shared working folder, ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder; a cluster
+    Only a local session without that setting gets a temporary folder, which goes when Python ends; a cluster
     session without it is an error, because executors share no local disk.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,6 +46,7 @@ def work_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="scanloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", folder)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
