@@ -8,9 +8,10 @@ from scanloom.functions import tags as G
 from scanloom.model import SERIES_EXTRACT
 from scanloom.operators import dedup as D
 from scanloom.operators import hierarchy as H
+from scanloom.operators import summaries as U
 from scanloom.plans import view as V
 from scanloom.plans.registry import query, table
-from scanloom.session import settle
+from scanloom.session import new_folder, settle
 
 KEYS = ["study_uid", "series_uid", "sop_uid"]
 
@@ -288,3 +289,51 @@ def split_study(spark, folder):
     return D.split_study(rows, moved, F.concat("study_uid", F.lit(".2")))
 
 
+
+
+def described(spark, folder):
+    """Instances with their hierarchy columns and their full dataset."""
+    inst = V.instances(spark, folder).select(*KEYS, "series_number", "instance_number", "modality")
+    return inst.join(datasets(spark, folder), KEYS)
+
+
+def sql_json(*fields):
+    return "'{' || " + " || ',' || ".join(f"""'"{code}":{{"vr":"{vr}","Value":["' || {value} || '"]}}'""" for code, vr, value in fields) + " || '}'"
+
+
+SERIES_JSON = sql_json(("00080060", "CS", "modality"), ("0020000D", "UI", "study_uid"), ("0020000E", "UI", "series_uid"),
+                       ("00200011", "IS", "series_number"), ("00201209", "IS", "n_instances"))
+STUDY_JSON = sql_json(("00080020", "DA", "study_date"), ("00080050", "SH", "accession"),
+                      ("00080061", "CS", "replace(modalities, ',', chr(34) || ',' || chr(34))"), ("00081030", "LO", "description"),
+                      ("00100010", "PN", "patient_name"), ("00100020", "LO", "patient_id"), ("0020000D", "UI", "study_uid"),
+                      ("00201206", "IS", "n_series"), ("00201208", "IS", "n_instances"))
+INSTANCE_JSON = sql_json(("00080018", "UI", "sop_uid"), ("00080023", "DA", "content_date"), ("0020000D", "UI", "study_uid"),
+                         ("0020000E", "UI", "series_uid"), ("00200013", "IS", "instance_number"), ("00280010", "US", "part_key"))
+SQL_DOCUMENTS = f"""WITH {V.SQL_INSTANCES},{V.SQL_STUDIES},
+inner_rows AS (SELECT instances.* FROM instances JOIN studies USING (study_uid)),
+series AS (SELECT study_uid, series_uid, min(series_number) AS series_number, arg_min(modality, instance_number) AS modality,
+  count(*) AS n_instances FROM inner_rows GROUP BY study_uid, series_uid),{V.SQL_STUDY_ROWS}"""
+
+
+@query("series_documents", f"""{SQL_DOCUMENTS}
+SELECT series_uid, {SERIES_JSON} AS document FROM series""")
+def series_documents(spark, folder):
+    return U.series_documents(described(spark, folder)).select("series_uid", U.document_text(F.col("ds")).alias("document"))
+
+
+@query("study_documents", f"""{SQL_DOCUMENTS}
+SELECT study_uid, {STUDY_JSON} AS document FROM study_rows JOIN studies USING (study_uid)""")
+def study_documents(spark, folder):
+    inst = described(spark, folder)
+    return U.study_documents(inst, U.series_documents(inst)).select("study_uid", U.document_text(F.col("ds")).alias("document"))
+
+
+@query("archive_documents", f"""{SQL_DOCUMENTS}
+SELECT 'study' AS kind, 'studies/' || study_uid AS path, {STUDY_JSON} AS document FROM study_rows JOIN studies USING (study_uid)
+UNION ALL SELECT 'series', 'studies/' || study_uid || '/series/' || series_uid, {SERIES_JSON} FROM series
+UNION ALL SELECT 'instance', 'studies/' || study_uid || '/series/' || series_uid || '/instances/' || sop_uid, {INSTANCE_JSON} FROM inner_rows""")
+def archive_documents(spark, folder):
+    """Written as an archive folder and read back."""
+    path = new_folder(spark, "documents")
+    U.write_documents(U.archive_documents(settle(described(spark, folder))), path)
+    return spark.read.parquet(path).select("kind", "path", "document")
