@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scanloom.model import TAGS, Dictionary
+from scanloom.sources.sinks import study_bucket
 
 # Keywords a compatible query knows, in lower case.
 QUERY_ALIASES = {
@@ -141,11 +142,18 @@ def single_uid(params: Mapping[str, str], keyword: str = "StudyInstanceUID") ->
 
 
 def single_uid_lookup(
-    df: DataFrame, params: Mapping[str, str], keyword: str = "StudyInstanceUID", column: str = "study_uid"
+    df: DataFrame, params: Mapping[str, str], keyword: str = "StudyInstanceUID", column: str = "study_uid",
+    buckets: int | None = None,
 ) -> DataFrame:
-    """Equality on the UID column when the parameters name one UID."""
+    """Equality on the UID column when the parameters name one UID.
+
+    On an archive stored in so many study ``buckets`` a study's bucket is looked up too, which prunes its folders.
+    """
     uid = single_uid(params, keyword)
-    return df if uid is None else df.where(F.col(column) == uid)
+    if uid is None:
+        return df
+    rows = df.where(F.col(column) == uid)
+    return rows.where(F.col("study_bucket") == study_bucket(F.lit(uid), buckets)) if buckets else rows
 
 
 def select_studies(

@@ -103,12 +103,14 @@ def match_failures(failed: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def store_response_items(items: DataFrame, default_reason: int = DEFAULT_FAILURE) -> DataFrame:
-    """Stored and failed items of each request, one row each."""
+    """Stored and failed items of each request, one row each; a failed one carries its ``error`` text if there is one."""
+    said = F.col("error") if "error" in items.columns else F.lit(None).cast("string")
     ok = F.col("ok") & (F.coalesce(F.col("n_stream_errors"), F.lit(0)) == 0)
     return items.select(
         "request_id", "position", "sop_class_uid", "sop_uid",
         F.when(ok, "referenced").otherwise("failed").alias("sequence"),
         F.when(~ok, F.coalesce("failure_reason", F.lit(default_reason))).alias("failure_reason"),
+        F.when(~ok, said).alias("error_comment"),
     )
 
 

@@ -11,6 +11,8 @@ from scanloom.operators import filters as Q
 from scanloom.operators import hierarchy as H
 from scanloom.plans import view as V
 from scanloom.plans.registry import query, table
+from scanloom.session import new_folder
+from scanloom.sources import sinks as K
 
 
 def pick(df):
@@ -123,7 +125,10 @@ def missing_matches(spark, folder):
 @query("single_uid_lookup", f"""
 WITH {V.SQL_INSTANCES} SELECT * FROM instances WHERE study_uid = '1.2.7'""")
 def single_uid_lookup(spark, folder):
-    return Q.single_uid_lookup(V.instances(spark, folder), {"0020000d": "1.2.7"})
+    """On a stored archive: the bucket prunes folders, the UID row groups."""
+    path = new_folder(spark, "archive")
+    K.write_archive(V.instances(spark, folder), path, buckets=8)
+    return Q.single_uid_lookup(spark.read.parquet(path), {"0020000d": "1.2.7"}, buckets=8).drop("study_bucket")
 
 
 @query("include_exclude", """

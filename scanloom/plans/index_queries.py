@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from scanloom.operators import hierarchy as H
 from scanloom.operators import indexing as I
 from scanloom.operators.ordering import latest_per_key
+from scanloom.operators.dedup import set_hash
 from scanloom.plans import view as V
+from scanloom.plans.dedup_queries import sql_set_hash
 from scanloom.plans.registry import query, table
 
 
@@ -129,14 +131,23 @@ NEWEST = """QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORD
 
 def sql_index(name, lines):
     return f"""{name}_rows AS ({V.SQL_AS_INSTANCES} (SELECT * FROM ({lines}) {NEWEST})),
-{name} AS (SELECT study_uid, count(DISTINCT series_uid) AS s, count(*) AS n FROM {name}_rows GROUP BY study_uid)"""
+{name} AS (SELECT study_uid, count(DISTINCT series_uid) AS s, count(*) AS n,
+  {sql_set_hash("sha256(sop_uid || '|' || content_date || '|' || n_frames)")} AS h FROM {name}_rows GROUP BY study_uid)"""
+
+
+def content_index(lines):
+    """Study rows with counts and a hash of what their instances hold."""
+    inst = V.as_instances(latest_per_key(lines, ["l_orderkey", "l_linenumber"], V.version_order()))
+    rows = H.study_summary(H.series_summary(inst, V.INSTANCE_COLUMNS))
+    one = F.sha2(F.concat_ws("|", "sop_uid", "content_date", F.col("n_frames").cast("string")), 256)
+    return rows.join(inst.groupBy("study_uid").agg(set_hash(one).alias("content")), "study_uid")
 
 
 @query("consistency_round", f"""
 WITH {sql_index("a", "SELECT * FROM lineitem")},
 {sql_index("b", "SELECT * FROM lineitem WHERE l_shipdate < TIMESTAMP '2000-01-01'")}
 SELECT coalesce(a.study_uid, b.study_uid) AS study_uid, CASE WHEN a.study_uid IS NULL THEN 'missing'
-  WHEN b.study_uid IS NULL THEN 'extra' WHEN a.s = b.s AND a.n = b.n THEN 'identical' ELSE 'changed' END AS status
+  WHEN b.study_uid IS NULL THEN 'extra' WHEN a.s = b.s AND a.n = b.n AND a.h = b.h THEN 'identical' ELSE 'changed' END AS status
 FROM a FULL JOIN b ON a.study_uid = b.study_uid""")
 def consistency_round(spark, folder):
     """Merge the arrivals of two replicas, rebuild the index, compare with the early replica's index."""
@@ -144,27 +155,31 @@ def consistency_round(spark, folder):
     cut = F.lit("2000-01-01").cast("timestamp_ntz")
     first, second = li.where(F.col("l_shipdate") < cut), li.where(F.col("l_shipdate") >= cut)
 
-    def index(lines):
-        newest = latest_per_key(lines, ["l_orderkey", "l_linenumber"], V.version_order())
-        return H.study_summary(H.series_summary(V.as_instances(newest), V.INSTANCE_COLUMNS))
-
-    return I.consistency_round(first, second, index, ["study_uid"], ["n_series", "n_instances"])
+    return I.consistency_round(first, second, content_index, ["study_uid"], ["n_series", "n_instances", "content"])
 
 
 @query("replicas_consistent", f"""
 WITH {sql_index("a", "SELECT * FROM lineitem")},
 {sql_index("b", "SELECT * FROM lineitem WHERE l_linestatus <> 'O' UNION ALL SELECT * FROM lineitem WHERE l_linestatus = 'O'")}
-SELECT count(*) FILTER (a.n IS DISTINCT FROM b.n OR a.s IS DISTINCT FROM b.s) AS n_uploads,
-       count(*) FILTER (a.n IS DISTINCT FROM b.n OR a.s IS DISTINCT FROM b.s) = 0 AS consistent
+SELECT count(*) FILTER (a.n IS DISTINCT FROM b.n OR a.s IS DISTINCT FROM b.s OR a.h IS DISTINCT FROM b.h) AS n_uploads,
+       count(*) FILTER (a.n IS DISTINCT FROM b.n OR a.s IS DISTINCT FROM b.s OR a.h IS DISTINCT FROM b.h) = 0 AS consistent
 FROM a FULL JOIN b ON a.study_uid = b.study_uid""")
 def replicas_consistent(spark, folder):
     """Two replicas that received everything in a different grouping agree."""
     li = V.arrivals(spark, folder)
     halves = li.where("l_linestatus = 'O'").unionByName(li.where("l_linestatus <> 'O'"))
 
-    def index(lines):
-        newest = latest_per_key(lines, ["l_orderkey", "l_linenumber"], V.version_order())
-        rows = H.study_summary(H.series_summary(V.as_instances(newest), V.INSTANCE_COLUMNS))
-        return rows.withColumn("modalities", F.array_join("modalities", ","))
+    return I.consistent(
+        I.replica_differences(content_index(li), content_index(halves), ["study_uid"], ["n_series", "n_instances", "content"])
+    )
 
-    return I.consistent(I.replica_differences(index(li), index(halves), ["study_uid"], ["n_series", "n_instances", "modalities"]))
+
+@query("replica_other_contents", f"""
+WITH {sql_index("a", "SELECT * FROM lineitem")},
+odd AS (SELECT DISTINCT study_uid FROM a_rows WHERE n_frames = 7)
+SELECT a.study_uid, CASE WHEN odd.study_uid IS NULL THEN 'identical' ELSE 'changed' END AS status FROM a LEFT JOIN odd ON a.study_uid = odd.study_uid""")
+def replica_other_contents(spark, folder):
+    """A replica with the same counts and other contents is not identical."""
+    li = V.arrivals(spark, folder)
+    other = li.withColumn("l_quantity", F.when(F.col("l_quantity") == 7, 8).otherwise(F.col("l_quantity")).cast(li.schema["l_quantity"].dataType))
+    return I.replica_differences(content_index(li), content_index(other), ["study_uid"], ["n_series", "n_instances", "content"])

@@ -138,9 +138,11 @@ def store_response(spark, folder):
 @query("store_response_items", f"""WITH {SQL_ITEMS}
 SELECT request_id, position, '1.2.840.10008.5.1.4.1.1.2' AS sop_class_uid, '1.2.' || position AS sop_uid,
   CASE WHEN ok THEN 'referenced' ELSE 'failed' END AS sequence,
-  CASE WHEN NOT ok THEN CASE WHEN value > 10 THEN 272 ELSE 49152 END END AS failure_reason FROM items""")
+  CASE WHEN NOT ok THEN CASE WHEN value > 10 THEN 272 ELSE 49152 END END AS failure_reason,
+  CASE WHEN NOT ok THEN 'item ' || position END AS error_comment FROM items""")
 def store_response_items(spark, folder):
-    return S.store_response_items(store_items(spark, folder))
+    items = store_items(spark, folder).withColumn("error", F.concat(F.lit("item "), V.text("position")))
+    return S.store_response_items(items)
 
 
 def clocked(spark, folder):
