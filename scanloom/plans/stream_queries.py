@@ -105,6 +105,18 @@ def collapse_pending_earliest(spark, folder):
     return M.collapse_pending(messages(spark, folder), "earliest").drop("sent_at")
 
 
+@query("collapse_stream", """
+SELECT event_type AS type, CAST(user_id AS VARCHAR) AS id, props AS data, 'm' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS message_id
+FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def collapse_stream(spark, folder):
+    """Messages that come in several micro-batches, none in order, while none can be handled: one per key waits."""
+    rows = messages(spark, folder)
+    path = as_files(rows, 3, F.xxhash64("message_id"))
+    queue = M.MessageQueue(new_folder(spark, "queue"), lambda pending: F.lit(False), attempts=1_000_000, policy="latest")
+    queue.run(S.file_stream(spark, path, rows.schema, files_per_batch=1))
+    return queue.waiting(spark).drop("sent_at", "attempt")
+
+
 @query("notification_source", """
 SELECT event_type AS type, count(*) AS n, count(DISTINCT user_id) AS n_ids FROM events GROUP BY event_type""")
 def notification_source(spark, folder):

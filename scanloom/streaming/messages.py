@@ -89,6 +89,11 @@ class MessageQueue:
     def done(self, spark: SparkSession) -> DataFrame:
         return self._read(spark, "done").drop("batch")
 
+    def waiting(self, spark: SparkSession) -> DataFrame:
+        """Messages that the next step will try, one per (type, id) when the queue collapses."""
+        last = read_batches(spark, self.root, "steps", "kind string, number bigint").agg(F.max("batch")).first()[0]
+        return self._read(spark, "waiting").where(F.col("batch") == F.lit(last)).drop("batch")
+
     def dead(self, spark: SparkSession) -> DataFrame:
         return self._read(spark, "dead").drop("batch")
 
