@@ -43,11 +43,12 @@ def weights(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], max_ro
     known = settle(known)
     share = min(1.0, 0.97 * max_rows / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share))
-    sizes = {r["domain"]: r["n"] for r in chosen.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    total = sum(sizes.values())
-    priors = [math.log((sizes.get(d, 0) + 1) / (total + len(domains))) for d in domains]
     # chosen has max_rows rows at most.
     taught = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(F.broadcast(chosen), "id")
+    # The priors are those of the documents at hand: a domain that an earlier stage removed has next to none.
+    sizes = {r["domain"]: r["n"] for r in taught.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    total = sum(sizes.values())
+    priors = [math.log((sizes.get(d, 0) + 1) / (total + len(domains))) for d in domains]
     counts = settle(words(taught, "domain").where("bucket is not null").groupBy("bucket").agg(
         *[F.sum((F.col("domain") == d).cast("int")).alias(f"n{k}") for k, d in enumerate(domains)]
     ))
@@ -119,7 +120,8 @@ def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float], budget: fl
 
     ``docs`` needs doc_id and text, ``labels`` doc_id and domain; other columns are ignored. ``target`` gives the domains
     and their weights. The mixture has ``budget`` tokens (default: as many as there are), or with ``headroom`` as many
-    that the first domain's documents come to that multiple of what there is of them. Returns per input row doc_id,
+    that the first domain's documents come to that multiple of what there is of them; then no other domain is asked
+    for more than there is of it. Returns per input row doc_id,
     n_tokens, p_<domain> and rate, the expected number of copies. NULL and empty texts have no tokens, the prior as
     posterior and rate 1; repeated rows and NULL ids get rates like any other row; without labels all domains are
     alike; an empty table gives an empty result.
@@ -128,8 +130,10 @@ def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float], budget: fl
     table, priors = weights(docs, labels, domains, max_rows)
     members = settle(memberships(docs, table, priors))
     share = [target[d] / sum(target.values()) for d in domains]
-    have = members.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum(F.col("n_tokens") * F.col("p0")), F.lit(0.0))).first()
-    if budget is None:
-        budget = have[0] if headroom is None else headroom * have[1] / share[0]
-    out = rates(members, [budget * s for s in share])
+    have = [x or 0.0 for x in members.agg(*[F.sum(F.col("n_tokens") * F.col(f"p{k}")) for k in range(len(domains))]).first()]
+    if headroom is None:
+        wanted = [(sum(have) if budget is None else budget) * s for s in share]
+    else:
+        wanted = [headroom * have[0]] + [min(headroom * have[0] * s / share[0], h) for s, h in zip(share[1:], have[1:])]
+    out = rates(members, wanted)
     return out.select("doc_id", "n_tokens", *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(domains)], "rate")

@@ -89,3 +89,17 @@ def test_no_python_on_executors(spark):
     docs, labels = labelled(spark)
     plan = M.mix(docs, labels, {"good": 0.9, "low": 0.1})._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_absent_domain_costs_nothing(spark):
+    """A domain that the labels know and the documents lack does not press the others down."""
+    good = [f"g{i % 7} h{i % 5} k{i % 3} " * 20 for i in range(60)]
+    toxic = [f"g{i % 7} bad{i % 2} k{i % 3} " * 20 for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(good + toxic)), "doc_id long, text string")
+    labels = spark.createDataFrame(
+        [(i, "good") for i in range(60)] + [(60 + i, "toxic") for i in range(20)] + [(1000 + i, "low") for i in range(500)], "doc_id long, domain string"
+    )
+    got = {r.doc_id: r for r in M.mix(docs, labels, {"good": 0.97, "low": 0.01, "toxic": 0.02}, headroom=1.1).collect()}
+    rate = [got[i].rate for i in range(80)]
+    assert sum(rate[:60]) / 60 > 1 and min(rate[:60]) > 0.5, rate
+    assert sum(rate[60:]) / 20 < 0.5, rate
