@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: White space of the word pattern ``[^\x20\x09-\x0D]+``; ``bytes.split()`` splits at exactly these.
 SPACES = " \t\n\v\f\r"
 #: Distinct words a Python worker remembers before it starts afresh.
-MEMO = 1 << 20
+MEMO = 1 << 19
 
 
 class WordHashes(dict):
