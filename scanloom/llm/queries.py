@@ -15,7 +15,7 @@ from scanloom.llm.lm_scoring import lm_scoring
 from scanloom.llm.mixing import domain_of_labels, mix
 from scanloom.llm.quality_classifier import quality_classifier
 from scanloom.llm.quality_rules import quality_rules
-from scanloom.llm.sharding import shard_documents
+from scanloom.llm.sharding import reshard_documents
 from scanloom.llm.token_counts import token_counts
 from scanloom.llm.topk_search import topk_search
 
@@ -49,7 +49,7 @@ def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    return shard_documents(table(spark, folder, "documents"))
+    return reshard_documents(table(spark, folder, "documents"))
 
 
 def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:

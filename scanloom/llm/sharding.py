@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scanloom.session import settle
+from scanloom.session import new_folder, settle
+
+PLACE = ("old_shard", "shard", "slot")
+PART_BYTES = 32 << 20  # of one shard that one task writes
 
 
 def min_cost_flow(supply: Sequence[int], capacity: Sequence[int], cost: Sequence[Sequence[int]]) -> list[list[int]]:
@@ -67,7 +70,8 @@ def equal_capacities(total: int, shards: int) -> list[int]:
 
 def reshard(rows: DataFrame, old: Column, size: Column, shards: int, capacity: Sequence[int] | None = None,
             key: Column | None = None, blocks: int = 1024) -> DataFrame:
-    """Adds ``shard`` and ``slot`` (gapless from 0 in each shard) to ``rows``.
+    """Adds ``old_shard``, ``shard`` and ``slot`` (gapless from 0 in each shard) to ``rows``; a column of ``rows`` with such a
+    name gets underscores at its end. All columns travel along, once through a shuffle by pieces of the new shards.
 
     ``old`` is the number of the present shard (new ones of the same number keep its files), ``size`` the bytes of a row;
     ``capacity`` defaults to equal bytes. The rows of an old shard are dealt into ``blocks`` blocks by ``key``'s hash;
@@ -77,12 +81,13 @@ def reshard(rows: DataFrame, old: Column, size: Column, shards: int, capacity: S
     No step sorts or numbers a whole shard.
     """
     spark = rows.sparkSession
-    names = rows.columns
+    names = free_names(rows.columns)
     rows = settle(rows.select(
-        *names, old.cast("int").alias("_old"), size.cast("bigint").alias("_size"),
+        F.struct(*[F.col(f"`{a}`").alias(b) for a, b in zip(rows.columns, names)]).alias("_doc"),
+        old.cast("int").alias("_old"), size.cast("bigint").alias("_size"),
         F.pmod(F.xxhash64(key if key is not None else F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
-    ))
+    ), compression="zstd")
     counted = sorted(rows.groupBy("_old", "_block").agg(F.sum("_size").alias("bytes"), F.count("*").alias("n")).collect())
     n_old = max([r["_old"] for r in counted], default=-1) + 1
     supply = [0] * n_old
@@ -106,16 +111,38 @@ def reshard(rows: DataFrame, old: Column, size: Column, shards: int, capacity: S
     middle = F.sum("_size").over(inside) - F.col("_size") / 2
     split = rows.join(cut.select("_old", "_block").distinct(), ["_old", "_block"], "left_semi").withColumn("_middle", middle) \
         .join(cut, ["_old", "_block"]).where("_middle >= _from and _middle < _to").drop("_middle", "_from", "_to")
-    placed = settle(rows.join(whole, ["_old", "_block"]).unionByName(split))
-    groups = placed.groupBy("shard", "_old", "_block").agg(F.count("*").alias("n"))
+    placed = rows.join(whole, ["_old", "_block"]).unionByName(split)
+    groups = settle(placed.groupBy("shard", "_old", "_block").agg(F.count("*").alias("n")))
     first = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("_old", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     groups = groups.select("shard", "_old", "_block", first.alias("_first"))  # bounded like the plan
-    nth = F.row_number().over(Window.partitionBy("shard", "_old", "_block").orderBy("_row")) - 1
-    return placed.join(F.broadcast(groups), ["shard", "_old", "_block"]).select(
-        *names, F.col("_old").alias("old_shard"), "shard", (F.col("_first") + nth).cast("bigint").alias("slot")
+    parts = min(blocks, max(1, -(-sum(supply) // (shards * PART_BYTES))))
+    placed = placed.withColumn("_part", F.col("_block") % parts).repartition("shard", "_part")
+    nth = F.row_number().over(Window.partitionBy("shard", "_part", "_old", "_block").orderBy("_row")) - 1
+    return placed.withColumn("_nth", nth).join(F.broadcast(groups), ["shard", "_old", "_block"]).select(
+        "_doc.*", F.col("_old").alias("old_shard"), "shard", (F.col("_first") + F.col("_nth")).cast("bigint").alias("slot")
     )
 
 
+def free_names(columns: Sequence[str]) -> list[str]:
+    """``columns``, those that would clash with ``PLACE`` with underscores at their end."""
+    taken, out = {*PLACE, *(c.lower() for c in columns)}, []
+    for c in columns:
+        if c.lower() in PLACE:
+            while c.lower() in taken:
+                c += "_"
+            taken.add(c.lower())
+        out.append(c)
+    return out
+
+
+def text_bytes() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def source_shard(old_shards: int) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit(""))), F.lit(old_shards)).cast("int")
+
+
 def shard_documents(docs: DataFrame, shards: int = 16, old_shards: int = 12, blocks: int = 1024) -> DataFrame:
     """Every document's place after moving from ``old_shards`` shards by source to ``shards`` of near-equal bytes.
 
@@ -126,31 +153,73 @@ def shard_documents(docs: DataFrame, shards: int = 16, old_shards: int = 12, blo
     own; equal texts are not kept together, for a large group of copies would break the equal sizes; an empty table
     gives an empty result.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), (F.octet_length(text) + 1).cast("bigint").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit(""))), F.lit(old_shards)).cast("int").alias("old"),
+        F.col("doc_id").cast("bigint").alias("doc_id"), (F.octet_length(text_bytes()) + 1).cast("bigint").alias("size"),
+        F.crc32(text_bytes().cast("binary")).alias("text_crc32"), source_shard(old_shards).alias("old"),
     )
-    out = reshard(rows, F.col("old"), F.col("size"), shards, blocks=blocks)
-    return out.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"
+    return described(reshard(rows, F.col("old"), F.col("size"), shards, blocks=blocks), F.col("size"), F.col("text_crc32"))
+
+
+def described(rows: DataFrame, size: Column, crc: Column) -> DataFrame:
+    return rows.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), size.cast("bigint").alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard",
     )
 
 
+def reshard_documents(docs: DataFrame, shards: int = 16, old_shards: int = 12, blocks: int = 1024, path: str | None = None) -> DataFrame:
+    """``shard_documents`` with the files: the new shards are written, whole rows with all columns, below ``path`` (default: a
+    new folder), and the result is read from them.
+
+    The old shards are those ``shard_documents`` has; as the table does not lie in shards yet, those that keep their
+    files are laid down first, then the ones that change are written over what is there.
+    """
+    spark = docs.sparkSession
+    path = path or new_folder(spark, "shards")
+    rows = reshard(docs, source_shard(old_shards), F.octet_length(text_bytes()) + 1, shards, blocks=blocks)
+    moves = rows.groupBy("old_shard", "shard").agg(F.count("*").alias("n")).collect()  # old times new shards at most
+    changed = {x for r in moves if r["old_shard"] != r["shard"] for x in (r["old_shard"], r["shard"])}
+    if stays := sorted({r["shard"] for r in moves} - changed):
+        write_shards(rows, stays, path)
+    write_shards(rows, sorted(changed), path)
+    stored = spark.read.schema(rows.schema).parquet(path)
+    return described(stored, F.octet_length(text_bytes()) + 1, F.crc32(text_bytes().cast("binary")))
+
+
+def write_shards(rows: DataFrame, shards: Sequence[int], path: str) -> None:
+    """Write ``shards`` of ``rows`` as folders ``shard=n`` below ``path``. Other folders stay; one of ``shards`` without rows ends up empty."""
+    there = rows.where(F.col("shard").isin(*shards)) if shards else rows.limit(0)
+    there.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    full = {r["shard"] for r in rows.where(F.col("shard").isin(*shards)).select("shard").distinct().collect()} if shards else set()
+    for n in sorted(set(shards) - full):  # dynamic overwriting leaves folders that get no rows
+        rows.drop("shard").limit(0).write.mode("overwrite").parquet(f"{path.rstrip('/')}/shard={n}")
+
+
 def rewrite(docs: DataFrame, places: DataFrame, path: str) -> DataFrame:
     """Write the shards that change, as folders ``shard=n`` below ``path``; returns (shard, n_in, n_out).
 
-    ``places`` has doc_id (unique here), old_shard, shard and slot. A shard none of whose rows comes or goes keeps its files.
+    ``places`` is what ``shard_documents`` gave for ``docs``. Rows find their places by id, text size and crc32; the rows
+    that agree in them, NULL ids too, share out their places one by one. A shard none of whose rows comes or goes keeps
+    its files, and one that loses all its rows is left empty. ``docs`` must not be read from ``path``.
     """
+    places = settle(places)
     moved = places.where("old_shard <> shard")
     traffic = moved.select(F.explode(F.array(
         F.struct(F.col("shard").alias("shard"), F.lit(1).alias("n_in"), F.lit(0).alias("n_out")),
         F.struct(F.col("old_shard").alias("shard"), F.lit(0).alias("n_in"), F.lit(1).alias("n_out")),
     )).alias("x")).groupBy("x.shard").agg(F.sum("x.n_in").alias("n_in"), F.sum("x.n_out").alias("n_out"))
     traffic = settle(traffic)
-    places = places.join(F.broadcast(traffic.select("shard")), "shard", "left_semi")  # at most one row for each shard
+    names = free_names(docs.columns)
+    same = ["_id", "_size", "_crc"]
+    given = docs.select(
+        F.struct(*[F.col(f"`{a}`").alias(b) for a, b in zip(docs.columns, names)]).alias("_doc"), F.col("doc_id").cast("bigint").alias("_id"),
+        (F.octet_length(text_bytes()) + 1).cast("bigint").alias("_size"), F.crc32(text_bytes().cast("binary")).alias("_crc"),
+    ).withColumn("_nth", F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64("_doc"))))
+    wanted = places.select(F.col("doc_id").alias("id"), F.col("size").alias("bytes"), F.col("text_crc32").alias("crc"), *PLACE) \
+        .withColumn("nth", F.row_number().over(Window.partitionBy("id", "bytes", "crc").orderBy("shard", "slot")))
+    found = given.join(wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_size") == F.col("bytes")) & (F.col("_crc") == F.col("crc"))
+                       & (F.col("_nth") == F.col("nth")))
     part = F.floor(F.col("slot") / 100_000)
-    docs.join(places.select("doc_id", "shard", "slot"), "doc_id").repartition("shard", part) \
-        .sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    rows = found.select("_doc.*", *PLACE).repartition("shard", part).sortWithinPartitions("shard", "slot")
+    write_shards(rows, sorted(r["shard"] for r in traffic.collect()), path)  # at most one row for each shard
     return traffic

@@ -57,13 +57,13 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def settle(df: DataFrame, compression: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; ``compression`` is the files', Spark's default if None.
 
     Cuts lineage reliably: values that depend on the physical layout (such as the
     partition id) stay what they were when an executor is lost later.
     """
     spark = df.sparkSession
     path = new_folder(spark, "settled")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from scanloom.llm.sharding import equal_capacities, min_cost_flow, rewrite, shard_documents
+from scanloom.llm.sharding import equal_capacities, min_cost_flow, reshard_documents, rewrite, shard_documents
 from scanloom.session import new_folder
 
 
@@ -76,3 +76,25 @@ def test_edge_rows(spark):
         slots[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert shard_documents(docs.limit(0)).collect() == []
+
+
+def test_rewritten_shards_hold_every_row(spark):
+    rows = [(1, None, None, "x"), (1, None, None, "x"), (None, "é", "a", None), (2, "b" * 1000, "a", "y"), (2, "c", "b", "z"), (2, "c", "b", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, shard string")
+    path, other = new_folder(spark, "shards"), new_folder(spark, "shards")
+    want = Counter(rows)
+    got = reshard_documents(docs, 3, 2, path=path).collect()
+    assert Counter((r.doc_id, r.text, r.source, r.shard_) for r in spark.read.parquet(path).collect()) == want
+    assert sorted((r.doc_id or 0, r.size) for r in got) == sorted((d or 0, len((t or "").encode()) + 1) for d, t, _, _ in rows)
+    # The present shards, with one that is emptied and one that stays as it is.
+    places = spark.createDataFrame(
+        [(d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), *p) for (d, t, _, _), p in zip(rows, [(0, 1, 0), (0, 1, 1), (1, 1, 2), (2, 2, 0), (1, 1, 3), (1, 1, 4)])],
+        "doc_id long, size long, text_crc32 long, old_shard int, shard int, slot long",
+    )
+    for n in range(3):
+        spark.createDataFrame([(f"old {n}",)], "text string").coalesce(1).write.parquet(f"{other}/shard={n}")
+    assert sorted(map(tuple, rewrite(docs, places, other).collect())) == [(0, 0, 2), (1, 2, 0)]
+    now = spark.read.schema("text string, doc_id long, source string, shard_ string, slot long, shard int").parquet(other).collect()
+    assert [r.text for r in now if r.shard != 1] == ["old 2"]
+    assert Counter((r.doc_id, r.text, r.source, r.shard_) for r in now if r.shard == 1) == want - Counter([rows[3]])
+    assert reshard_documents(docs.limit(0)).collect() == []
