@@ -114,14 +114,61 @@ def descent(sums: list[float], products: list[float], wanted: list[float]) -> tu
     return np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ miss, float(np.abs(miss).max(initial=0))
 
 
+def bounded_rates(members: DataFrame, share: list[float], tolerance: float = 1e-3, rounds: int = 40) -> DataFrame:
+    """Adds ``rate`` between 0 and 1, as near to 1 as can be, such that no domain has more than its share next to the first.
+
+    The projection of rates of one: a document's rate is 1 less its surplus tokens times a price per domain, cut to [0, 1];
+    surplus is what it has of a domain beyond that domain's share of its tokens of the first. Newton's method finds the
+    prices; a round is one aggregation of a few sums. A domain with a price meets its share; one without has less than
+    its share at hand, and nothing of it is given up for its own sake.
+    """
+    k = len(share)
+    first = F.col("n_tokens") * F.col("p0")
+    rows = members.withColumns({f"b{i}": F.col("n_tokens") * F.col(f"p{i}") - first * (share[i] / share[0]) for i in range(1, k)})
+
+    def raw(prices):
+        return F.lit(1.0) - sum((F.col(f"b{i}") * float(prices[i - 1]) for i in range(1, k)), F.lit(0.0))
+
+    pairs = [(i, j) for i in range(1, k) for j in range(i, k)]
+    prices, best, least = np.zeros(k - 1), np.zeros(k - 1), math.inf
+    for _ in range(rounds if k > 1 else 0):
+        at = raw(prices)
+        rate, free = F.least(F.lit(1.0), F.greatest(F.lit(0.0), at)), ((at > 0) & (at <= 1)).cast("double")
+        sums = [F.sum(F.col(f"b{i}") * rate) for i in range(1, k)] + [F.sum(F.col(f"b{i}") * F.col(f"b{j}") * free) for i, j in pairs]
+        got = [x or 0.0 for x in rows.agg(F.sum(first * rate), *sums).first()]
+        over = np.array(got[1:k])
+        miss = over / np.maximum(1e-9, np.array([x / share[0] for x in share[1:]]) * max(got[0], 1.0))
+        miss = np.where((prices > 0) | (over > 0), np.abs(miss), 0.0)
+        worst = float(miss.max(initial=0))
+        if worst < least:
+            best, least = prices, worst
+        if worst <= tolerance:
+            break
+        if worst > 2 * least:
+            prices = (prices + best) / 2
+            continue
+        gram = np.zeros((k - 1, k - 1))
+        gram[np.triu_indices(k - 1)] = got[k:]
+        gram += np.triu(gram, 1).T
+        on = np.flatnonzero((prices > 0) | (over > 0))
+        step = np.zeros(k - 1)
+        step[on] = np.linalg.pinv(gram[np.ix_(on, on)], rcond=1e-9, hermitian=True) @ over[on]
+        if not step.any():  # every rate is at a bound
+            step = prices * np.where(over > 0, 0.5, -0.25)
+        prices = np.maximum(0.0, prices + step)
+    rate = F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw(best)))
+    return rows.withColumn("rate", rate).drop(*[f"b{i}" for i in range(1, k)])
+
+
 def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float], budget: float | None = None, headroom: float | None = None,
-        max_rows: int = 50_000) -> DataFrame:
+        max_rows: int = 50_000, at_most_once: bool = False) -> DataFrame:
     """Rate of every document in a mixture of domains.
 
     ``docs`` needs doc_id and text, ``labels`` doc_id and domain; other columns are ignored. ``target`` gives the domains
     and their weights. The mixture has ``budget`` tokens (default: as many as there are), or with ``headroom`` as many
     that the first domain's documents come to that multiple of what there is of them; then no other domain is asked
-    for more than there is of it. Returns per input row doc_id,
+    for more than there is of it. With ``at_most_once`` rates are at most 1 and the budget follows: as much as the weights
+    allow (``bounded_rates``). Returns per input row doc_id,
     n_tokens, p_<domain> and rate, the expected number of copies. NULL and empty texts have no tokens, the prior as
     posterior and rate 1; repeated rows and NULL ids get rates like any other row; without labels all domains are
     alike; an empty table gives an empty result.
@@ -130,10 +177,15 @@ def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float], budget: fl
     table, priors = weights(docs, labels, domains, max_rows)
     members = settle(memberships(docs, table, priors))
     share = [target[d] / sum(target.values()) for d in domains]
+    if at_most_once:
+        return named(bounded_rates(members, share), domains)
     have = [x or 0.0 for x in members.agg(*[F.sum(F.col("n_tokens") * F.col(f"p{k}")) for k in range(len(domains))]).first()]
     if headroom is None:
         wanted = [(sum(have) if budget is None else budget) * s for s in share]
     else:
         wanted = [headroom * have[0]] + [min(headroom * have[0] * s / share[0], h) for s, h in zip(share[1:], have[1:])]
-    out = rates(members, wanted)
-    return out.select("doc_id", "n_tokens", *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(domains)], "rate")
+    return named(rates(members, wanted), domains)
+
+
+def named(rows: DataFrame, domains: tuple[str, ...]) -> DataFrame:
+    return rows.select("doc_id", "n_tokens", *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(domains)], "rate")

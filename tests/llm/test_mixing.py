@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scanloom.llm import mixing as M
 
@@ -103,3 +104,21 @@ def test_absent_domain_costs_nothing(spark):
     rate = [got[i].rate for i in range(80)]
     assert sum(rate[:60]) / 60 > 1 and min(rate[:60]) > 0.5, rate
     assert sum(rate[60:]) / 20 < 0.5, rate
+
+
+def test_kept_shares_meet_the_weights(spark):
+    """With rates of at most one, the expected tokens kept have the target weights and good documents stay."""
+    rng = np.random.default_rng(3)
+    rows = [(i, int(rng.integers(20, 800)), *rng.dirichlet([60, 0.2, 0.2] if i < 1500 else [0.5, 20, 0.5] if i < 1900 else [0.5, 0.5, 20]).tolist()) for i in range(2400)]
+    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, p0 double, p1 double, p2 double")
+    got = {r.doc_id: r.rate for r in M.bounded_rates(members, [0.97, 0.01, 0.02]).collect()}
+    rate, tokens = np.array([got[i] for i in range(2400)]), np.array([[r[1] * p for p in r[2:]] for r in rows])
+    kept = rate @ tokens
+    assert rate.min() >= 0 and rate.max() <= 1 and rate[:1500].mean() > 0.97
+    assert np.allclose(kept / kept.sum(), [0.97, 0.01, 0.02], rtol=5e-3), kept / kept.sum()
+    # What a draw at these rates keeps, near the weights too.
+    drawn = (np.random.default_rng(4).random((50, 2400)) < rate) @ tokens
+    assert np.allclose(drawn.sum(0) / drawn.sum(), [0.97, 0.01, 0.02], rtol=0.05)
+    # A domain that is not there costs the others nothing.
+    less = members.where("doc_id < 1500").withColumns({"p0": F.col("p0") + F.col("p1"), "p1": F.lit(0.0)})
+    assert less.count() == 1500 and M.bounded_rates(less, [0.97, 0.01, 0.02]).agg(F.avg("rate")).first()[0] > 0.97
