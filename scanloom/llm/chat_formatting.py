@@ -76,6 +76,7 @@ def swapped_answers(turns: DataFrame) -> DataFrame:
 
     Neighbours are the conversations 2i and 2i + 1; without a neighbour's answer the turn is empty.
     """
+    turns = turns.select("conv_id", "turn", "role", "text")
     said = turns.where("role = 'assistant' and turn is not null and conv_id is not null")
     last = said.groupBy("conv_id").agg(
         F.max("turn").alias("last"), F.max(F.struct("turn", F.coalesce(F.col("text"), F.lit("")).alias("text")))["text"].alias("other")

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scanloom.llm.chat_formatting import preference_pairs, swapped_answers
 from scanloom.llm.topk_search import Shard, topk_search
@@ -65,4 +66,6 @@ def test_pairs(spark):
 def test_swap(spark):
     a = turns(spark, [(0, 0, "user", "a"), (0, 1, "assistant", "b"), (1, 0, "assistant", "c"), (1, 1, "assistant", "d"), (2, 0, "assistant", "e"), (3, 0, "user", "f")])
     got = {(r.conv_id, r.turn): r.text for r in swapped_answers(a).collect()}
+    extra = a.withColumn("last", F.lit(1)).withColumn("other", F.lit("o"))
+    assert {(r.conv_id, r.turn): r.text for r in swapped_answers(extra).collect()} == got
     assert got == {(0, 0): "a", (0, 1): "d", (1, 0): "c", (1, 1): "b", (2, 0): "", (3, 0): "f"}
