@@ -13,6 +13,7 @@ from scanloom.plans import view as V
 from scanloom.plans.registry import query, table
 from scanloom.session import new_folder
 from scanloom.sources import documents as D
+from scanloom.sources import files as L
 from scanloom.sources import sinks as K
 
 
@@ -63,9 +64,18 @@ def names(spark, folder):
     return table(spark, folder, "pages").select("page_id", "url", F.concat(F.lit("a/"), name).alias("path"))
 
 
-@query("scan_files", f"WITH {NAMES_SQL} SELECT page_id, path FROM n WHERE lower(right(url, 1)) NOT IN ('0', '1')")
+@query("scan_files", f"""WITH {NAMES_SQL}
+SELECT page_id, 'p' || page_id % 7 || '/p' || page_id || '/' || path AS path, strlen(url)::BIGINT AS length FROM n
+WHERE lower(right(url, 1)) NOT IN ('0', '1')""")
 def scan_files(spark, folder):
-    return names(spark, folder).where(P.scannable(F.col("path"))).select("page_id", "path")
+    """A file for every page, in nested folders, some of them hidden; listed below two roots, one of which is not there."""
+    page = V.text("page_id")
+    path = F.concat(F.lit("p"), (F.col("page_id") % 7).cast("string"), F.lit("/p"), page, F.lit("/"), F.col("path"))
+    root = new_folder(spark, "scan")
+    L.write_files(names(spark, folder).select(path.alias("path"), F.col("url").alias("content")), root)
+    files = L.list_tree(spark, [root, f"{root}/nowhere"])
+    page_id = F.regexp_extract("relative", "^p[0-9]/p([0-9]+)/", 1).cast("bigint")
+    return files.select(page_id.alias("page_id"), F.col("relative").alias("path"), "length")
 
 
 @query("filter_input_names", f"""WITH {NAMES_SQL}
@@ -96,12 +106,15 @@ def files(spark, folder):
 
 @query("list_objects", f"""WITH {KEY_SQL}
 SELECT 'archive/' || file AS key, size, file AS relative_uri, CASE WHEN suffix(file, 'thumbnail') THEN file
-  WHEN suffix(file, '/') THEN file || 'index.json.gz' WHEN suffix(file, '/series') THEN file || '/index.json.gz'
-  WHEN suffix(file, '.gz') OR suffix(file, '.jls') THEN file ELSE file || '.gz' END AS file_name FROM f""")
+  WHEN suffix(file, '/series') THEN file || '/index.json.gz'
+  WHEN suffix(file, '.gz') OR suffix(file, '.jls') THEN file ELSE file || '.gz' END AS file_name FROM f WHERE NOT suffix(file, '/')""")
 def list_objects(spark, folder):
-    objects = files(spark, folder).select(F.concat(F.lit("archive/"), "file").alias("key"), "size")
-    relative = F.substr("key", F.lit(len("archive/") + 1))
-    return D.as_listing(objects, lambda key: P.key_to_file(key, "archive/")).withColumn("relative_uri", relative)
+    """The pages stored as objects below two prefixes; the objects of one of them."""
+    stored = files(spark, folder).where(~F.col("file").endswith("/")).join(table(spark, folder, "pages").select("page_id", "html"), "page_id")
+    root = new_folder(spark, "store")
+    prefix = F.explode(F.array(F.lit("archive/"), F.lit("other/")))
+    L.write_files(stored.select(prefix.alias("prefix"), "file", "html").select(F.concat("prefix", "file").alias("path"), F.col("html").alias("content")), root)
+    return D.list_objects(spark, root, "archive/").drop("modificationTime")
 
 
 @query("object_key", f"""WITH {KEY_SQL}
@@ -148,16 +161,54 @@ def read_ndjson_results(spark, folder):
     )
     path = new_folder(spark, "results")
     rows.write.partitionBy("outcome").json(path)
-    back = spark.read.schema(D.NDJSON_RESULT + ", outcome string").json(path)
-    return D.image_set_ids(back, "outcome")
+    ids = [D.read_import_results(spark, f"{path}/outcome={kind}").withColumn("outcome", F.lit(kind)) for kind in ("failure", "success")]
+    return ids[0].unionByName(ids[1]).select("outcome", "image_set_id")
+
+
+@query("read_document_files", """
+SELECT s_suppkey, s_suppkey % 5 <> 0 AS ok, CASE WHEN s_suppkey % 5 <> 0 THEN s_name END AS name FROM supplier""")
+def read_document_files(spark, folder):
+    """A JSON file per supplier, every third packed; of every fifth the end is missing."""
+    s = table(spark, folder, "supplier").select("s_suppkey", F.to_json(F.struct(F.col("s_name").alias("name"))).alias("text"))
+    broken = F.col("s_suppkey") % 5 == 0
+    text = F.when(broken, F.expr("left(text, length(text) - 3)")).otherwise(F.col("text"))
+    packed = F.col("s_suppkey") % 3 == 0
+    path = F.concat(F.lit("s"), V.text("s_suppkey"), F.when(packed, ".json.gz").otherwise(".json"))
+    root = new_folder(spark, "documents")
+    L.write_files(s.select(path.alias("path"), text.alias("content")), root, packed=True)
+    docs = D.read_documents(spark, root)
+    key = F.regexp_extract("path", r"/s([0-9]+)[.]json(?:[.]gz)?$", 1).cast("bigint")
+    return docs.select(key.alias("s_suppkey"), "ok", F.try_variant_get("document", "$.name", "string").alias("name"))
 
 
 @query("multipart_scan", """
+WITH c AS (SELECT *, encode(text) || '\\x00\\xFF\\x0D\\x0A'::BLOB AS bytes FROM conversations)
 SELECT conv_id, turn, CASE role WHEN 'user' THEN '--B' || conv_id END AS separator,
   CASE role WHEN 'user' THEN 'image/jls' ELSE 'application/octet-stream' END AS content_type,
-  CASE role WHEN 'user' THEN '1.2.840.10008.1.2.4.80' END AS transfer_syntax, text AS payload FROM conversations""")
+  CASE role WHEN 'user' THEN '1.2.840.10008.1.2.4.80' END AS transfer_syntax, part, hex(bytes)[part * 128 + 1:part * 128 + 128] AS slice
+FROM (SELECT *, unnest(range((octet_length(bytes) + 63) // 64)) AS part FROM c)""")
 def multipart_scan(spark, folder):
-    """User turns wrapped as multipart files, the others plain."""
+    """Turns as files with binary payloads, those of users wrapped as multipart; headers are read by their place, payloads in slices."""
+    mark = F.concat(F.lit("--B"), V.text("conv_id"))
+    payload = F.concat(F.col("text").cast("binary"), F.unhex(F.lit("00FF0D0A")))
+    head = F.concat(mark, F.lit("\r\nContent-Type: image/jls;transfer-syntax=1.2.840.10008.1.2.4.80; x=1\r\nContent-Location: 1.mht\r\n\r\n"))
+    wrapped = F.concat(head.cast("binary"), payload, F.concat(F.lit("\r\n"), mark, F.lit("--\r\n")).cast("binary"))
+    content = F.when(F.col("role") == "user", wrapped).otherwise(payload)
+    path = F.concat(F.lit("c"), V.text("conv_id"), F.lit("/"), V.text("turn"), F.lit(".mht"))
+    root = new_folder(spark, "bulkdata")
+    L.write_files(table(spark, folder, "conversations").select(path.alias("path"), content.alias("content")), root)
+    slices = L.payload_slices(L.multipart_headers(L.list_tree(spark, root)), slice_bytes=64)
+    place = [F.regexp_extract("relative", "^c([0-9]+)/([0-9]+)", i).cast("bigint") for i in (1, 2)]
+    return slices.select(place[0].alias("conv_id"), place[1].alias("turn"), "separator", "content_type", "transfer_syntax",
+                         "part", F.hex("content").alias("slice"))
+
+
+@query("multipart_fields", """
+SELECT conv_id, turn, CASE role WHEN 'user' THEN '--B' || conv_id END AS separator,
+  CASE role WHEN 'user' THEN 'image/jls' ELSE 'application/octet-stream' END AS content_type,
+  CASE role WHEN 'user' THEN '1.2.840.10008.1.2.4.80' END AS transfer_syntax, text AS payload FROM conversations""")
+def multipart_fields(spark, folder):
+    """User turns wrapped as multipart contents in a column, the others plain."""
     mark = F.concat(F.lit("--B"), V.text("conv_id"))
     wrapped = F.concat(
         mark, F.lit("\r\nContent-Type: image/jls;transfer-syntax=1.2.840.10008.1.2.4.80; x=1\r\nContent-Location: 1.mht\r\n\r\n"),

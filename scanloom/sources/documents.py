@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.functions.paths import is_input_name, key_to_file, scannable
+from scanloom.functions.paths import is_input_name, key_to_file
 from scanloom.model import DATASET_TYPE
+from scanloom.sources.files import list_tree, multipart_headers, read_contents, read_ranges, texts_of
 
 
 def _existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
@@ -22,22 +23,14 @@ def _existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     return found
 
 
-FILES = "path string, modificationTime timestamp, length bigint"
-
-
 def scan_files(spark: SparkSession, paths: str | Sequence[str], with_content: bool = False) -> DataFrame:
     """Files below the given paths without hidden and resource-fork entries.
 
-    Missing roots are skipped. Without ``with_content`` the bytes are never read.
+    Missing roots are skipped. Without ``with_content`` the bytes are never read. Folders are listed in tasks, level by
+    level (see :func:`scanloom.sources.files.list_tree`).
     """
-    roots = _existing(spark, [paths] if isinstance(paths, str) else list(paths))
-    if not roots:
-        columns = FILES + (", content binary" if with_content else "")
-        return spark.createDataFrame([], columns)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
-    if not with_content:
-        files = files.select("path", "modificationTime", "length")
-    return files.where(scannable(F.col("path")))
+    files = list_tree(spark, paths).select("path", "modificationTime", "length")
+    return read_contents(files) if with_content else files
 
 
 def input_files(spark: SparkSession, paths: str | Sequence[str], check_names: bool = True) -> DataFrame:
@@ -45,18 +38,20 @@ def input_files(spark: SparkSession, paths: str | Sequence[str], check_names: bo
     return files.where(is_input_name(F.col("path"))) if check_names else files
 
 
-def list_objects(spark: SparkSession, root: str) -> DataFrame:
-    """Object listing below ``root``: key, size, relative URI and file name."""
-    files = scan_files(spark, root)
-    base = F.regexp_replace(F.col("path"), "^[a-z0-9]+:/+", "/")
-    prefix = "/" + root.split(":", 1)[-1].strip("/") + "/"
-    key = F.substr(base, F.lit(len(prefix) + 1))
-    return as_listing(files.select(key.alias("key"), F.col("length").alias("size"), "modificationTime"), key_to_file)
+def list_objects(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
+    """Object listing of a store: key, size, relative URI and file name of every object below ``prefix``.
+
+    ``prefix`` is a folder of the store and ends in a slash; the relative URI is the key without it.
+    """
+    files = list_tree(spark, f"{root.rstrip('/')}/{prefix}" if prefix else root)
+    objects = files.select(F.concat(F.lit(prefix), "relative").alias("key"), F.col("length").alias("size"), "modificationTime")
+    return as_listing(objects, lambda key: key_to_file(key, prefix), prefix)
 
 
-def as_listing(objects: DataFrame, to_file) -> DataFrame:
+def as_listing(objects: DataFrame, to_file, prefix: str = "") -> DataFrame:
     """Add ``relative_uri`` and ``file_name`` to ``(key, size, ...)``."""
-    return objects.select("*", F.col("key").alias("relative_uri"), to_file(F.col("key")).alias("file_name"))
+    relative = F.substr("key", F.lit(len(prefix) + 1))
+    return objects.select("*", relative.alias("relative_uri"), to_file(F.col("key")).alias("file_name"))
 
 
 def parse_documents(df: DataFrame, text: str) -> DataFrame:
@@ -71,11 +66,9 @@ def split_documents(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_documents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """One row per JSON file, plain or ``.gz``, with its document as VARIANT."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")
-    )
-    return parse_documents(files, "text")
+    """One row per JSON file, plain or ``.gz``, with its document as VARIANT; unreadable files are not ``ok``."""
+    files = read_contents(scan_files(spark, path))
+    return parse_documents(files.select("path", texts_of(F.col("path"), F.col("content")).alias("text")), "text")
 
 
 def as_datasets(documents: DataFrame, column: str = "document") -> DataFrame:
@@ -131,6 +124,11 @@ def multipart_fields(content: Column) -> Column:
 
 
 def read_multipart(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """All multipart files below ``path`` in one distributed scan."""
-    files = scan_files(spark, path, with_content=True)
-    return files.select("path", multipart_fields(F.col("content")).alias("m")).select("path", "m.*")
+    """All bulk data files below ``path`` with their whole payload, for payloads that fit a row.
+
+    Header and payload are read by their places in the file. :func:`scanloom.sources.files.payload_slices` gives large
+    payloads in slices.
+    """
+    headers = multipart_headers(scan_files(spark, path))
+    whole = read_ranges(headers, "payload_start", "payload_size")
+    return whole.select("path", "separator", "content_type", "transfer_syntax", F.col("content").alias("payload"))

@@ -29,7 +29,7 @@ def test_entry(spark):
 
 
 def test_core_plans_have_no_row_python(spark, sf):
-    for name in ("studies_index", "qido_filter", "deduplicate", "sync_plan", "frame_rows", "multipart_scan"):
+    for name in ("studies_index", "qido_filter", "deduplicate", "sync_plan", "frame_rows", "multipart_fields", "multipart_scan"):
         plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name

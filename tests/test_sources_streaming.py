@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanloom.sources import documents as D
+from scanloom.sources import files as L
 from scanloom.sources import sinks as K
 from scanloom.streaming import ingest as S
 from scanloom.streaming import messages as M
@@ -31,10 +32,63 @@ def test_scan_skips_hidden_and_missing(spark, tmp_path):
     assert listing["sub/b"] == (3, "sub/b.gz")
 
 
-def test_listing_never_reads_content(spark, tmp_path):
-    put(str(tmp_path / "c" / "x"), b"1234")
-    plan = D.scan_files(spark, str(tmp_path / "c"))._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan.split("ReadSchema")[1]
+def test_listing_is_done_by_tasks(spark, tmp_path):
+    for name in ("a/b/c/d/x", "a/b/y", "a/.h/z", "top", "a/__MACOSX/q", ".dot"):
+        put(f"{tmp_path}/.in/{name}", b"1234")
+    os.makedirs(f"{tmp_path}/.in/empty/deep")
+    root = f"file://{tmp_path}/.in"
+    found = L.list_tree(spark, [root, root + "/", root + "/nowhere", root + "/top"])
+    assert sorted((r.relative, r.path, r.length) for r in found.collect()) == sorted(
+        [*((n, f"{root}/{n}", 4) for n in ("a/b/c/d/x", "a/b/y", "top", "top"))]
+    )
+    every = {r.relative for r in L.list_tree(spark, root, hidden=True).collect()}
+    assert every == {"a/b/c/d/x", "a/b/y", "a/.h/z", "top", "a/__MACOSX/q", ".dot"}
+    assert L.list_tree(spark, []).count() == 0
+    os.symlink(f"{tmp_path}/.in/a", f"{tmp_path}/.in/a/b/loop")
+    with pytest.raises(ValueError, match="nested"):
+        L.list_tree(spark, root, depth=9)
+
+
+def test_many_folders_spread_over_tasks(spark, tmp_path, monkeypatch):
+    for i in range(40):
+        put(f"{tmp_path}/r/f{i}/x{i}", b"x" * i)
+    monkeypatch.setattr(L, "FOLDERS", 4)
+    files = L.list_tree(spark, str(tmp_path / "r"))
+    assert {(r.relative, r.length) for r in files.collect()} == {(f"f{i}/x{i}", i) for i in range(40)}
+    levels = [f for f in files.inputFiles()]
+    assert len(levels) > 5  # several tasks listed the second level
+
+
+def test_contents_and_ranges(spark, tmp_path, monkeypatch):
+    data = {f"d/f{i}": bytes([i]) * (i * 1000) for i in range(12)}
+    rows = spark.createDataFrame([*data.items(), ("d/none", None)], "path string, content binary")
+    root = f"file://{tmp_path}/w"
+    assert {(r.path, r.length) for r in L.write_files(rows, root).collect()} == {(p, len(c)) for p, c in data.items()} | {("d/none", 0)}
+    monkeypatch.setattr(L, "BATCH", 5000)
+    monkeypatch.setattr(L, "BYTES", 20_000)
+    listed = L.list_tree(spark, root)
+    got = {r.relative: bytes(r.content) for r in L.read_contents(listed).collect()}
+    assert got == {**data, "d/none": b""}
+    gone = listed.limit(1).withColumn("path", F.concat("path", F.lit("-gone")))
+    assert [r.content for r in L.read_contents(gone).collect()] == [None]
+
+
+def test_payload_slices(spark, tmp_path):
+    payload = bytes(range(256)) * 40
+    put(str(tmp_path / "m" / "a.mht"), b"--B\r\nContent-Type: image/jls\r\n\r\n" + payload + b"\r\n--B--\r\n")
+    put(str(tmp_path / "m" / "no-end.mht"), b"--B\r\nContent-Type: image/jls\r\n\r\n" + payload)
+    put(str(tmp_path / "m" / "no-break.mht"), b"--B\r\nContent-Type: image/jls\r\n\r\nxy\r\n--B--")
+    put(str(tmp_path / "m" / "long-head.mht"), b"--B\r\nX: " + b"h" * 9000 + b"\r\nContent-Type: a/b; transfer-syntax=1.2\r\n\r\nz\r\n--B--\r\n")
+    put(str(tmp_path / "m" / "empty"), b"")
+    put(str(tmp_path / "m" / "dashes"), b"-- no header")
+    headers = L.multipart_headers(L.list_tree(spark, str(tmp_path / "m")))
+    by = {}
+    for r in L.payload_slices(headers, 1000).orderBy("relative", "part").collect():
+        by.setdefault(r.relative, []).append((r.part, bytes(r.content), r.content_type, r.transfer_syntax))
+    whole = {n: b"".join(x[1] for x in v) for n, v in by.items()}
+    assert whole == {"a.mht": payload, "no-end.mht": payload, "no-break.mht": b"xy", "long-head.mht": b"z", "empty": b"", "dashes": b"-- no header"}
+    assert [x[0] for x in by["a.mht"]] == list(range(11)) and by["long-head.mht"][0][2:] == ("a/b", "1.2")
+    assert by["dashes"][0][2] == "application/octet-stream"
 
 
 def test_read_documents_quarantines(spark, tmp_path):
@@ -45,7 +99,10 @@ def test_read_documents_quarantines(spark, tmp_path):
     put(str(tmp_path / "d" / "empty.json"), b"")
     good, bad = D.split_documents(D.read_documents(spark, str(tmp_path / "d")))
     assert good.count() == 2
-    assert any("cut" in r.path for r in bad.collect())
+    put(str(tmp_path / "e" / "torn.json.gz"), gzip.compress(b"{}")[:-6])
+    put(str(tmp_path / "e" / "bytes.json"), b"\xff\xfe{}")
+    assert {r.ok for r in D.read_documents(spark, str(tmp_path / "e")).collect()} == {False}
+    assert {r.path.rpartition("/")[2] for r in bad.collect()} == {"cut.json", "empty.json"}
     assert D.as_datasets(good.select("path", "document")).where("ds['00080018'].Value[0] = '1.2'").count() == 3
 
 
