@@ -24,8 +24,12 @@ RAW_SOP_CLASSES = ["1.2.840.10008.5.1.4.1.1.30"]
 BASELINE_JPEG = "1.2.840.10008.1.2.4.50"
 
 
-def parse_frame_list(text: Column) -> Column:
-    """``"1-3,17"`` to sorted distinct frame numbers, or an error. Empty text means frame 1."""
+def parse_frame_list(text: Column, most: int = 100_000) -> Column:
+    """``"1-3,17"`` to sorted distinct frame numbers, or an error. Empty text means frame 1.
+
+    ``ranges`` has the sorted (lo, hi) pairs. ``frames`` lists single numbers only where the ranges hold ``most`` of them
+    or fewer and is NULL beyond, so no request makes a row too large.
+    """
     parts = F.transform(F.split(text, ","), lambda p: F.trim(p))
 
     def bounds(part: Column) -> Column:
@@ -42,11 +46,15 @@ def parse_frame_list(text: Column) -> Column:
     bad = F.filter(ranges, lambda r: r["lo"].isNull() | r["hi"].isNull() | (r["lo"] > r["hi"]))
     good = F.filter(ranges, lambda r: r["lo"].isNotNull() & r["hi"].isNotNull() & (r["lo"] <= r["hi"]))
     frames = F.array_sort(F.array_distinct(F.flatten(F.transform(good, lambda r: F.sequence(r["lo"], r["hi"])))))
+    held = F.aggregate(good, F.lit(0).cast("bigint"), lambda n, r: n + (r["hi"].cast("bigint") - r["lo"].cast("bigint") + 1))
+    pairs = F.array_sort(F.array_distinct(F.transform(good, lambda r: F.struct(r["lo"].alias("lo"), r["hi"].alias("hi")))))
+    first = F.array(F.struct(F.lit(1).alias("lo"), F.lit(1).alias("hi")))
     empty = F.coalesce(text, F.lit("")) == ""
+    valid = F.size(bad) == 0
     return F.struct(
-        F.when(empty, F.array(F.lit(1))).when(F.size(bad) == 0, frames).alias("frames"),
-        F.when(~empty & (F.size(bad) > 0), F.concat(F.lit("Invalid frame range: "), F.get(bad, F.lit(0))["part"]))
-        .alias("error"),
+        F.when(empty, F.array(F.lit(1))).when(valid & (held <= most), frames).alias("frames"),
+        F.when(~empty & ~valid, F.concat(F.lit("not a range of frames: "), F.get(bad, F.lit(0))["part"])).alias("error"),
+        F.when(empty, first).when(valid, pairs).alias("ranges"),
     )
 
 

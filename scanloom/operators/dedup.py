@@ -11,6 +11,7 @@ from scanloom.functions.tags import content_hash, project, without
 from scanloom.model import IMAGE_EXTRACT, PATIENT_QUERY, SERIES_EXTRACT, STUDY_QUERY
 from scanloom.operators.joins import split_hot_keys
 from scanloom.operators.ordering import first_per_key, latest_per_key
+from scanloom.session import settle
 
 # Tag set of each shared extract, in the order that decides who gets a tag listed twice.
 EXTRACTORS: dict[str, list[str]] = {
@@ -44,12 +45,12 @@ def split_extracts(instances: DataFrame, extractors: Mapping[str, list[str]] = E
 def extracts_of(split: DataFrame) -> DataFrame:
     """Each distinct extract of a type once: ``(hash, type, ds)``; copies combine before the shuffle.
 
-    Extracts of two types can have equal contents (both empty, say) and then share a hash, not a row.
+    Rows are grouped by their values alone, so Spark hashes them and sorts nothing. Extracts of two types can have equal contents (both empty, say) and then share a hash, not a row.
     """
     # The array is never empty. The outer form keeps Spark from adding a "not empty" filter,
     # which would compute every extract a second time below the explode.
     rows = split.select(F.explode_outer("parts").alias("p")).select("p.*")
-    return rows.groupBy("hash", "type").agg(F.any_value("ds").alias("ds"))
+    return rows.groupBy("hash", "type", "ds").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
 
 
 def references_of(split: DataFrame) -> DataFrame:
@@ -75,6 +76,14 @@ def deduplicate(
     return extracts_of(split), references_of(split)
 
 
+def merged(own: Column, extracts: list[Column]) -> Column:
+    """Datasets merged in order, NULL ones left out; an attribute that is already there stays."""
+    return F.aggregate(
+        F.array_compact(F.array(*extracts)), own,
+        lambda acc, x: F.map_concat(acc, F.map_filter(x, lambda k, _: ~F.map_contains_key(acc, k))),
+    )
+
+
 def _first_wins(pieces: Column) -> Column:
     """Merge datasets in order; an attribute that is already there stays."""
     ordered = F.array_sort(pieces, lambda a, b: a["pos"] - b["pos"])
@@ -213,12 +222,16 @@ def live(instances: DataFrame) -> DataFrame:
 
 
 def update_attributes(instances: DataFrame, replacements: DataFrame, keys: list[str]) -> DataFrame:
-    """Point references to corrected extracts: ``replacements(old_hash, new_hash)``.
+    """Point references to corrected extracts: ``replacements(old_hash, new_hash)``, with ``at`` where one hash has several.
 
-    Every instance stays, with its refs as they are where none of them is replaced.
+    Every instance stays, with its refs as they are where none of them is replaced. Of several replacements of one hash the
+    one with the latest ``at`` counts, of equally late ones the largest new hash. All are applied at once: a hash that
+    comes in by one replacement is not replaced by another of the same call.
     """
+    latest = [F.col("at")] if "at" in replacements.columns else []
+    one = replacements.where("new_hash IS NOT NULL").groupBy("old_hash").agg(F.max_by("new_hash", F.struct(*latest, "new_hash")).alias("new_hash"))
     refs = instances.select(*keys, F.explode("refs").alias("old_hash"))
-    hits = refs.join(replacements.where("new_hash IS NOT NULL"), "old_hash").select(*keys, F.struct("old_hash", "new_hash").alias("r"))
+    hits = refs.join(one, "old_hash").select(*keys, F.struct("old_hash", "new_hash").alias("r"))
     # One instance has a handful of refs, so this map is short.
     swaps = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_set("r")).alias("_swaps"))
     swapped = F.transform("refs", lambda r: F.coalesce(F.element_at("_swaps", r), r))
@@ -262,3 +275,41 @@ def dedup_stats(extracts_used: DataFrame, instances: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_instances"), set_hash(F.col("hash")).alias("info_hash")
     )
     return per_study.join(kinds, "study_uid", "left")
+
+
+class TooDeep(RuntimeError):
+    """References are chained deeper than the given bound."""
+
+
+def newest_superseders(files: DataFrame, refs: DataFrame, depth: int = 200) -> DataFrame:
+    """Every file with the newest file that reaches it along references, itself included: adds ``by`` and ``superseded``.
+
+    ``files(study_uid, file_hash, mtime, ...)`` are the files that are there, ``refs(study_uid, file_hash, ref)`` says what
+    a file replaces, also for files that have gone since. A file is superseded when a newer one (by mtime, then hash) that
+    is there reaches it, over any number of files, gone ones included; so of files that replace each other in a circle
+    the newest stays, and what only a lost file replaces stays too.
+
+    The newest label travels along the references, one step a round, and only labels that grew travel on: a round handles
+    one row per file, never pairs of files. More than ``depth`` rounds raise :class:`TooDeep`.
+    """
+    key = ["study_uid", "file_hash"]
+    own = F.struct("mtime", "file_hash")
+    edges = settle(refs.where("file_hash <> ref").select(*key, "ref").distinct())
+    labels = frontier = settle(files.groupBy(*key).agg(F.max(own).alias("label")))
+    for _ in range(depth):
+        sent = frontier.join(edges, key).groupBy("study_uid", F.col("ref").alias("file_hash")).agg(F.max("label").alias("_new"))
+        grown = sent.join(labels, key, "left").where(F.col("label").isNull() | (F.col("_new") > F.col("label")))
+        frontier = settle(grown.select(*key, F.col("_new").alias("label")))
+        if frontier.isEmpty():
+            break
+        kept = labels.join(frontier.select(*key), key, "left_anti")
+        labels = settle(kept.unionByName(frontier))
+    else:
+        raise TooDeep(f"references are chained deeper than {depth}")
+    out = files.join(labels, key, "left")
+    return out.select(*[F.col(c) for c in files.columns], F.col("label.file_hash").alias("by"), (F.col("label") > own).alias("superseded"))
+
+
+def readable_files(files: DataFrame, refs: DataFrame) -> DataFrame:
+    """Files that no newer file reaches; together they hold everything."""
+    return newest_superseders(files, refs).where("NOT superseded").drop("by", "superseded")

@@ -82,15 +82,17 @@ def first_instance(instances: DataFrame, attributes: list[str]) -> DataFrame:
     )
 
 
-def tree_rollup(trees: DataFrame) -> DataFrame:
+def tree_rollup(trees: DataFrame, order: str | None = None) -> DataFrame:
     """Roll nested Study.Series.Instances documents up to study rows.
 
     ``trees`` has ``study_uid`` and ``series``, a map of series id to
     ``struct<modality, instances: map<id, struct<n_frames>>>``; a large study may be
     split over several documents. Every document counts, and instances are counted
-    both as objects and as frames.
+    both as objects and as frames. ``order`` names the column that puts the documents of a study in order, in which
+    modalities are listed as they are first seen; without it the place inside a document decides, then the name.
     """
-    series = trees.select("study_uid", F.posexplode(F.map_entries("series")).alias("ord", "s"))
+    series = trees.select("study_uid", *([F.col(order).alias("_doc")] if order else []), F.posexplode(F.map_entries("series")).alias("_at", "s"))
+    series = series.withColumn("ord", F.struct("_doc", "_at") if order else F.struct("_at"))
     frames = F.aggregate(
         F.map_values("s.value.instances"),
         F.lit(0).cast("bigint"),

@@ -21,10 +21,10 @@ def for_every_salt(df: DataFrame, salts: int = SALTS) -> DataFrame:
 def split_hot_keys(df: DataFrame) -> DataFrame:
     """Let Spark split skewed join partitions also where an aggregation on the same keys follows.
 
-    By default it keeps the join's partitioning for that aggregation, and one task gets all rows of a frequent key. The
-    setting costs a shuffle of the join's result, and only where a partition is found skewed.
+    By default it keeps the join's partitioning for that aggregation, and one task gets all rows of a frequent key. Sessions
+    of :func:`scanloom.session.archive_session` split such partitions, at the cost of a shuffle of the join's result where one
+    is found; no setting of another session is changed.
     """
-    df.sparkSession.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     return df
 
 

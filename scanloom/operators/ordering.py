@@ -61,7 +61,8 @@ def sort_studies(studies: DataFrame) -> DataFrame:
     return studies.orderBy(*study_order(time="study_time" if "study_time" in studies.columns else None))
 
 
-def _same(left: str, right: str, names: list[str]) -> Column:
+def same_keys(left: str, right: str, names: list[str]) -> Column:
+    """Join condition on equal keys; NULL keys are one group."""
     return reduce(
         lambda a, b: a & b,
         [F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}")) for n in names],
@@ -90,7 +91,7 @@ def slice_offsets(placed: DataFrame, keys: list[str], amounts: dict[str, Column]
             F.min(F.struct(*keys)).alias("first"), F.max(F.struct(*keys)).alias("last")
         )
         border = ends.select(F.explode(F.array("first", "last")).alias("k")).select("k.*").distinct()
-        part = placed.alias("p").join(F.broadcast(border.alias("b")), _same("p", "b", keys), "left_semi")
+        part = placed.alias("p").join(F.broadcast(border.alias("b")), same_keys("p", "b", keys), "left_semi")
     else:
         part = placed
     sums = part.groupBy("_slice", *keys).agg(*[v.alias(n) for n, v in amounts.items()])
@@ -105,7 +106,7 @@ def _numbered(placed: DataFrame, keys: list[str], order: list[Column], name: str
     numbered = placed.withColumn("_pos", F.row_number().over(local))
     offsets = slice_offsets(placed, keys, {"_before": F.count(F.lit(1))})
     joined = numbered.alias("n").join(
-        F.broadcast(offsets.alias("o")), _same("n", "o", ["_slice", *keys]), "left"
+        F.broadcast(offsets.alias("o")), same_keys("n", "o", ["_slice", *keys]), "left"
     )
     position = F.col("n._pos") + F.coalesce(F.col("o._before"), F.lit(0))
     columns = [c for c in placed.columns if c != "_slice"]
@@ -150,7 +151,8 @@ def middle_element(
     """Row at index floor(n/2) of every ordered group, with its middle frame."""
     placed, sizes = with_ordinal_and_totals(df, keys, order, "position", {"group_size": F.count(F.lit(1))})
     middle = sizes.withColumn("position", F.expr("group_size div 2 + 1"))
-    out = placed.join(middle, [*keys, "position"])
+    met = placed.alias("p").join(middle.alias("m"), same_keys("p", "m", [*keys, "position"]))
+    out = met.select(*[F.col(f"p.{c}") for c in placed.columns], "m.group_size")
     if frames:
         count = F.coalesce(F.col(frames), F.lit(1))
         count = F.when(count == 0, 1).otherwise(count)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scanloom.functions.paths import include_exclude, retrieve_url
-from scanloom.operators.ordering import sliced, with_ordinal_and_totals
+from scanloom.operators.ordering import same_keys, sliced, with_ordinal_and_totals
 
 MIB = 1024 * 1024
 DEFAULT_FAILURE = 0xC000
@@ -155,11 +155,11 @@ def transfer_progress(done: DataFrame, keys: list[str], order: list[str], ts: st
         done, keys, [F.col(ts), *[F.col(o) for o in order]], "done",
         {"_total": F.count(F.lit(1)), "_from": F.min(ts)},
     )
-    rows = numbered.join(totals, keys)
-    elapsed = _seconds(F.col("_from"), F.col(ts))
+    rows = numbered.alias("n").join(totals.alias("t"), same_keys("n", "t", keys))
+    elapsed = _seconds(F.col("_from"), F.col(f"n.{ts}"))
     speed = F.when(elapsed > 0, F.col("done") / elapsed)
     return rows.select(
-        *done.columns, "done",
+        *[F.col(f"n.{c}") for c in done.columns], "done",
         (F.col("done") * 100 / F.col("_total")).alias("percent"),
         speed.alias("files_per_second"),
         ((F.col("_total") - F.col("done")) / speed).alias("seconds_left"),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scanloom.functions import tags as G
 from scanloom.model import SERIES_EXTRACT
 from scanloom.operators import dedup as D
 from scanloom.operators import hierarchy as H
+from scanloom.operators import stored as S
 from scanloom.operators import summaries as U
 from scanloom.plans import view as V
 from scanloom.plans.registry import query, table
@@ -103,7 +105,19 @@ SELECT sop_uid, CASE WHEN image < '1' THEN {NO_IMAGE} ELSE {FULL} END AS content
   (CASE WHEN image < '1' THEN 1 ELSE 0 END)::BIGINT AS missing_refs
 FROM full_rows JOIN (SELECT sop_uid, image FROM refs) USING (sop_uid)""")
 def recombine(spark, folder):
-    """Some image extracts are lost: those datasets come back without them and say so."""
+    """Some image extracts are lost: those datasets come back without them and say so. Both tables lie in the same buckets."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    store = S.staged_store(D.split_extracts(datasets(spark, folder)), buckets)
+    back = S.recombine_stored(store.without({"image": F.col("hash") < "1"}), KEYS)
+    return back.select("sop_uid", G.canonical_text(F.col("ds")).alias("content"), "missing_refs")
+
+
+@query("recombine_global", f"""{SQL_PARTS}
+SELECT sop_uid, CASE WHEN image < '1' THEN {NO_IMAGE} ELSE {FULL} END AS content,
+  (CASE WHEN image < '1' THEN 1 ELSE 0 END)::BIGINT AS missing_refs
+FROM full_rows JOIN (SELECT sop_uid, image FROM refs) USING (sop_uid)""")
+def recombine_global(spark, folder):
+    """The same with extracts that are shared by the whole archive and lie anywhere."""
     # Both results come from one pass, as they would from the stored archive.
     split = settle(D.split_extracts(datasets(spark, folder)))
     extracts, inst = D.extracts_of(split), D.references_of(split)
@@ -111,6 +125,20 @@ def recombine(spark, folder):
     return back.select("sop_uid", G.canonical_text(F.col("ds")).alias("content"), "missing_refs")
 
 
+@query("stored_deduplicate", f"""{SQL_PARTS}
+SELECT study_uid, count(DISTINCT patient) + count(DISTINCT study) + count(DISTINCT series) + count(DISTINCT image) AS n_extracts,
+  count(*) AS n_instances FROM refs GROUP BY study_uid""")
+def stored_deduplicate(spark, folder):
+    """The store written as tables, studies of more than five instances in slices; distinct extracts per study read from it."""
+    counts = V.newest_lines(spark, folder).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_instances"))
+    studies = counts.select(F.concat(F.lit("1.2."), V.text("l_orderkey")).alias("study_uid"), "n_instances")
+    store = S.write_store(D.split_extracts(datasets(spark, folder)), 8, S.hot_studies(studies, 5))
+    home = store.refs.groupBy("cell", "study_uid").agg(F.count(F.lit(1)).alias("n"))
+    stored = store.extracts.select("cell", "type", "hash").join(home.select("cell", "study_uid"), "cell")
+    distinct = stored.select("study_uid", "type", "hash").distinct().groupBy("study_uid").agg(F.count(F.lit(1)).alias("n_extracts"))
+    return distinct.join(home.groupBy("study_uid").agg(F.sum("n").alias("n_instances")), "study_uid")
+
+
 @query("set_hash", f"""WITH m AS (SELECT o_custkey, sha256(o_orderstatus) AS h FROM orders),
 twice AS (SELECT o_custkey, h FROM m UNION ALL SELECT o_custkey, h FROM m)
 SELECT o_custkey, {sql_set_hash("h")} AS once, (SELECT {sql_set_hash("t.h")} FROM twice t WHERE t.o_custkey = m.o_custkey) AS twice
@@ -219,6 +247,39 @@ def gc_deletable_files(spark, folder):
     return D.deletable_files(order_files(spark, folder), refs)
 
 
+CHAINS_SQL = """
+f AS (SELECT '1.2.' || o_custkey AS study_uid, sha256(CAST(o_orderkey AS VARCHAR)) AS file_hash, epoch_us(o_orderdate) AS mtime, o_orderkey AS k,
+             o_orderstatus <> 'P' AS there, o_custkey FROM orders),
+ordered AS (SELECT *, lag(file_hash) OVER w AS before, row_number() OVER w AS i,
+             last_value(file_hash) OVER (PARTITION BY o_custkey ORDER BY mtime, file_hash ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS later
+             FROM f WINDOW w AS (PARTITION BY o_custkey ORDER BY mtime, file_hash)),
+refs AS (SELECT study_uid, file_hash, before AS ref FROM ordered WHERE before IS NOT NULL AND i % 6 <> 0
+         UNION SELECT study_uid, file_hash, later FROM ordered WHERE i % 6 = 1 AND k % 3 = 0 AND later <> file_hash)"""
+
+
+@query("reference_chains", f"""WITH RECURSIVE {CHAINS_SQL},
+reach AS (SELECT study_uid, file_hash AS src, mtime, file_hash AS node FROM f WHERE there
+          UNION SELECT r.study_uid, r.src, r.mtime, refs.ref FROM reach r JOIN refs ON refs.study_uid = r.study_uid AND refs.file_hash = r.node),
+best AS (SELECT study_uid, node, max((mtime, src)) AS label FROM reach GROUP BY study_uid, node)
+SELECT f.study_uid, f.file_hash, label[2] AS by, label > (f.mtime, f.file_hash) AS superseded FROM f JOIN best ON best.study_uid = f.study_uid AND best.node = f.file_hash
+WHERE there""")
+def reference_chains(spark, folder):
+    """Files that replace the one before them, five in a row, some closed to a circle, some of them gone."""
+    o = table(spark, folder, "orders")
+    mtime = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    files = o.select(
+        F.concat(F.lit("1.2."), V.text("o_custkey")).alias("study_uid"), F.sha2(V.text("o_orderkey"), 256).alias("file_hash"), mtime.alias("mtime"),
+        F.col("o_orderkey").alias("k"), (F.col("o_orderstatus") != "P").alias("there"),
+    )
+    along = Window.partitionBy("study_uid").orderBy("mtime", "file_hash")
+    last = F.last("file_hash").over(along.rowsBetween(0, 4))
+    ordered = files.select("*", F.lag("file_hash").over(along).alias("before"), F.row_number().over(along).alias("i"), last.alias("later"))
+    chain = ordered.where("before IS NOT NULL AND i % 6 <> 0").select("study_uid", "file_hash", F.col("before").alias("ref"))
+    circle = ordered.where("i % 6 = 1 AND k % 3 = 0 AND later <> file_hash").select("study_uid", "file_hash", F.col("later").alias("ref"))
+    present = files.where("there").select("study_uid", "file_hash", "mtime")
+    return D.newest_superseders(present, chain.unionByName(circle)).drop("mtime")
+
+
 @query("metadata_dirty", f"""WITH {SQL_FILES},
 log AS (SELECT study_uid, count(*) FILTER (status = 'O') AS n_new, count(*) FILTER (status = 'P') AS n_files,
                {sql_set_hash("file_hash")} AS file_hash FROM files GROUP BY study_uid),
@@ -272,7 +333,9 @@ def attribute_update(spark, folder):
     inst = inst.withColumn("refs", kept)
     building = data.where(G.get_value(F.col("ds"), "StudyDescription") == "BUILDING")
     old = D.split_extracts(building).select(F.get("parts", F.lit(0))["hash"].alias("old_hash")).distinct()
-    swaps = old.withColumn("new_hash", F.sha2(F.concat(F.lit("new"), "old_hash"), 256))
+    # Every hash is replaced twice, and the later replacement counts.
+    swaps = old.withColumn("at", F.explode(F.array(F.lit(1), F.lit(2))))
+    swaps = swaps.withColumn("new_hash", F.sha2(F.concat(F.when(F.col("at") == 2, "new").otherwise("older"), "old_hash"), 256))
     out = D.update_attributes(inst, swaps, KEYS)
     return out.select("sop_uid", F.array_join("refs", ",").alias("refs"))
 

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from scanloom.operators import hierarchy as H
 from scanloom.operators import ordering as O
+from scanloom.operators import rollup as R
 from scanloom.plans import view as V
 from scanloom.plans.registry import query, table
+from scanloom.session import new_folder, settle
+from scanloom.sources import sinks as K
 
 WITH_SERIES = f"WITH {V.SQL_INSTANCES},{V.SQL_SERIES}"
 
@@ -74,24 +77,24 @@ def first_instance(spark, folder):
 @query("tree_rollup", f"""
 WITH {V.SQL_INSTANCES}
 SELECT study_uid, sum(n_series)::BIGINT AS n_series, sum(n_instances)::BIGINT AS n_instances,
-       sum(n_frames)::BIGINT AS n_frames, string_agg(modality, ',' ORDER BY modality) AS modalities
-FROM (SELECT study_uid, modality, count(*) AS n_series, sum(n_instances) AS n_instances, sum(n_frames) AS n_frames
-      FROM (SELECT study_uid, series_uid, min(modality) AS modality, count(*) AS n_instances,
+       sum(n_frames)::BIGINT AS n_frames, string_agg(modality, ',' ORDER BY seen) AS modalities
+FROM (SELECT study_uid, modality, count(*) AS n_series, sum(n_instances) AS n_instances, sum(n_frames) AS n_frames, min(seen) AS seen
+      FROM (SELECT study_uid, series_uid, arg_min(modality, (instance_number, sop_uid)) AS modality, count(*) AS n_instances, min((instance_number, sop_uid)) AS seen,
                    sum(CASE WHEN n_frames = 0 THEN 1 ELSE n_frames END) AS n_frames
             FROM instances GROUP BY study_uid, series_uid)
       GROUP BY study_uid, modality)
 GROUP BY study_uid""")
 def tree_rollup(spark, folder):
-    """One partial document per instance, as large studies arrive in pieces."""
+    """One partial document per instance, as large studies arrive in pieces; their order is that of the instances."""
     trees = V.instances(spark, folder).select(
-        "study_uid",
+        "study_uid", F.struct("instance_number", "sop_uid").alias("place"),
         F.create_map(
             "series_uid",
             F.struct("modality", F.create_map("sop_uid", F.struct("n_frames")).alias("instances")),
         ).alias("series"),
     )
-    out = H.tree_rollup(trees)
-    return out.withColumn("modalities", F.array_join(F.array_sort("modalities"), ","))
+    out = H.tree_rollup(trees, "place")
+    return out.withColumn("modalities", F.array_join("modalities", ","))
 
 
 @query("distinct_series", f"""
@@ -162,14 +165,17 @@ def sort_series(spark, folder):
 
 @query("middle_element", f"""
 WITH {V.SQL_INSTANCES},
+loose AS (SELECT * REPLACE (CASE WHEN part_key % 9 > 0 THEN series_uid END AS series_uid) FROM instances),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY study_uid, series_uid ORDER BY instance_number, sop_uid)
-                AS position, count(*) OVER (PARTITION BY study_uid, series_uid) AS group_size FROM instances)
+                AS position, count(*) OVER (PARTITION BY study_uid, series_uid) AS group_size FROM loose)
 SELECT study_uid, series_uid, sop_uid, position, group_size,
        CAST(ceil((CASE WHEN n_frames = 0 THEN 1 ELSE n_frames END) / 2) AS BIGINT) AS middle_frame
 FROM numbered WHERE position = group_size // 2 + 1""")
 def middle_element(spark, folder):
+    """Instances without a series are a group of their study."""
+    series = F.when(F.col("part_key") % 9 > 0, F.col("series_uid"))
     rows = V.instances(spark, folder).select(
-        "study_uid", "series_uid", "sop_uid", "n_frames", H.instance_key().alias("k")
+        "study_uid", series.alias("series_uid"), "sop_uid", "n_frames", H.instance_key().alias("k")
     )
     out = O.middle_element(rows, H.SERIES, [F.col("k")], "n_frames")
     return out.drop("k", "n_frames")
@@ -205,6 +211,47 @@ def rebuild_affected(spark, folder):
     return H.rebuild_affected(inst, inst.where(F.col("content_date") >= "20010101"), V.INSTANCE_COLUMNS)
 
 
+ROLL_SQL = f"""
+WITH {V.SQL_INSTANCES},
+after AS (SELECT * REPLACE (CASE WHEN part_key % 7 = 3 THEN instance_number + 10 WHEN part_key % 7 = 4 THEN instance_number - 10 ELSE instance_number END AS instance_number,
+                            CASE WHEN part_key % 7 IN (3, 4) THEN 'U' ELSE modality END AS modality)
+          FROM instances WHERE part_key % 7 <> 2)"""
+
+
+def rolled(spark, folder):
+    """The state before, the changes, the instances after them: some are added, deleted, moved back or forward with a new modality."""
+    inst = settle(V.instances(spark, folder))
+    group = F.col("part_key") % 7
+    number = F.col("instance_number") + F.when(group == 3, 10).when(group == 4, -10).otherwise(0)
+    moved = inst.withColumns({"instance_number": number, "modality": F.when(group.isin(3, 4), "U").otherwise(F.col("modality"))})
+    op = F.when(group == 1, R.INSERT).when(group == 2, R.DELETE).when(group.isin(3, 4), R.UPDATE)
+    changes = moved.withColumn("op", op).where("op IS NOT NULL")
+    state = settle(R.series_state(inst.where(group != 1), V.INSTANCE_COLUMNS))
+    return state, settle(changes), moved.where(group != 2)
+
+
+@query("rollup_series", f"""{ROLL_SQL}
+SELECT study_uid, series_uid, min(series_number) AS series_number, arg_min(modality, (instance_number, sop_uid)) AS modality, count(*) AS n_instances
+FROM after GROUP BY study_uid, series_uid""")
+def rollup_series(spark, folder):
+    """Kept up by a batch; the archive of the instances lies in study buckets and is read only for first instances that went."""
+    state, changes, after = rolled(spark, folder)
+    path = new_folder(spark, "archive")
+    K.write_archive(after, path, buckets=8)
+    read = R.bucket_reader(K.read_archive(spark, path), lambda study: K.study_bucket(study, 8))
+    return R.summaries(R.roll_up(state, changes, V.INSTANCE_COLUMNS, read))
+
+
+@query("rollup_studies", f"""{ROLL_SQL},
+series AS (SELECT study_uid, series_uid, min(series_number) AS series_number, arg_min(modality, (instance_number, sop_uid)) AS modality, count(*) AS n_instances
+  FROM after GROUP BY study_uid, series_uid),{V.SQL_STUDY_ROWS}
+SELECT study_uid, n_series, n_instances, modalities FROM study_rows WHERE study_uid IN (SELECT study_uid FROM instances WHERE part_key % 7 BETWEEN 1 AND 4)""")
+def rollup_studies(spark, folder):
+    state, changes, after = rolled(spark, folder)
+    rows = R.touched_studies(R.roll_up(state, changes, V.INSTANCE_COLUMNS, R.reader_of(after)), changes)
+    return rows.withColumn("modalities", F.array_join("modalities", ","))
+
+
 @query("build_missing", f"{WITH_SERIES} SELECT * FROM series WHERE modality <> 'A'")
 def build_missing(spark, folder):
     inst = V.instances(spark, folder)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scanloom.operators import consistency as C
 from scanloom.operators import hierarchy as H
 from scanloom.operators import indexing as I
-from scanloom.operators.ordering import latest_per_key
 from scanloom.operators.dedup import set_hash
+from scanloom.operators.ordering import latest_per_key
 from scanloom.plans import view as V
 from scanloom.plans.dedup_queries import sql_set_hash
 from scanloom.plans.registry import query, table
+from scanloom.session import settle
 
 
 def order_rows(spark, folder):
@@ -183,3 +185,33 @@ def replica_other_contents(spark, folder):
     li = V.arrivals(spark, folder)
     other = li.withColumn("l_quantity", F.when(F.col("l_quantity") == 7, 8).otherwise(F.col("l_quantity")).cast(li.schema["l_quantity"].dataType))
     return I.replica_differences(content_index(li), content_index(other), ["study_uid"], ["n_series", "n_instances", "content"])
+
+
+CONSISTENT_SQL = f"""
+WITH obj AS (SELECT l_orderkey AS k, l_linenumber AS i, max(epoch_us(l_shipdate)) AS v FROM lineitem GROUP BY ALL),
+a AS (SELECT k, i, v FROM obj WHERE NOT (k % 50 = 1 AND i = 1)),
+b AS (SELECT k, i, CASE WHEN k % 50 = 2 THEN v - 1 ELSE v END AS v FROM obj WHERE NOT (k % 50 = 3 AND i = 2)),
+met AS (SELECT coalesce(a.k, b.k) AS k, coalesce(a.i, b.i) AS i, a.v AS av, b.v AS bv FROM a FULL JOIN b ON a.k = b.k AND a.i = b.i),
+late AS (SELECT k, i FROM obj WHERE k % 70 = 5)
+SELECT 1 AS round, count(DISTINCT k) AS n_studies, count(*) FILTER (av IS NULL OR av < bv) AS to_left, count(*) FILTER (bv IS NULL OR bv < av) AS to_right
+FROM met WHERE av IS DISTINCT FROM bv
+UNION ALL SELECT 2, count(DISTINCT k), 0, count(*) FROM late UNION ALL SELECT 3, 0, 0, 0"""
+
+
+@query("consistency_loop", CONSISTENT_SQL)
+def consistency_loop(spark, folder):
+    """Each replica lacks some objects and one has old versions; more arrive during the first round. The rounds until both agree."""
+    at = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
+    lines = V.arrivals(spark, folder).groupBy("l_orderkey", "l_linenumber").agg(F.max(at).alias("version"))
+    objects = settle(lines.select(
+        F.concat(F.lit("1.2."), V.text("l_orderkey")).alias("study_uid"), F.concat(F.lit("1.2."), V.text("l_orderkey"), F.lit("."), V.text("l_linenumber")).alias("sop_uid"),
+        "version", F.sha2(V.text("l_linenumber"), 256).alias("content_hash"), (F.col("l_orderkey") % 50).alias("part"), (F.col("l_orderkey") % 70).alias("late"),
+        F.col("l_linenumber").alias("line"),
+    ))
+    columns = ["study_uid", "sop_uid", "version", "content_hash"]
+    old = F.when(F.col("part") == 2, F.col("version") - 1).otherwise(F.col("version"))
+    left = C.Replica(objects.where("NOT (part = 1 AND line = 1)").select(*columns), ["sop_uid"])
+    right = C.Replica(objects.where("NOT (part = 3 AND line = 2)").withColumn("version", old).select(*columns), ["sop_uid"])
+    new = objects.where("late = 5").withColumn("sop_uid", F.concat("sop_uid", F.lit(".late"))).select(*columns)
+    rounds = C.make_consistent(left, right, meanwhile=lambda n: (new if n == 1 else None, None))
+    return rounds.select("round", "n_studies", "to_left", "to_right")

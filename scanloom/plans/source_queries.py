@@ -255,6 +255,31 @@ def bulkdata_store(spark, folder):
     return K.bulkdata_rows(d, "content", "doc_id").drop("content")
 
 
+@query("bulkdata_chunks", """
+WITH h AS (SELECT sha256(text) AS hash, doc_id, strlen(text)::BIGINT AS size FROM documents)
+SELECT hash, min(size) AS size, greatest(1, ceil(min(size) / 512))::BIGINT AS n_parts, min(doc_id) AS first_user, count(*) AS n_users,
+  hash[1:2] || '/' || hash[3:4] || '/' || hash[5:] || '.mht.gz' AS path FROM h GROUP BY hash""")
+def bulkdata_chunks(spark, folder):
+    """Documents in chunks of 512 bytes, stored once per content; sizes and numbers of chunks as the store has them."""
+    d = table(spark, folder, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    contents, stored = K.chunked_bulkdata(K.chunk_rows(d, "doc_id", "content", 512), "doc_id")
+    path = new_folder(spark, "chunks")
+    K.write_chunks(stored, path)
+    back = spark.read.schema("hash string, part int, content binary, prefix string").parquet(path)
+    sizes = back.groupBy("hash").agg(F.sum(F.octet_length("content")).cast("bigint").alias("size"), F.count(F.lit(1)).alias("n_parts"))
+    return contents.select("hash", "first_user", "n_users", "path").join(sizes, "hash")
+
+
+@query("find_objects", f"""WITH {V.SQL_INSTANCES}
+SELECT study_uid, series_uid, sop_uid, modality, n_frames FROM instances WHERE sop_uid IN ('1.2.33.1', '1.2.7.2', '1.2.0.9')""")
+def find_objects(spark, folder):
+    """Objects looked up by UID in the stored archive, one of them not there."""
+    path = new_folder(spark, "archive")
+    K.write_archive(V.instances(spark, folder), path, buckets=8)
+    rows = K.find_objects(K.read_archive(spark, path), ["1.2.33.1", "1.2.7.2", "1.2.0.9"])
+    return rows.select("study_uid", "series_uid", "sop_uid", "modality", "n_frames")
+
+
 XML_SQL = K.XML_HEAD.replace("\n", "' || chr(10) || '")
 
 

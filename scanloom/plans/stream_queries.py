@@ -9,6 +9,7 @@ from scanloom.plans.registry import query, table
 from scanloom.session import new_folder
 from scanloom.streaming import ingest as S
 from scanloom.streaming import messages as M
+from scanloom.streaming import rates as T
 
 
 def k():
@@ -157,6 +158,40 @@ def settled_studies(spark, folder):
     return out.select("user_id", F.unix_micros("first_at").alias("first_at"), F.unix_micros("last_at").alias("last_at"), "n_events")
 
 
+@query("settled_stream", """
+WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh
+           FROM events),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e)
+SELECT user_id, epoch_us(min(ts)) AS first_at, epoch_us(max(ts)) AS last_at, count(*) AS n_events FROM s GROUP BY user_id, session""")
+def settled_stream(spark, folder):
+    """Events in order of time, a day and a third a batch or so; a period is given out once its quiet time has passed."""
+    rows = table(spark, folder, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    path = S.in_order(rows, "ts", 5, new_folder(spark, "input"))
+    # What comes long after the last event closes all periods, and is not closed itself.
+    end = rows.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).select(F.lit(-1).cast("bigint").alias("user_id"), "ts")
+    end.coalesce(1).write.mode("append").parquet(path)
+    out = new_folder(spark, "settled")
+    S.run_settled(S.file_stream(spark, path, rows.schema, files_per_batch=1), "user_id", "ts", "6 hours", "1 minute", out)
+    periods = spark.read.schema("user_id bigint, first_at timestamp, last_at timestamp, n_events bigint").parquet(f"{out}/rows")
+    return periods.select("user_id", F.unix_micros("first_at").alias("first_at"), F.unix_micros("last_at").alias("last_at"), "n_events")
+
+
+@query("stream_rates", """
+SELECT 3::BIGINT AS n_batches, count(*) AS n_rows, sum(strlen(props))::BIGINT AS n_bytes, true AS timed, count(*) AS n_copied FROM events""")
+def stream_rates(spark, folder):
+    """Events copied by a stream in three batches, with the rows and bytes that each moved."""
+    rows = table(spark, folder, "events").select("event_id", "props")
+    path, out = as_files(rows, 3, "event_id"), new_folder(spark, "copied")
+    stream = S.file_stream(spark, path, rows.schema, files_per_batch=1)
+    T.run_measured(stream, F.octet_length("props"), f"{out}/rows", f"{out}/_progress", f"{out}/rates")
+    rates = T.read_rates(spark, f"{out}/rates").agg(
+        F.count(F.lit(1)).alias("n_batches"), F.sum("n_rows").alias("n_rows"), F.sum("n_bytes").alias("n_bytes"),
+        F.bool_and((F.col("rows_per_second") > 0) & (F.col("bytes_per_second") > 0) & (F.col("seconds") > 0)).alias("timed"),
+    )
+    copied = spark.read.schema(rows.schema).parquet(f"{out}/rows").agg(F.count(F.lit(1)).alias("n_copied"))
+    return rates.join(copied)
+
+
 @query("status_stream", """
 SELECT CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) < 50 THEN 'store' ELSE 'index' END AS type,
   count(*) FILTER (event_type = 'signup') AS started, count(*) FILTER (event_type IN ('purchase', 'error')) AS completed,

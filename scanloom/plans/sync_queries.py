@@ -160,11 +160,13 @@ def transfer_stats(spark, folder):
 
 
 @query("transfer_progress", """
-SELECT event_id, row_number() OVER w AS done, round(row_number() OVER w * 100 / count(*) OVER (PARTITION BY event_type), 4) AS percent
-FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""")
+SELECT event_id, row_number() OVER w AS done, round(row_number() OVER w * 100 / count(*) OVER (PARTITION BY kind), 4) AS percent
+FROM (SELECT event_id, ts, CASE WHEN event_type <> 'error' THEN event_type END AS kind FROM events) WINDOW w AS (PARTITION BY kind ORDER BY ts, event_id)""")
 def transfer_progress(spark, folder):
-    rows = clocked(spark, folder).select("event_type", "event_id", "ts")
-    out = S.transfer_progress(rows, ["event_type"], ["event_id"])
+    """Transfers without a name are one group."""
+    kind = F.when(F.col("event_type") != "error", F.col("event_type"))
+    rows = clocked(spark, folder).select(kind.alias("kind"), "event_id", "ts")
+    out = S.transfer_progress(rows, ["kind"], ["event_id"])
     return out.select("event_id", "done", F.round("percent", 4).alias("percent"))
 
 

@@ -350,11 +350,12 @@ def parse_reject_path(spark, folder):
 
 @query("parse_frame_list", """
 WITH s AS (SELECT p_partkey, p_size, CASE p_type WHEN 'SMALL' THEN '3-' || (p_size + 3) || ',1, 3'
-  WHEN 'PROMO' THEN p_size || '-0' WHEN 'LARGE' THEN 'x' ELSE '' END AS txt, p_type FROM part)
-SELECT p_partkey, txt,
+  WHEN 'PROMO' THEN p_size || '-0' WHEN 'LARGE' THEN 'x' WHEN 'STANDARD' THEN p_size || '-2147483647' ELSE '' END AS txt, p_type FROM part)
+SELECT p_partkey, txt, CASE WHEN p_type = 'SMALL' THEN '1:1,3:3,3:' || (p_size + 3) WHEN p_type = 'PROMO' AND p_size > 0 THEN NULL
+       WHEN p_type = 'PROMO' THEN '0:0' WHEN p_type = 'LARGE' THEN NULL WHEN p_type = 'STANDARD' THEN p_size || ':2147483647' ELSE '1:1' END AS ranges,
   CASE WHEN p_type = 'SMALL' THEN '1,' || array_to_string(range(3, p_size + 4), ',')
        WHEN p_type = 'PROMO' AND p_size > 0 THEN NULL WHEN p_type = 'PROMO' THEN '0'
-       WHEN p_type = 'LARGE' THEN NULL ELSE '1' END AS frames,
+       WHEN p_type IN ('LARGE', 'STANDARD') THEN NULL ELSE '1' END AS frames,
   (p_type = 'PROMO' AND p_size > 0) OR p_type = 'LARGE' AS invalid FROM s""")
 def parse_frame_list(spark, folder):
     part = table(spark, folder, "part")
@@ -362,12 +363,14 @@ def parse_frame_list(spark, folder):
     text = (
         F.when(F.col("p_type") == "SMALL", F.concat(F.lit("3-"), (size + 3).cast("string"), F.lit(",1, 3")))
         .when(F.col("p_type") == "PROMO", F.concat(size.cast("string"), F.lit("-0")))
-        .when(F.col("p_type") == "LARGE", "x").otherwise("")
+        .when(F.col("p_type") == "LARGE", "x")
+        .when(F.col("p_type") == "STANDARD", F.concat(size.cast("string"), F.lit("-2147483647"))).otherwise("")
     )
+    pairs = F.transform("r.ranges", lambda x: F.concat(x["lo"].cast("string"), F.lit(":"), x["hi"].cast("string")))
     return part.select("p_partkey", text.alias("txt")).select(
         "p_partkey", "txt", X.parse_frame_list(F.col("txt")).alias("r")
     ).select(
-        "p_partkey", "txt", F.array_join("r.frames", ",").alias("frames"), F.col("r.error").isNotNull().alias("invalid")
+        "p_partkey", "txt", F.array_join(pairs, ",").alias("ranges"), F.array_join("r.frames", ",").alias("frames"), F.col("r.error").isNotNull().alias("invalid")
     )
 
 
@@ -477,7 +480,7 @@ def export_cleanup(spark, folder):
         F.col("o_orderpriority"), F.col("o_custkey"), unknown, bare, F.col("o_custkey"),
     )
     docs = o.select(F.concat(F.lit("o"), key).alias("doc"), F.parse_json(doc).alias("document"))
-    rows = A.export_cleanup(A.explode_attributes(docs, ["doc"], "document"))
+    rows = A.export_attributes(docs, ["doc"], "document", tasks=spark.sparkContext.defaultParallelism)
     return rows.select("doc", "path", "tag", "vr", F.array_join("values", ",").alias("values"))
 
 

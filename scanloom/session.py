@@ -19,6 +19,8 @@ def archive_session(master: str | None = None, cpus: int | None = None, **conf:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Skewed partitions are split also where an aggregation on the same keys follows the join.
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         # A busy key's sessions merge before the shuffle.
         "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
@@ -66,4 +68,19 @@ def settle(df: DataFrame, compression: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, "settled")
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove the folders of settled frames that nothing reads any more; frames that were not settled are passed over.
+
+    For intermediates of a job that are superseded: what was made from them must have been settled itself before.
+    """
+    for df in frames:
+        path, df._settled = getattr(df, "_settled", None), None
+        if path:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -124,14 +124,3 @@ def run_rolling_status(stream: DataFrame, root: str) -> None:
 def read_rolling_status(spark: SparkSession, root: str) -> DataFrame:
     rows = read_batches(spark, root, "status", "type string, started bigint, completed bigint, failed bigint")
     return latest_per_key(rows, ["type"], [F.col("batch")]).drop("batch")
-
-
-def progress_rows(spark: SparkSession, query) -> DataFrame:
-    """Row and byte rates of a query's recent micro-batches (a short driver-side report)."""
-    rows = [
-        (p["batchId"], p["timestamp"], float(p["inputRowsPerSecond"] or 0), float(p["processedRowsPerSecond"] or 0))
-        for p in query.recentProgress
-    ]
-    return spark.createDataFrame(
-        rows, "batch_id bigint, at string, input_rows_per_second double, processed_rows_per_second double"
-    )

@@ -141,3 +141,39 @@ def test_index_matches_its_instances(spark, sf):
     got = index.select("study_uid", F.array_sort(F.split("modalities", ",")).alias("m"))
     want = series.groupBy("study_uid").agg(F.array_sort(F.collect_set("modality")).alias("m"))
     assert got.join(want, ["study_uid", "m"]).count() == got.count()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_extracts_stay_in_their_buckets(spark):
+    from scanloom.functions import tags as G
+    from scanloom.operators import dedup as D
+    from scanloom.operators import stored as S
+
+    rows = [(f"st{0 if i % 3 else i % 11}", f"se{i % 5}", f"i{i}", f"P{i % 4}", "CT" if i % 2 else "MR") for i in range(400)]
+    df = spark.createDataFrame(rows, "study_uid string, series_uid string, sop_uid string, patient string, modality string")
+    ds = G.dataset({"SOPInstanceUID": F.col("sop_uid"), "PatientID": F.col("patient"), "Modality": F.col("modality"), "SeriesInstanceUID": F.col("series_uid")})
+    full = df.select("study_uid", "series_uid", "sop_uid", ds.alias("ds"))
+    split = D.split_extracts(full)
+    hot = S.hot_studies(full.groupBy("study_uid").agg(F.count(F.lit(1)).alias("n_instances")), 50)
+    assert [tuple(r) for r in hot.collect()] == [("st0", 6)]
+    store = S.write_store(split, 4, hot)
+    assert store.refs.where("study_uid = 'st0'").select("cell").distinct().count() == 6
+    assert store.extracts.groupBy("cell", "type", "hash").count().where("count > 1").count() == 0
+    want = {r.sop_uid: r.t for r in full.select("sop_uid", G.canonical_text(F.col("ds")).alias("t")).collect()}
+    keys = ["study_uid", "series_uid", "sop_uid"]
+    back = S.recombine_stored(store, keys)
+    assert {r.sop_uid: (r.t, r.missing_refs) for r in back.select("sop_uid", G.canonical_text(F.col("ds")).alias("t"), "missing_refs").collect()} == {k: (v, 0) for k, v in want.items()}
+    lost = store.without({"patient": F.lit(True)})
+    assert {r.missing_refs for r in S.recombine_stored(lost, keys).collect()} == {1}
+    empty = S.Store(store.refs.withColumn("refs", F.when(F.col("sop_uid") == "i1", F.array().cast("array<string>"))), store.extracts)
+    assert {(r.missing_refs, r.n) for r in S.recombine_stored(empty, keys).select("missing_refs", F.size("ds").alias("n")).collect()} == {(0, 2)}
+    # Neither step moves a dataset or sorts by one.
+    staged = S.staged_store(split, 4)
+    for df in (S.recombine_stored(store, keys), S.recombine_stored(staged, keys), staged.extracts):
+        plan = plan_of(df)
+        assert "Exchange" not in plan.replace("BroadcastExchange", "") and "SortAggregate" not in plan, plan
+    again = S.open_bucketed(spark.newSession(), store.refs.inputFiles()[0].rpartition("/")[0].replace("file:///", "/"), 4)
+    assert again.count() == 400
