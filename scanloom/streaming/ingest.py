@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,27 +9,29 @@ from pyspark.sql.streaming import StreamingQuery
 
 from scanloom.operators import hierarchy as H
 from scanloom.operators.ordering import first_per_key, latest_per_key
-from scanloom.sources.sinks import study_bucket
+from scanloom.session import release, settle
 from scanloom.sources.documents import _existing
-from scanloom.streaming.tables import read_batches, remove_folders, write_batch
+from scanloom.sources.sinks import study_bucket
+from scanloom.streaming.tables import read_batches, write_batch
 
 ARRIVAL = (
     "study_uid string, series_uid string, sop_uid string, series_number bigint, instance_number bigint, "
     "modality string, n_frames int, version timestamp"
 )
+STORED = ARRIVAL + ", arrived bigint"
 SERIES_ROW = "study_uid string, series_uid string, series_number bigint, modality string, n_instances bigint"
-MANIFEST = "bucket int, generation bigint"
 STUDY_ROW = "study_uid string, n_series bigint, n_instances bigint, modalities array<string>"
 
 
 class ArchiveStream:
-    """Keeps the series and studies index of an archive folder up to date.
+    """Keeps an archive's objects and its series and studies index up to date.
 
-    ``current`` holds the one version of every object that counts, in folders by study bucket. A micro-batch reads the
-    buckets it touches, merges its arrivals, writes those buckets anew below its own number, and appends the rebuilt rows
-    of the touched studies to the index logs; the current index is the newest row per key. So the work of a batch follows
-    the buckets it touches, not the number of batches before it. A manifest of one row per bucket says which folder is
-    valid; ``buckets`` should keep a bucket near the size of a few scan tasks.
+    ``current`` has the one version of every object that counts, ``series`` and ``studies`` the index rows; each is a parquet
+    table in folders by study bucket. A micro-batch reads the buckets it touches, merges its arrivals, and writes those
+    buckets back by dynamic partition overwrite, from a result that was written down first. So the work of a batch follows
+    the buckets it touches, not the number of batches before it, a batch that is run again changes nothing, and a stream
+    that starts anew on a folder goes on with what is there. ``buckets`` should keep a bucket near the size of a few scan
+    tasks.
 
     ``keep`` decides which version of an object counts: ``first`` ignores objects that are already stored, ``newest`` lets
     the newest version win, so late and out-of-order arrivals lead to the same tables as in-order ones.
@@ -43,95 +44,53 @@ class ArchiveStream:
         self.progress = progress or f"{self.root}/_progress"
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         columns = [f.name for f in T._parse_datatype_string(ARRIVAL).fields]
-        rows = batch.select(*columns).withColumn("bucket", study_bucket(F.col("study_uid"), self.buckets))
-        write_batch(rows, self.root, "arrivals", batch_id)
-        new = self._arrivals(spark, batch_id)
-        valid = self._manifest(spark, batch_id - 1)
-        touched = {r["bucket"] for r in new.select("bucket").distinct().collect()}  # at most ``buckets`` numbers
-        old = self._folders(spark, {b: g for b, g in valid.items() if b in touched})
-        merged = self._current(old.unionByName(new.withColumn("arrived", F.lit(batch_id).cast("bigint"))))
-        write_batch(merged.repartitionByRange("bucket", "study_uid", "sop_uid"), self.root, "current", batch_id, "bucket")
-        self._set_manifest(spark, batch_id, {**valid, **dict.fromkeys(touched, batch_id)})
-        studies = new.select("bucket", "study_uid").distinct()
-        affected = self._folders(spark, dict.fromkeys(touched, batch_id)).join(studies, ["bucket", "study_uid"], "left_semi")
-        series = H.series_summary(affected, ["series_number", "modality"])
-        write_batch(series, self.root, "series", batch_id)
-        written = read_batches(spark, self.root, "series", SERIES_ROW).where(F.col("batch") == batch_id)
-        write_batch(H.study_summary(written), self.root, "studies", batch_id)
-        self._expire(spark, batch_id)
-
-    def _arrivals(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        rows = spark.read.schema(ARRIVAL + ", bucket int").parquet(f"{self.root}/arrivals/batch={batch_id}")
-        return rows
-
-    def _manifest(self, spark: SparkSession, last: int) -> dict[int, int]:
-        """Batch that wrote the valid folder of each bucket, as of batch ``last``."""
-        path = f"{self.root}/manifest/batch={last}"
-        if not _existing(spark, [path]):
-            return {}
-        return {r["bucket"]: r["generation"] for r in spark.read.schema(MANIFEST).parquet(path).collect()}
-
-    def _set_manifest(self, spark: SparkSession, batch_id: int, valid: dict[int, int]) -> None:
-        rows = spark.createDataFrame(sorted(valid.items()), MANIFEST).coalesce(1)
-        write_batch(rows, self.root, "manifest", batch_id)
-
-    def _last(self, spark: SparkSession) -> int:
-        return read_batches(spark, self.root, "manifest", MANIFEST).agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
-
-    def _folders(self, spark: SparkSession, valid: dict[int, int]) -> DataFrame:
-        """Rows of the buckets, each from the folder of its batch."""
-        schema = ARRIVAL + ", arrived bigint"
-        paths = [f"{self.root}/current/batch={g}/bucket={b}" for b, g in sorted(valid.items())]
-        if not paths:
-            return spark.createDataFrame([], schema + ", bucket int")
-        rows = spark.read.schema(schema).parquet(*paths)
+        rows = batch.select(*columns).withColumn("arrived", F.lit(batch_id).cast("bigint"))
+        new = settle(self._placed(rows))
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        if touched:
+            old = self._read(batch.sparkSession, "current", STORED).where(F.col("bucket").isin(touched))
+            merged = settle(self._current(old.unionByName(new)).repartitionByRange("bucket", "study_uid", "sop_uid"))
+            series = settle(H.series_summary(merged, ["series_number", "modality"]))
+            self._replace("current", merged)
+            self._replace("series", self._placed(series))
+            self._replace("studies", self._placed(H.study_summary(series)))
+            release(merged, series)
+        release(new)
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("bucket", study_bucket(F.col("study_uid"), self.buckets))
 
+    def _replace(self, table: str, rows: DataFrame) -> None:
+        """The buckets of ``rows`` instead of those that are stored."""
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("bucket").parquet(f"{self.root}/{table}")
+
+    def _read(self, spark: SparkSession, table: str, schema: str) -> DataFrame:
+        path, full = f"{self.root}/{table}", schema + ", bucket int"
+        if not _existing(spark, [path]):
+            return spark.createDataFrame([], full)
+        return spark.read.schema(full).parquet(path)
+
     def _current(self, rows: DataFrame) -> DataFrame:
         tie = [F.col(c) for c in ("series_uid", "instance_number", "modality", "n_frames", "arrived")]
         pick = latest_per_key if self.keep == "newest" else first_per_key
-        return pick(rows, ["study_uid", "sop_uid"], [F.col("version"), *tie])
-
-    def _expire(self, spark: SparkSession, batch_id: int) -> None:
-        """Remove what no repetition of a batch can need: arrivals and folders replaced before the last batch."""
-        before, valid = self._manifest(spark, batch_id - 2), self._manifest(spark, batch_id - 1)
-        gone = [f"current/batch={g}/bucket={b}" for b, g in before.items() if valid.get(b) != g]
-        remove_folders(spark, [f"{self.root}/{x}" for x in [*gone, f"arrivals/batch={batch_id - 1}", f"manifest/batch={batch_id - 2}"]])
+        return pick(rows, ["bucket", "study_uid", "sop_uid"], [F.col("version"), *tie])
 
     def instances(self, spark: SparkSession) -> DataFrame:
-        return self._folders(spark, self._manifest(spark, self._last(spark))).drop("arrived", "bucket")
+        return self._read(spark, "current", STORED).drop("arrived", "bucket")
 
     def series(self, spark: SparkSession) -> DataFrame:
-        """Series rows of the newest batch that touched each study."""
-        rows = read_batches(spark, self.root, "series", SERIES_ROW)
-        newest = self._newest_study_batch(spark)
-        return rows.join(newest, ["study_uid", "batch"], "left_semi").drop("batch")
+        return self._read(spark, "series", SERIES_ROW).drop("bucket")
 
     def studies(self, spark: SparkSession) -> DataFrame:
-        rows = read_batches(spark, self.root, "studies", STUDY_ROW)
-        return latest_per_key(rows, ["study_uid"], [F.col("batch")]).drop("batch")
-
-    def _newest_study_batch(self, spark: SparkSession) -> DataFrame:
-        rows = read_batches(spark, self.root, "studies", STUDY_ROW)
-        return rows.groupBy("study_uid").agg(F.max("batch").alias("batch"))
+        return self._read(spark, "studies", STUDY_ROW).drop("bucket")
 
     def compact(self, spark: SparkSession, root: str) -> ArchiveStream:
-        """Copy the current state to a new folder as the last batch so far.
-
-        The returned archive goes on with the progress of this one, so a stream that is
-        stopped, compacted and started again neither loses nor repeats arrivals, and its logs
-        hold one version per object and one row per key.
-        """
+        """Copy the tables to a new folder, few files a bucket; the returned archive goes on with the progress of this one."""
         new = ArchiveStream(root, self.keep, self.buckets, self.progress)
-        last = self._last(spark)
-        valid = self._manifest(spark, last)
-        rows = self._folders(spark, valid)
-        write_batch(rows.repartitionByRange("bucket", "study_uid", "sop_uid"), new.root, "current", last, "bucket")
-        new._set_manifest(spark, last, dict.fromkeys(valid, last))
-        write_batch(self.series(spark), new.root, "series", last)
-        write_batch(self.studies(spark), new.root, "studies", last)
+        for table, schema in (("current", STORED), ("series", SERIES_ROW), ("studies", STUDY_ROW)):
+            new._replace(table, self._read(spark, table, schema).repartitionByRange("bucket", "study_uid"))
         return new
 
     def start(self, arrivals: DataFrame, available_now: bool = True, interval: str = "1 minute") -> StreamingQuery:

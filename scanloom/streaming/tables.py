@@ -20,14 +20,6 @@ def write_batch(df: DataFrame, root: str, table: str, batch_id: int, partition:
     writer.parquet(f"{root}/{table}/batch={batch_id}")
 
 
-def remove_folders(spark: SparkSession, paths: list[str]) -> None:
-    """Remove folders of an archive's own tables; those that are not there are passed over."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(conf).delete(folder, True)
-
-
 def read_batches(
     spark: SparkSession, root: str, table: str, schema: str | T.StructType, last: int | None = None
 ) -> DataFrame:

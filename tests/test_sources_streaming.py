@@ -186,9 +186,23 @@ def test_work_of_a_batch_does_not_grow(spark, tmp_path):
     for n in range(6):
         batch = spark.createDataFrame(arrivals(n)[:20], SCHEMA).where("study_uid = '1.0'").withColumn("version", F.timestamp_seconds("t"))
         archive.process(batch, n)
-        read.append(len(archive._folders(spark, archive._manifest(spark, n)).inputFiles()))
-    assert read == [1] * 6
-    assert len(list(root.glob("current/*/bucket=*"))) <= 2 and len(list(root.glob("arrivals/batch=*"))) == 1
+        read.append(len(archive.instances(spark).inputFiles()))
+    assert read == [1] * 6  # one bucket, which every batch replaces
+    assert archive.instances(spark).groupBy("sop_uid").count().where("count > 1").count() == 0
+
+
+def test_a_new_stream_goes_on_with_what_is_stored(spark, tmp_path):
+    whole = S.ArchiveStream(str(tmp_path / "whole"), buckets=3)
+    parts = [spark.createDataFrame(arrivals(n)[:60], SCHEMA).withColumn("version", F.timestamp_seconds("t")) for n in range(3)]
+    for n, batch in enumerate(parts):
+        whole.process(batch, n)
+        S.ArchiveStream(str(tmp_path / "again"), buckets=3).process(batch, 0)  # numbers start at 0 with a new checkpoint
+    again = S.ArchiveStream(str(tmp_path / "again"), buckets=3)
+    count = lambda a: {(r.study_uid, r.n_series, r.n_instances) for r in a.studies(spark).collect()}
+    assert count(again) == count(whole) and again.instances(spark).count() == whole.instances(spark).count()
+    archive = S.ArchiveStream(str(tmp_path / "none"), buckets=3)
+    archive.process(parts[0].limit(0), 0)
+    assert archive.studies(spark).count() == 0
 
 
 def test_sessions_on_stream_and_table_agree(spark, tmp_path):
