@@ -1,8 +1,9 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
@@ -13,22 +14,16 @@ PATH = P.path("word_bpe_49k.json")
 
 
 def optimum(items, capacity):
-    """Fewest bins by dynamic programming over subsets."""
-    n = len(items)
-    size = [sum(items[i] for i in range(n) if m >> i & 1) for m in range(1 << n)]
-    best = [99] * (1 << n)
-    best[0] = 0
-    for m in range(1, 1 << n):
-        low = m & -m
-        rest = m ^ low
-        s = rest
-        while True:
-            if size[s | low] <= capacity:
-                best[m] = min(best[m], best[rest ^ s] + 1)
-            if not s:
-                break
-            s = (s - 1) & rest
-    return best[-1]
+    """Fewest bins: per subset of the items the fewest, and of those the least fill of the last one."""
+    best = [(99, 0)] * (1 << len(items))
+    best[0] = (0, capacity + 1)
+    for m in range(1 << len(items)):
+        bins, fill = best[m]
+        for i, x in enumerate(items):
+            if not m >> i & 1:
+                new = (bins, fill + x) if fill + x <= capacity else (bins + 1, x)
+                best[m | 1 << i] = min(best[m | 1 << i], new)
+    return best[-1][0]
 
 
 def test_chunks_equal_whole_texts():
@@ -37,8 +32,13 @@ def test_chunks_equal_whole_texts():
     rng = random.Random(3)
     parts = ["The", " ", "\n", "'s", "'", "É", "́", "12", "!!", " ", "Σ", "<|endoftext|>", "<|", "ff"]
     texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(300)]
-    for t, data in zip(texts, own.of(texts)):
-        assert np.frombuffer(data, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+    column = pa.array(["x y", *texts, "z"])[1:-1]
+    for _ in range(2):
+        ids, bounds = own.of(column)
+        for t, a, b in zip(texts, bounds, bounds[1:]):
+            assert ids[a:b].tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+    ids, bounds = own.of(pa.array(["", " "]))
+    assert len(ids) == 0 and bounds.tolist() == [0, 0, 0]
 
 
 @pytest.mark.parametrize("seed", range(40))
@@ -56,6 +56,48 @@ def test_plan_is_optimal_on_small_cases(seed):
     assert sum(k for _, k in plan) == optimum(items, 30)
 
 
+def test_optimum_whenever_the_search_ran_out():
+    rng, branched = random.Random(11), 0
+    for _ in range(2000):
+        n = rng.randint(9, 10) if rng.random() < 0.9 else rng.randint(11, 13)
+        items = [rng.randint(*rng.choice([(1, 100), (10, 60), (15, 50)])) for _ in range(n)]
+        search = Search(100)
+        plan = search.run(Counter(items))
+        back = Counter()
+        for lens, k in plan:
+            assert sum(lens) <= 100
+            back.update({x: c * k for x, c in Counter(lens).items()})
+        assert back == Counter(items)
+        if search.proven:
+            assert search.best == optimum(items, 100), items
+            branched += 1
+    assert branched > 1900
+    hard = [16, 16, 17, 21, 23, 24, 29, 31, 31, 39, 46, 49, 50]
+    assert sum(k for _, k in plan_packing(Counter(hard), 100)) == 4
+
+
+def test_no_better_filling_is_dominated():
+    search, rng = Search(60), random.Random(4)
+    for _ in range(200):
+        have = np.zeros(61, np.int64)
+        for _ in range(rng.randint(3, 9)):
+            have[rng.randint(3, 30)] += 1
+        first = int(np.flatnonzero(have)[-1])
+        search.left = 10**6
+        every = set(search.maximal(have, first))
+        kept = {lens[1:] for lens, _ in search.options(have, first)}
+        assert kept <= every and kept
+        rest = have.copy()
+        rest[first] -= 1
+        fullest = max(sum(x) for x in every)
+        assert max(sum(x) for x in kept) == fullest
+        for x in every:  # what is left of the room takes no further piece
+            left = rest.copy()
+            for p in x:
+                left[p] -= 1
+            assert (left >= 0).all() and not left[: 60 - first - sum(x) + 1].any()
+
+
 def test_branching_beats_best_fit():
     counts = {6: 2, 4: 2, 3: 2, 5: 2, 2: 1}
     search = Search(10)
