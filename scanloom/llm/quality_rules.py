@@ -74,17 +74,18 @@ class Accuracies:
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, names: list[str], rounds: int = 200, bad: float = 0.3,
-             good: float = 0.01, trust: float = 0.1) -> Accuracies:
+             good: float = 0.01, trust: float = 50.0) -> Accuracies:
     """Fit the rules' accuracies to the counted vote patterns.
 
     A rule is at first believed to reject ``bad`` of the bad and ``good`` of the good documents on which it votes:
     each rule knows one kind of junk and is silent on or content with the others. The belief weighs as much as
-    ``trust`` of the documents (50 at least); it settles which of the two classes is the good one.
+    ``trust`` documents, whatever their number: it settles which of the two classes is the good one, and washes out as
+    the documents grow.
     """
     rules = patterns.shape[1]
     total = float(counts.sum())
     belief = np.tile([bad, good], (rules, 1))
-    weight = max(50.0, trust * total) * np.array([0.2, 0.8])
+    weight = trust * np.array([0.2, 0.8])
     against, cast = (patterns < 0).astype(float), (patterns != 0).astype(float)
     state = Accuracies(0.8, belief, 0, names)
     for done in range(1, rounds + 1):

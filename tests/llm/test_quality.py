@@ -61,7 +61,7 @@ def plain_em(votes, rounds):
     """The same estimation document by document."""
     n, k = votes.shape
     prior, reject = 0.8, np.tile([0.3, 0.01], (k, 1))
-    weight = max(50.0, 0.1 * n) * np.array([0.2, 0.8])
+    weight = 50.0 * np.array([0.2, 0.8])  # of documents, however many there are
     start = reject.copy()
     for _ in range(rounds):
         p = np.empty(n)
@@ -93,6 +93,20 @@ def test_estimation_equals_plain_one():
     assert ((got.posterior(votes) >= 0.5) == good).mean() > 0.85
 
 
+def test_estimates_approach_the_truth_as_documents_grow():
+    bad, good = np.array([0.9, 0.8, 0.7, 0.85]), np.array([0.05, 0.1, 0.05, 0.2])
+    worst = []
+    for n in (500, 5_000, 500_000):
+        rng = np.random.default_rng(7)
+        fine = rng.random(n) < 0.75
+        votes = np.where(rng.random((n, 4)) < np.where(fine[:, None], good, bad), -1, 1)
+        votes[rng.random((n, 4)) < [0.1, 0.2, 0.1, 0.97]] = 0  # the last rule votes rarely
+        patterns, counts = np.unique(votes, axis=0, return_counts=True)
+        got = R.estimate(patterns, counts.astype(float), list("abcd"), rounds=1000)
+        worst.append(max(np.abs(got.reject[:, 0] - bad).max(), np.abs(got.reject[:, 1] - good).max(), abs(got.prior - 0.75)))
+    assert worst[2] < 0.02 and worst[2] < worst[1] < worst[0], worst
+
+
 def test_rules_follow_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
