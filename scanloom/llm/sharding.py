@@ -116,7 +116,7 @@ def reshard(rows: DataFrame, old: Column, size: Column, shards: int, capacity: S
     first = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("_old", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     groups = groups.select("shard", "_old", "_block", first.alias("_first"))  # bounded like the plan
     parts = min(blocks, max(1, -(-sum(supply) // (shards * PART_BYTES))))
-    placed = placed.withColumn("_part", F.col("_block") % parts).repartition("shard", "_part")
+    placed = placed.withColumn("_part", F.col("_block") % parts).repartition(2 * shards * parts, "shard", "_part")
     nth = F.row_number().over(Window.partitionBy("shard", "_part", "_old", "_block").orderBy("_row")) - 1
     return placed.withColumn("_nth", nth).join(F.broadcast(groups), ["shard", "_old", "_block"]).select(
         "_doc.*", F.col("_old").alias("old_shard"), "shard", (F.col("_first") + F.col("_nth")).cast("bigint").alias("slot")
