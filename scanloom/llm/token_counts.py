@@ -7,18 +7,28 @@ from bisect import bisect_left
 from functools import cache
 from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm.common import map_columns
+from scanloom.session import settle
 
 #: Fixed pattern of the byte-level pre-tokeniser.
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 CONTRACTIONS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
 #: Texts with other characters are cut by the library itself, whose character tables may be of another age.
 FOREIGN = regex.compile(r"[^\x00-\x1b\x20-\x84\x86-ɏ]")
+#: A space that stands alone between other characters opens a chunk; texts with any other space are one chunk.
+WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+CROWDED = f"(?:^|{WHITE}) | (?:$|{WHITE})"
 MEMO = 1 << 20
+#: Code points of a stored part, and bytes of text that are taken apart at a time.
+PART, GROUP = 4096, 4 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -194,12 +204,129 @@ def spaces_before(text: str, at: int, low: int) -> int:
     return at
 
 
+class PrefixColumns:
+    """Token counts of all prefixes of a column of texts.
+
+    No piece of the pre-tokeniser goes on behind a space that stands alone, so the count of a prefix is that of the chunks
+    before plus that of a prefix of its chunk. Arrow numbers a column's distinct chunks; each has its table once.
+    """
+
+    def __init__(self, counter: PrefixCounter):
+        self.counter = counter
+        self.known: dict[str, bytes] = {}
+
+    def tables(self, chunks: list[str]) -> list[bytes]:
+        """Counts after each code point of each chunk, as 32-bit numbers."""
+        if len(self.known) + len(chunks) > MEMO // 2:
+            self.known = {}
+        for c in chunks:
+            if c not in self.known:
+                self.known[c] = np.array(self.counter.prefixes(c)[1:], np.int32).tobytes()
+        return [self.known[c] for c in chunks]
+
+    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Counts after each code point of all texts, one text after another, and the texts' bounds."""
+        texts = pc.fill_null(column, "")
+        crowded = pc.match_substring_regex(texts, CROWDED).to_numpy(zero_copy_only=False)
+        plain, bounds = self._plain(texts.filter(pa.array(~crowded)))
+        if not crowded.any():
+            return plain, bounds
+        # Texts with other white space, one by one, between the others.
+        odd = iter([np.array(self.counter.prefixes(t)[1:], np.int32) for t in texts.filter(pa.array(crowded)).to_pylist()])
+        rest = iter(zip(bounds.tolist(), bounds[1:].tolist()))
+        out = [next(odd) if c else plain[slice(*next(rest))] for c in crowded.tolist()]
+        return np.concatenate(out), np.append(0, np.cumsum([len(x) for x in out]))
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.split_pattern(texts, " ")
+        first = lists.offsets.to_numpy().astype(np.int64)
+        first -= first[0]
+        words = lists.flatten().dictionary_encode()
+        distinct, nth = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        if not len(nth):
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        opens = np.zeros(len(nth), bool)
+        opens[first[:-1]] = True
+        # A word opens its text or comes after a space: a chunk of its own each.
+        key = nth * 2 + opens
+        used = np.bincount(key, minlength=2 * len(distinct)) > 0
+        tables = self.tables([distinct[k // 2] if k % 2 else " " + distinct[k // 2] for k in np.flatnonzero(used).tolist()])
+        chunk = (np.cumsum(used) - 1)[key]
+        size = np.fromiter(map(len, tables), np.int64, len(tables)) // 4
+        pool = np.frombuffer(b"".join(tables), np.int32)
+        end = np.cumsum(size)
+        total = np.where(size > 0, pool[np.maximum(end - 1, 0)], 0) if len(pool) else np.zeros(len(size), np.int64)
+        taken, tokens = size[chunk], total[chunk].astype(np.int64)
+        before = np.cumsum(tokens) - tokens
+        before -= np.repeat(before[first[:-1]], np.diff(first))
+        at = np.append(0, np.cumsum(taken))
+        counts = pool[np.repeat((end - size)[chunk] - at[:-1], taken) + np.arange(at[-1])] + np.repeat(before, taken) if at[-1] else np.zeros(0, np.int64)
+        return counts.astype(np.int32), at[first]
+
+
 @cache
 def counter(path: str) -> PrefixCounter:
     """One counter for each Python worker and file."""
     return PrefixCounter(path)
 
 
+@cache
+def columns(path: str) -> PrefixColumns:
+    return PrefixColumns(counter(path))
+
+
+PARTS = (
+    "uid long, doc_id long, n_bytes long, part int, base int, last int, lowest int, highest int, counts array<smallint>"
+)
+
+
+def prefix_parts(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """The prefix table in parts of ``PART`` code points: for every text rows uid, doc_id, n_bytes, part (from 0), base, last, lowest,
+    highest, counts.
+
+    ``base + counts[j]`` is the token count of the text's first ``part * PART + j + 1`` code points, ``base`` that of those
+    before the part, ``last`` the one at its end, ``lowest`` and ``highest`` bound those inside. A text without
+    code points has one part without counts. ``uid`` numbers the texts; it is fixed when the rows are written.
+    """
+    names = [x.split()[0] for x in PARTS.split(", ")]
+
+    def run(batches):
+        own, at = TaskContext.get().partitionId() << 36, 0
+        for batch in batches:
+            texts = pc.fill_null(batch.column("text"), "")
+            n_bytes = pc.cast(pc.binary_length(texts), pa.int64())
+            cuts = pc.cumulative_sum(n_bytes).to_numpy() // GROUP
+            edges = [0, *(np.flatnonzero(np.diff(cuts)) + 1).tolist(), len(texts)]
+            for lo, hi in zip(edges, edges[1:]):
+                if hi > lo:
+                    counts, bounds = columns(tokenizer).of(texts.slice(lo, hi - lo))
+                    yield parts(counts, bounds, own + at + np.arange(hi - lo), batch.column("doc_id").slice(lo, hi - lo), n_bytes.slice(lo, hi - lo))
+                    at += hi - lo
+
+    def parts(counts, bounds, uid, doc_ids, n_bytes):
+        size = np.diff(bounds)
+        n = np.maximum(1, -(-size // PART))
+        doc = np.repeat(np.arange(len(size)), n)
+        part = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        start = bounds[doc] + part * PART
+        stop = np.minimum(start + PART, bounds[doc + 1])
+        full = stop > start
+        padded = np.append(counts, 0)  # places past the end belong to empty parts
+        base = np.where(part > 0, padded[start - 1], 0)
+        last = np.where(full, padded[stop - 1], base)
+        lowest, highest = base.copy(), base.copy()
+        if full.any():
+            lowest[full], highest[full] = (f.reduceat(counts, start[full]) for f in (np.minimum, np.maximum))
+        values = (counts - np.repeat(base, stop - start)).astype(np.int16)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(stop - start)), pa.int32()), pa.array(values))
+        take = pa.array(doc)
+        numbers = [pa.array(x.astype(np.int32)) for x in (part, base, last, lowest, highest)]
+        return pa.RecordBatch.from_arrays([pa.array(uid[doc]), doc_ids.take(take), n_bytes.take(take), *numbers, lists], names=names)
+
+    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return narrow.mapInArrow(run, PARTS)
+
+
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
     """Token counts of whole texts, and where a text must end to fit ``limit`` tokens.
 
@@ -207,18 +334,24 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     over_limit and fit_points (code points of the longest prefix of at most ``limit`` tokens). NULL texts count as
     empty, which has no tokens; repeated rows are answered one by one; an empty table gives an empty result.
     ``tokenizer`` is the path of a byte-level BPE file of the tokenizers library, on every machine.
-    """
-    def run(cols):
-        c = counter(tokenizer)
-        texts = [t or "" for t in cols["text"]]
-        n = [c.count(t) for t in texts]
-        return {
-            "doc_id": cols["doc_id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n,
-            "over_limit": [k > limit for k in n], "fit_points": [c.fit(t, limit) if k > limit else len(t) for t, k in zip(texts, n)],
-        }
 
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_columns(narrow, run, "doc_id long,n_bytes long,n_tokens long,over_limit boolean,fit_points long")
+    The prefix table is written once; both answers are look-ups in it, for this limit as for any other.
+    """
+    return answers(settle(prefix_parts(docs, tokenizer), compression="zstd"), limit)
+
+
+def answers(stored: DataFrame, limit: int) -> DataFrame:
+    """``token_counts`` for one limit, from the stored parts; only a part that the limit lies in is searched."""
+    fits = F.transform("counts", lambda n: F.col("base") + n <= limit)
+    behind = F.array_position(F.reverse(fits), True)
+    place = (
+        F.when(F.col("highest") <= limit, F.size("counts")).when(F.col("lowest") > limit, F.lit(None))
+        .when(behind > 0, F.size("counts") - behind + 1)
+    )
+    rows = stored.select("uid", "doc_id", "n_bytes", "part", "last", (F.col("part").cast("long") * PART + place).alias("fit"))
+    n = F.max_by("last", "part").cast("long")
+    out = rows.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), n.alias("n_tokens"), F.max("fit").alias("fit"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.coalesce("fit", F.lit(0)).alias("fit_points"))
 
 
 def prefix_table(docs: DataFrame, tokenizer: str) -> DataFrame:

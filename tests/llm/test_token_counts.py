@@ -1,10 +1,12 @@
 import random
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from scanloom.llm.token_counts import PrefixCounter, prefix_table, token_counts
+from scanloom.llm import token_counts as T
+from scanloom.llm.token_counts import PrefixColumns, PrefixCounter, answers, prefix_parts, prefix_table, token_counts
 
 PATH = P.path("byte_bpe_50k.json")
 ODD = [
@@ -45,6 +47,46 @@ def test_random_texts(pair):
         assert own.fit(text, budget) == max(i for i, n in enumerate(want) if n <= budget), repr(text)
 
 
+def test_columns_equal_single_texts(pair):
+    own, lib = pair
+    rng = random.Random(8)
+    parts = ["the", " ", " ", "  ", "\n", "'re", "ing", "É", "\u3000", "\x1c", "\x85", "hello", "<|endoftext|>", "<|", " a b c d"]
+    texts = [*ODD, *("".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(400)), " a", "a ", "a b", None]
+    columns = PrefixColumns(own)
+    for _ in range(2):
+        counts, bounds = columns.of(pa.array(["x", *texts, "y"], pa.string())[1:-1])
+        assert len(bounds) == len(texts) + 1
+        for t, a, b in zip(texts, bounds, bounds[1:]):
+            assert counts[a:b].tolist() == own.prefixes(t or "")[1:], repr(t)
+    assert columns.of(pa.array(["", ""]))[1].tolist() == [0, 0, 0] and columns.of(pa.array([], pa.string()))[1].tolist() == [0]
+
+
+def test_stored_parts_answer_any_limit(spark, pair):
+    own, _ = pair
+    texts = [*ODD, "some words and more of them " * 4, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = T.settle(prefix_parts(docs, PATH))
+    for limit in (0, 1, 2, 5, 40, 10_000):
+        for r in answers(kept, limit).collect():
+            text = texts[r.doc_id] or ""
+            assert (r.n_tokens, r.n_bytes) == (own.count(text), len(text.encode()))
+            assert r.fit_points == max(i for i, n in enumerate(own.prefixes(text)) if n <= limit), (text, limit)
+
+
+def test_long_texts_have_several_parts(spark, pair):
+    own, lib = pair
+    text = "Ünder the  bridge\n" * 900 + "and the words go on " * 300
+    docs = spark.createDataFrame([(1, text), (2, text[:4096]), (3, text[:4097])], "doc_id long, text string")
+    parts = {(r.doc_id, r.part): r for r in prefix_parts(docs, PATH).collect()}
+    assert {k[0]: sum(1 for x in parts if x[0] == k[0]) for k in parts} == {1: -(-len(text) // 4096), 2: 1, 3: 2}
+    want = own.prefixes(text)[1:]
+    got = [r.base + n for i in range(-(-len(text) // 4096)) for r in [parts[1, i]] for n in r.counts]
+    assert got == want and want[-1] == brute(lib, text)
+    for limit in (1024, 3000, 6000):
+        fit = {r.doc_id: r.fit_points for r in token_counts(docs, PATH, limit).collect()}
+        assert fit[1] == max(i for i, n in enumerate(own.prefixes(text)) if n <= limit)
+
+
 def test_table(spark, sf, pair):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
