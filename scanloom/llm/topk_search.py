@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scanloom.session import settle
+from scanloom.sources.files import Opened
 
-INDEX = "shard int, n int, dims int, ids binary, matrix binary, postings binary"
-QUANTUM = 5  # a segment holds the values of 2 ** QUANTUM neighbouring numbers
+INDEX = "cell int, n int, dims int, ids binary, matrix binary, postings binary"
+#: Pivots that rows are gathered around, blocks of a shard, and steps in which a block's impacts are taken.
+PIVOTS, SHARD_BLOCKS, STEPS = 64, 16, 12
+#: So few rows left are rescored at once.
+ENOUGH = 32
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -22,7 +30,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & ~F.coalesce(bad, F.lit(True)))
 
 
-def whole_numbers(vectors: list, dims: int) -> np.ndarray:
+def whole_numbers(vectors: Sequence, dims: int) -> np.ndarray:
     """floor(1024 * x) of every component; shorter vectors end in zeros."""
     out = np.zeros((len(vectors), dims))
     for i, v in enumerate(vectors):
@@ -30,83 +38,151 @@ def whole_numbers(vectors: list, dims: int) -> np.ndarray:
     return np.floor(1024.0 * out).astype(np.int64)
 
 
-def build_index(rows: DataFrame, shard_rows: int = 16_384) -> DataFrame:
-    """One row per shard of about ``shard_rows`` vectors, written to the shared folder.
+def nearest_pivot(vectors: Sequence, pivots: np.ndarray) -> np.ndarray:
+    """The pivot of the largest cosine for each vector; only the gathering of like rows depends on it."""
+    dims = max(pivots.shape[1], max(map(len, vectors), default=0))
+    v, p = np.zeros((len(vectors), dims)), np.zeros((len(pivots), dims))
+    p[:, : pivots.shape[1]] = pivots
+    for i, x in enumerate(vectors):
+        v[i, : len(x)] = x
+    p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-30)
+    return np.argmax(v @ p.T, axis=1)
+
+
+def build_index(rows: DataFrame, block_rows: int = 2048) -> DataFrame:
+    """Blocks of like rows, written to the shared folder: ids, values, and each dimension's rows from the largest value down.
 
-    ``postings`` has, per dimension, the rows from the largest value down: cut at multiples of the quantum these are the
-    impact segments. ``matrix`` has the exact values, for rescoring. Shards are drawn by row, so equal vectors spread.
+    Rows are gathered around ``PIVOTS`` of them. A pivot's rows are dealt into as many shards as they need, by row, so one
+    vector that a third of the rows have fills many shards; a task cuts a shard into blocks by length of the vectors.
     """
-    shards = max(1, -(-rows.count() // shard_rows))
-    keyed = rows.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+    some = rows.orderBy(F.xxhash64("vec_id", "embedding")).limit(PIVOTS).collect()
+    pivots = np.zeros((max(1, len(some)), max((len(r["embedding"]) for r in some), default=1)))
+    for i, r in enumerate(some):
+        pivots[i, : len(r["embedding"])] = r["embedding"]
+
+    def gather(batches):
+        for pdf in batches:
+            yield pdf.assign(cell=nearest_pivot(list(pdf["embedding"]), pivots).astype("int32"))
+
+    kind = rows.schema["embedding"].dataType.simpleString()
+    placed = settle(rows.mapInPandas(gather, f"vec_id long, embedding {kind}, cell int").withColumn("row", F.monotonically_increasing_id()))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (block_rows * SHARD_BLOCKS)).cast("int").alias("shards"))
+    dealt = placed.join(F.broadcast(sizes), "cell")  # one row for each pivot
+    shard = F.pmod(F.xxhash64("row"), F.col("shards")).cast("int")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        dims = max(map(len, pdf["embedding"]))
-        m = whole_numbers(list(pdf["embedding"]), dims)
-        postings = np.argsort(-m, axis=0, kind="stable").T.astype(np.int32)
-        return pd.DataFrame({
-            "shard": [pdf["shard"].iloc[0]], "n": [len(pdf)], "dims": [dims], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()],
-            "matrix": [m.tobytes()], "postings": [np.ascontiguousarray(postings).tobytes()],
-        })
+        vectors = list(pdf["embedding"])
+        dims = max(map(len, vectors))
+        m = whole_numbers(vectors, dims)
+        order = np.argsort(-(m.astype(np.float64) ** 2).sum(1), kind="stable")
+        m, ids, out = m[order], pdf["vec_id"].to_numpy(np.int64)[order], []
+        for at in range(0, len(m), block_rows):
+            part = np.ascontiguousarray(m[at : at + block_rows])
+            postings = np.ascontiguousarray(np.argsort(-part, axis=0, kind="stable").T.astype(np.int32))
+            out.append((pdf["cell"].iloc[0], len(part), dims, ids[at : at + block_rows].tobytes(), part.tobytes(), postings.tobytes()))
+        return pd.DataFrame(out, columns=["cell", "n", "dims", "ids", "matrix", "postings"])
 
-    return settle(keyed.groupBy("shard").applyInPandas(build, INDEX))
+    return settle(dealt.withColumn("shard", shard).groupBy("cell", "shard").applyInPandas(build, INDEX))
 
 
-class Shard:
+class Block:
     """An index row, opened."""
 
-    def __init__(self, row: dict):
-        self.n, self.dims = int(row["n"]), int(row["dims"])
-        self.ids = np.frombuffer(row["ids"], np.int64)
-        self.matrix = np.frombuffer(row["matrix"], np.int64).reshape(self.n, self.dims)
-        self.postings = np.frombuffer(row["postings"], np.int32).reshape(self.dims, self.n)
-        self.levels = np.take_along_axis(self.matrix.T, self.postings, 1) >> QUANTUM
-        self.top, self.low = self.matrix.max(0), self.matrix.min(0)
-
-    def search(self, own: int, query: np.ndarray, k: int, enough: int = 256, steps: int = 12) -> list[tuple[int, int]]:
-        """The ``k`` best (score, id), ties to smaller ids, without rows of id ``own``.
-
-        Scores are counted as gains over each dimension's worst value, so all are positive. Segments are taken by
-        falling impact, many of like impact at a time; a gain is added as the segment's least one, so the sum is a
-        lower bound, and the sum plus the quantisation error plus the best gain left in every dimension is an upper
-        bound. Counting stops when so few rows can still be among the best that rescoring them exactly is cheap, or when
-        no segment is left: either way every row that might be a member is rescored.
-        """
+    def __init__(self, n: int, dims: int, ids: bytes, matrix: bytes, postings: bytes):
+        self.n, self.dims = n, dims
+        self.ids = np.frombuffer(ids, np.int64)
+        self.matrix = np.frombuffer(matrix, np.int64).reshape(n, dims)
+        self.postings = np.frombuffer(postings, np.int32).reshape(dims, n)
+        self.levels = np.take_along_axis(self.matrix.T, self.postings, 1)
+        self.top, self.low = self.levels[:, 0], self.levels[:, -1]
+
+    def sized(self, query: np.ndarray) -> np.ndarray:
         q = np.zeros(self.dims, np.int64)
         q[: min(self.dims, len(query))] = query[: self.dims]
+        return q
+
+    def bound(self, query: np.ndarray) -> int:
+        """No row of the block scores more."""
+        q = self.sized(query)
+        return int(np.maximum(q * self.top, q * self.low).sum())
+
+    def search(self, own: int, query: np.ndarray, k: int, bar: int | None, enough: int = ENOUGH) -> tuple[np.ndarray, np.ndarray, int]:
+        """Scores and ids of all rows that may be among the best ``k``, and how many postings were read.
+
+        ``bar`` is a score that ``k`` other rows reach, if known. A component's impact is its gain over the dimension's
+        worst one in the block, so impacts are not negative. Impacts are quantised into ``STEPS`` levels of the block's
+        largest; a step reads the next level's segments of all dimensions, largest impacts first, and adds their exact
+        values. A row's sum is a lower bound; with the largest impact left in every dimension in which the row has not
+        been read yet it is an upper bound. Rows whose upper bound is under the bar, or under ``k`` lower bounds, are out;
+        reading stops when few rows are left, which are rescored in full.
+        """
+        q = self.sized(query)
         used = np.flatnonzero(q)
-        width = (1 << QUANTUM) - 1
-        error = int(np.abs(q).sum()) * width
-        mine = self.ids == own
-        sums = np.zeros(self.n, np.int64)
-        gains = {}
+        worst = np.where(q > 0, q * self.low, q * self.top)
+        lists = []
         for d in used:
-            level = self.levels[d] if q[d] > 0 else self.levels[d][::-1]
-            rows = self.postings[d] if q[d] > 0 else self.postings[d][::-1]
-            least = (level << QUANTUM) - self.low[d] if q[d] > 0 else self.top[d] - (level << QUANTUM) - width
-            gains[d] = rows, abs(int(q[d])) * np.maximum(least, 0), 0
-        most = max((int(g[0]) for _, g, _ in gains.values() if self.n), default=0)
-        possible = np.flatnonzero(~mine)
-        for step in range(1, steps + 1):
-            floor = most * (steps - step) // steps if step < steps else -1
-            rest = error
-            for d in used:
-                rows, g, at = gains[d]
-                to = int(np.searchsorted(-g, -floor, side="left")) if floor >= 0 else self.n
-                sums[rows[at:to]] += g[at:to]
-                gains[d] = rows, g, to
-                rest += int(g[to]) if to < self.n else 0
-            if len(possible) > k:
-                reach = sums[possible]
-                bar = np.partition(reach, len(reach) - k)[len(reach) - k]
-                possible = possible[reach + rest >= bar]
+            forward = q[d] > 0
+            rows = self.postings[d] if forward else self.postings[d][::-1]
+            gain = q[d] * (self.levels[d] if forward else self.levels[d][::-1]) - worst[d]
+            lists.append((rows, gain, -gain))
+        most = max((int(g[0]) for _, g, _ in lists), default=0)
+        at = [0] * len(lists)
+        left = np.array([int(g[0]) for _, g, _ in lists], np.int64)
+        seen = np.zeros((self.n, len(lists)), bool)
+        sums = np.full(self.n, int(worst.sum()), np.int64)
+        possible, read = np.flatnonzero(self.ids != own), 0
+        for step in range(1, STEPS + 1):
             if len(possible) <= max(k, enough):
                 break
-        scores = self.matrix[possible] @ q
-        best = np.lexsort((self.ids[possible], -scores))[:k]
-        return [(int(scores[i]), int(self.ids[possible[i]])) for i in best]
-
-
-def topk_search(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 16_384, query_rows: int = 128) -> DataFrame:
+            floor = most * (STEPS - step) // STEPS
+            for j, (rows, gain, falling) in enumerate(lists):
+                to = self.n if step == STEPS else int(np.searchsorted(falling, -floor, side="left"))
+                if to > at[j]:
+                    now = rows[at[j] : to]
+                    sums[now] += gain[at[j] : to]
+                    seen[now, j] = True
+                    read += to - at[j]
+                    at[j] = to
+                    left[j] = int(gain[to]) if to < self.n else 0
+            sure = sums[possible]
+            if len(sure) >= k:
+                reached = int(np.partition(sure, len(sure) - k)[len(sure) - k])
+                bar = reached if bar is None else max(bar, reached)
+            if bar is not None:
+                possible = possible[sure + (~seen[possible]) @ left >= bar]
+        return self.matrix[possible] @ q, self.ids[possible], read
+
+
+def best_of(blocks: Sequence[Block], own: int, query: np.ndarray, k: int) -> tuple[list[tuple[int, int]], int]:
+    """The ``k`` best (score, id) of all blocks, ties to smaller ids, without rows of id ``own``; and the postings read.
+
+    Blocks are searched from the largest bound down, and not at all once a block's bound is under the ``k``-th score.
+    """
+    bounds = np.array([b.bound(query) for b in blocks], np.int64)
+    scores, ids, read = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    for i in np.argsort(-bounds, kind="stable"):
+        bar = int(scores[-1]) if len(scores) == k else None
+        if bar is not None and bounds[i] < bar:
+            break
+        s, v, n = blocks[i].search(own, query, k, bar)
+        read += n
+        scores, ids = np.append(scores, s), np.append(ids, v)
+        best = np.lexsort((ids, -scores))[:k]
+        scores, ids = scores[best], ids[best]
+    return list(zip(scores.tolist(), ids.tolist())), read
+
+
+def batches_of(paths: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """Queries from the settled files, a few thousand at a time."""
+    systems = Opened()
+    for path in paths:
+        system, inner = systems.of(path)
+        with system.open_input_file(inner) as f:
+            for batch in pq.ParquetFile(f).iter_batches(4096, columns=["vec_id", "embedding"]):
+                yield batch.to_pandas()
+
+
+def topk_search(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 2048) -> DataFrame:
     """Each query's ``k`` rows of largest integer inner product: query_id, rank, vec_id, score.
 
     Both inputs have vec_id and embedding; other columns are ignored. A component x counts as floor(1024 * x), x below
@@ -115,27 +191,26 @@ def topk_search(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows:
     own as candidates, an id repeated among the queries asks once, with its least vector. Ties go to smaller ids; fewer
     candidates give fewer rows; an empty table gives an empty result.
 
-    Queries meet every shard in blocks of ``query_rows``; a task holds one shard and one block, and returns ``k`` rows
-    per query.
+    The index is not moved: a task opens the blocks of its part of it and reads the settled queries file by file, a batch
+    at a time; only ``k`` rows for each query and task go through a shuffle.
     """
-    index = build_index(usable(vectors), shard_rows)
+    index = build_index(usable(vectors), block_rows)
     asked = settle(usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
-    blocks = max(1, -(-asked.count() // query_rows))
-    shards = index.agg(F.max("shard")).first()[0]
-    schema = "query_id long, vec_id long, score long"
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards or 0))))
-
-    def search(one: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(one) and len(block):
-            shard = Shard(one.iloc[0])
-            longest = max(map(len, block["embedding"]))
-            for own, q in zip(block["vec_id"], whole_numbers(list(block["embedding"]), longest)):
-                out += [(own, i, s) for s, i in shard.search(int(own), q, k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(search, schema)
+    paths = asked.inputFiles()  # as many as the tasks that wrote them
+    target = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+    def search(batches):
+        blocks = [Block(*row) for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("n", "dims", "ids", "matrix", "postings")))]
+        if not blocks:
+            return
+        for pdf in batches_of(paths):
+            out = []
+            longest = max(map(len, pdf["embedding"]))
+            for own, q in zip(pdf["vec_id"].tolist(), whole_numbers(list(pdf["embedding"]), longest)):
+                out += [(own, i, s) for s, i in best_of(blocks, own, q, k)[0]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=target)
+
+    found = index.mapInArrow(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
