@@ -16,10 +16,10 @@ from scanloom.session import settle
 from scanloom.sources.files import Opened
 
 INDEX = "cell int, n int, dims int, ids binary, matrix binary, postings binary"
-#: Pivots that rows are gathered around, blocks of a shard, and steps in which a block's impacts are taken.
+#: Most pivots that rows are gathered around, blocks of a shard, and steps in which a block's impacts are taken.
 PIVOTS, SHARD_BLOCKS, STEPS = 64, 16, 12
-#: So few rows left are rescored at once.
-ENOUGH = 32
+#: So few rows of a block left are rescored at once.
+ENOUGH = 512
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -52,10 +52,11 @@ def nearest_pivot(vectors: Sequence, pivots: np.ndarray) -> np.ndarray:
 def build_index(rows: DataFrame, block_rows: int = 2048) -> DataFrame:
     """Blocks of like rows, written to the shared folder: ids, values, and each dimension's rows from the largest value down.
 
-    Rows are gathered around ``PIVOTS`` of them. A pivot's rows are dealt into as many shards as they need, by row, so one
+    Rows are gathered around some of them, one for each block's worth and ``PIVOTS`` at most. A pivot's rows are dealt into as many shards as they need, by row, so one
     vector that a third of the rows have fills many shards; a task cuts a shard into blocks by length of the vectors.
     """
-    some = rows.orderBy(F.xxhash64("vec_id", "embedding")).limit(PIVOTS).collect()
+    wanted = min(PIVOTS, max(1, rows.count() // block_rows))
+    some = rows.orderBy(F.xxhash64("vec_id", "embedding")).limit(wanted).collect()
     pivots = np.zeros((max(1, len(some)), max((len(r["embedding"]) for r in some), default=1)))
     for i, r in enumerate(some):
         pivots[i, : len(r["embedding"])] = r["embedding"]
