@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -84,3 +85,12 @@ def release(*frames: DataFrame) -> None:
             spark = df.sparkSession
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more.
+
+    Spark does so when the driver's garbage is collected, which may be long after a large shuffle's last use.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
