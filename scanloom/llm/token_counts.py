@@ -335,8 +335,24 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     empty, which has no tokens; repeated rows are answered one by one; an empty table gives an empty result.
     ``tokenizer`` is the path of a byte-level BPE file of the tokenizers library, on every machine.
 
-    The prefix table is written once; both answers are look-ups in it, for this limit as for any other.
+    For one limit only: the tables of the pieces are used where they are made. :func:`stored_token_counts` writes the table
+    of all prefixes, which answers any number of limits.
     """
+    def run(cols):
+        c = counter(tokenizer)
+        texts = [t or "" for t in cols["text"]]
+        n = [c.count(t) for t in texts]
+        return {
+            "doc_id": cols["doc_id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n,
+            "over_limit": [k > limit for k in n], "fit_points": [c.fit(t, limit) if k > limit else len(t) for t, k in zip(texts, n)],
+        }
+
+    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_columns(narrow, run, "doc_id long,n_bytes long,n_tokens long,over_limit boolean,fit_points long")
+
+
+def stored_token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
+    """:func:`token_counts` by way of the stored prefix table: written once, the answers are look-ups in it."""
     return answers(settle(prefix_parts(docs, tokenizer), compression="zstd"), limit)
 
 

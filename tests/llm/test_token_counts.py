@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from scanloom.llm import token_counts as T
-from scanloom.llm.token_counts import PrefixColumns, PrefixCounter, answers, prefix_parts, prefix_table, token_counts
+from scanloom.llm.token_counts import PrefixColumns, PrefixCounter, answers, prefix_parts, prefix_table, stored_token_counts, token_counts
 
 PATH = P.path("byte_bpe_50k.json")
 ODD = [
@@ -83,7 +83,9 @@ def test_long_texts_have_several_parts(spark, pair):
     got = [r.base + n for i in range(-(-len(text) // 4096)) for r in [parts[1, i]] for n in r.counts]
     assert got == want and want[-1] == brute(lib, text)
     for limit in (1024, 3000, 6000):
-        fit = {r.doc_id: r.fit_points for r in token_counts(docs, PATH, limit).collect()}
+        answered = sorted(tuple(r) for r in stored_token_counts(docs, PATH, limit).collect())
+        assert answered == sorted(tuple(r) for r in token_counts(docs, PATH, limit).collect())
+        fit = {r[0]: r[4] for r in answered}
         assert fit[1] == max(i for i, n in enumerate(own.prefixes(text)) if n <= limit)
 
 
