@@ -43,11 +43,13 @@ class Replica:
         placed = objects.withColumn("bucket", self._bucket())
         placed.repartitionByRange("bucket", "study_uid", *self.keys).write.mode("append").partitionBy("bucket").parquet(self.root)
 
-    def objects(self, buckets: Sequence[int] | None = None) -> DataFrame:
-        """Newest versions, of all or of some buckets, whose folders alone are read."""
+    def objects(self, buckets: Sequence[int] | None = None, studies: DataFrame | None = None) -> DataFrame:
+        """Newest versions, of all or of some buckets, whose folders alone are read, there of all or of the given studies."""
         rows = self.spark.read.schema(self.schema).parquet(self.root)
         if buckets is not None:
             rows = rows.where(F.col("bucket").isin(list(buckets)))
+        if studies is not None:
+            rows = of_studies(rows, studies, "left_semi")
         return latest_per_key(rows, ["bucket", "study_uid", *self.keys], [F.col("version"), F.col("content_hash")])
 
     def _study_digests(self, objects: DataFrame) -> DataFrame:
@@ -63,13 +65,21 @@ class Replica:
     def studies(self, buckets: Sequence[int]) -> DataFrame:
         return self._studies.where(F.col("bucket").isin(list(buckets)))
 
-    def refresh(self, buckets: Sequence[int]) -> None:
-        """Digests again of the buckets that got objects; all other branches stay."""
+    def refresh(self, gained: DataFrame) -> None:
+        """Digests again of the studies that got objects, and of their buckets; all other branches stay."""
+        touched = settle(gained.select(self._bucket().alias("bucket"), "study_uid").distinct())
+        buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]
         if not buckets:
             return
-        fresh = settle(self._study_digests(self.objects(buckets)))
-        self._studies = self._studies.where(~F.col("bucket").isin(list(buckets))).unionByName(fresh)
-        self.digests.update(self._bucket_digests(fresh))
+        fresh = self._study_digests(self.objects(buckets, touched))
+        self._studies = settle(of_studies(self._studies, touched, "left_anti").unionByName(fresh))
+        self.digests.update(self._bucket_digests(self.studies(buckets)))
+
+
+def of_studies(rows: DataFrame, studies: DataFrame, how: str) -> DataFrame:
+    """Rows whose ``(bucket, study_uid)`` is among the given ones, or is not; a NULL UID is one study."""
+    same = (F.col("o.bucket") == F.col("s.bucket")) & F.col("o.study_uid").eqNullSafe(F.col("s.study_uid"))
+    return rows.alias("o").join(studies.alias("s"), same, how)
 
 
 def differing_buckets(left: Replica, right: Replica) -> list[int]:
@@ -91,10 +101,7 @@ def moves(left: Replica, right: Replica, studies: DataFrame, buckets: Sequence[i
     keys = ["study_uid", *left.keys]
 
     def side(replica: Replica, name: str) -> DataFrame:
-        rows = replica.objects(buckets).alias("o").join(
-            studies.alias("s"), (F.col("o.bucket") == F.col("s.bucket")) & F.col("o.study_uid").eqNullSafe(F.col("s.study_uid")), "left_semi"
-        )
-        return rows.select(F.struct(*names).alias(name), F.struct("version", "content_hash").alias(f"_{name}"), *[F.col(k).alias(f"{name}_{k}") for k in keys])
+        return replica.objects(buckets, studies).select(F.struct(*names).alias(name), F.struct("version", "content_hash").alias(f"_{name}"), *[F.col(k).alias(f"{name}_{k}") for k in keys])
 
     same = reduce(lambda x, y: x & y, [F.col(f"left_{k}").eqNullSafe(F.col(f"right_{k}")) for k in keys])
     met = side(left, "left").join(side(right, "right"), same, "full_outer")
@@ -134,8 +141,7 @@ def make_consistent(
             if extra is not None:
                 gained = settle(gained.unionByName(extra.select(*gained.columns)))
             replica.add(gained)
-            touched = gained.select(replica._bucket().alias("b")).distinct().collect()
-            replica.refresh([r["b"] for r in touched])
+            replica.refresh(gained)
     if differing_buckets(left, right):
         raise NotConsistent(f"still different after {rounds} rounds")
     return spark.createDataFrame(log, ROUNDS)

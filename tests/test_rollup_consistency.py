@@ -104,6 +104,26 @@ def test_replicas_become_consistent(spark):
     assert [tuple(r) for r in C.make_consistent(left, right).collect()] == [(1, 0, 0, 0, 0, 0)]
 
 
+def test_only_touched_studies_are_digested_again(spark):
+    side = replica(spark, [(f"s{i % 6}" if i % 7 else None, f"o{i}", 1, "h") for i in range(40)], buckets=2)
+    more = spark.createDataFrame([("s1", "o1", 2, "new"), (None, "x", 1, "h")], OBJECT)
+    digested, before = [], side._study_digests
+    side._study_digests = lambda objects: digested.append(objects) or before(objects)
+    side.add(more)
+    side.refresh(more)
+    assert {r.study_uid for r in digested[0].collect()} == {"s1", None}
+    whole = before(side.objects())
+    assert {tuple(r) for r in side._studies.collect()} == {tuple(r) for r in whole.collect()}
+    assert side.digests == side._bucket_digests(whole)
+
+
+def test_set_hash_state_is_of_plain_numbers(spark):
+    from scanloom.operators.dedup import set_hash
+
+    df = spark.range(5).select((F.col("id") % 2).alias("g"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    assert "decimal" not in df.groupBy("g").agg(set_hash(F.col("h")))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rounds_are_bounded(spark):
     left, right = replica(spark, [("s", "a", 1, "h")]), replica(spark, [("s", "b", 1, "h")])
     more = lambda n: (spark.createDataFrame([("s", f"n{n}", 1, "h")], OBJECT), None)
