@@ -177,3 +177,45 @@ def test_stored_extracts_stay_in_their_buckets(spark):
         assert "Exchange" not in plan.replace("BroadcastExchange", "") and "SortAggregate" not in plan, plan
     again = S.open_bucketed(spark.newSession(), store.refs.inputFiles()[0].rpartition("/")[0].replace("file:///", "/"), 4)
     assert again.count() == 400
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_extracts_travel_packed(instances):
+    """No map is a grouping key; NULL values, NULL VRs and binary attributes come back as they were."""
+    assert "mapsort" not in plan_of(D.deduplicate(instances)[0]).lower()
+    kind = "map<string,struct<vr:string,Value:array<string>,InlineBinary:string,BulkDataURI:string>>"
+    odd = '{"00100020": {"vr": "LO", "Value": ["a\\\\\\"=", null, ""]}, "00100010": {"InlineBinary": "x"}, "00100040": {"Value": []}}'
+    rows = instances.sparkSession.createDataFrame([("1", odd), ("2", odd), ("3", "{}")], "sop_uid string, j string")
+    rows = rows.select("sop_uid", F.from_json("j", kind).alias("ds"))
+    got = {r.ds_text: r.hash for r in D.deduplicate(rows)[0].where("type = 'patient'").select("hash", F.to_json("ds").alias("ds_text")).collect()}
+    want = {r.t: r.h for r in rows.select(F.to_json(F.map_from_entries(F.array_sort(F.map_entries("ds")))).alias("t"), G.content_hash(F.col("ds")).alias("h")).collect()}
+    assert got == want
+
+
+def test_canonical_text_of_odd_attributes(spark):
+    row = [({"b": ("L=O", ["x\\y"], None, None), "a\n": (None, None, "in", "u=i"), "c": ("PN", [None], None, None), "d": ("PN", [], None, None), "e": ("PN", ["1", None], None, None)},)]
+    df = spark.createDataFrame(row, "ds map<string,struct<vr:string,Value:array<string>,InlineBinary:string,BulkDataURI:string>>")
+    text = df.select(G.canonical_text(F.col("ds"))).first()[0]
+    assert text == "a\\n=I:in=B:u\\=i\nb=R:L\\=O=V1:+x\\\\y\nc=R:PN=V1:-\nd=R:PN=V0:\ne=R:PN=V2:+1\\-"
+    assert "lambdafunction(if" not in plan_of(df.select(G.canonical_text(F.col("ds")))).lower()  # no comparator function
+
+
+def test_private_blocks_are_not_tried_one_by_one(spark):
+    own = {"00090010": ("LO", ["OTHER"], None, None), "00090011": ("LO", None, None, None), "0009003F": ("LO", ["ACME"], None, None), "0009001A": ("LO", ["ACME"], None, None), "00090040": ("LO", ["FAR"], None, None)}
+    full = {f"000900{b:02X}": ("LO", ["X"], None, None) for b in range(16, 64)}
+    df = spark.createDataFrame([(1, own), (2, full), (3, {}), (4, None)], "id int, ds map<string,struct<vr:string,Value:array<string>,InlineBinary:string,BulkDataURI:string>>")
+    ds = F.col("ds")
+    out = df.select("id", G.private_tag(ds, "00091005", "ACME"), G.reserve_private_block(ds, "00091005", "ACME"), G.reserve_private_block(ds, "00091005", "NEW"), G.private_tag(ds, "00091005", "FAR"))
+    assert [tuple(r) for r in out.orderBy("id").collect()] == [
+        (1, "00091A05", "00091A05", "00091205", None), (2, None, None, None, None), (3, None, "00091005", "00091005", None), (4, None, None, None, None)]
+    assert "sequence(" not in plan_of(out) and plan_of(out).count("lambdafunction") < 8
+
+
+def test_documents_and_updates_pass_over_the_lines_once(spark, sf):
+    from scanloom.plans.dedup_queries import described
+
+    assert plan_of(described(spark, sf)).count("Window [") == 1
+    assert plan_of(catalog.QUERIES["attribute_update"](spark, sf)).count("Window [") == 1  # of the extracts to be replaced
