@@ -64,3 +64,16 @@ def test_the_store_is_staged_as_text_and_bytes(spark, full, monkeypatch):
     monkeypatch.setattr(S, "write_bucketed", seen)
     S.write_store(D.split_extracts(full), 4)
     assert len(moved) == 1 and moved[0]["ds"] == "string" and moved[0]["_patient"] == "struct<hash:binary,ds:string>"
+
+
+def test_recombination_moves_texts_and_short_hashes(spark, full):
+    extracts, refs = D.deduplicate(full)
+    back = D.recombine(refs, extracts, KEYS)
+    # The extracts' own grouping writes text once; the pieces of both sides do so too.
+    assert back._jdf.queryExecution().optimizedPlan().toString().lower().count("tojson") >= 3
+    assert texts(back) == texts(full)
+    # Texts that are no digests stay apart, also from the bytes of others.
+    odd = ["6162", "ab", "AB", "6162x", "", "616", None]
+    got = [r.s for r in spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").orderBy("i").select(D.short(F.col("t")).alias("s")).collect()]
+    assert len({bytes(s) for s in got if s is not None}) == 6 and got[-1] is None
+
