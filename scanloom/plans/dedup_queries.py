@@ -275,10 +275,12 @@ def reference_chains(spark, folder):
     along = Window.partitionBy("study_uid").orderBy("mtime", "file_hash")
     last = F.last("file_hash").over(along.rowsBetween(0, 4))
     ordered = files.select("*", F.lag("file_hash").over(along).alias("before"), F.row_number().over(along).alias("i"), last.alias("later"))
-    chain = ordered.where("before IS NOT NULL AND i % 6 <> 0").select("study_uid", "file_hash", F.col("before").alias("ref"))
-    circle = ordered.where("i % 6 = 1 AND k % 3 = 0 AND later <> file_hash").select("study_uid", "file_hash", F.col("later").alias("ref"))
+    # Both kinds of references come from one pass over the ordered files.
+    chain = F.when(F.expr("before IS NOT NULL AND i % 6 <> 0"), F.col("before"))
+    circle = F.when(F.expr("i % 6 = 1 AND k % 3 = 0 AND later <> file_hash"), F.col("later"))
+    refs = ordered.select("study_uid", "file_hash", F.explode(F.array_compact(F.array(chain, circle))).alias("ref"))
     present = files.where("there").select("study_uid", "file_hash", "mtime")
-    return D.newest_superseders(present, chain.unionByName(circle)).drop("mtime")
+    return D.newest_superseders(present, refs).drop("mtime")
 
 
 @query("metadata_dirty", f"""WITH {SQL_FILES},

@@ -77,3 +77,14 @@ def test_recombination_moves_texts_and_short_hashes(spark, full):
     got = [r.s for r in spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").orderBy("i").select(D.short(F.col("t")).alias("s")).collect()]
     assert len({bytes(s) for s in got if s is not None}) == 6 and got[-1] is None
 
+
+def test_long_chains_move_only_what_is_sent(spark, monkeypatch):
+    monkeypatch.setattr(D, "MERGED_ROUNDS", 3)
+    n = 9
+    files = spark.createDataFrame([("s", f"f{i}", i) for i in range(n)] + [("t", "one", None)], "study_uid string, file_hash string, mtime bigint")
+    refs = spark.createDataFrame([("s", f"f{i + 1}", f"f{i}") for i in range(n - 1)], "study_uid string, file_hash string, ref string")
+    with no_broadcast(spark):
+        out = D.newest_superseders(files, refs)
+        assert exchanges(out) == 1
+        got = {(r.study_uid, r.file_hash): (r.by, r.superseded) for r in out.collect()}
+    assert got == {("s", f"f{i}"): (f"f{n - 1}", i < n - 1) for i in range(n)} | {("t", "one"): ("one", False)}
