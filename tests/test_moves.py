@@ -86,5 +86,6 @@ def test_long_chains_move_only_what_is_sent(spark, monkeypatch):
     with no_broadcast(spark):
         out = D.newest_superseders(files, refs)
         assert exchanges(out) == 1
-        got = {(r.study_uid, r.file_hash): (r.by, r.superseded) for r in out.collect()}
-    assert got == {("s", f"f{i}"): (f"f{n - 1}", i < n - 1) for i in range(n)} | {("t", "one"): ("one", False)}
+        rows = out.collect()
+    got = {(r.study_uid, r.file_hash): (r.by, r.superseded) for r in rows}
+    assert len(rows) == n + 1 and got == {("s", f"f{i}"): (f"f{n - 1}", i < n - 1) for i in range(n)} | {("t", "one"): ("one", False)}
