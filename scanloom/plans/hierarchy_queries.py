@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from scanloom.operators import hierarchy as H
 from scanloom.operators import ordering as O
 from scanloom.operators import rollup as R
+from scanloom.operators.stored import CELL
 from scanloom.plans import view as V
 from scanloom.plans.registry import query, table
-from scanloom.session import new_folder, settle
+from scanloom.session import new_folder, settle, settle_bucketed
 from scanloom.sources import sinks as K
 
 WITH_SERIES = f"WITH {V.SQL_INSTANCES},{V.SQL_SERIES}"
@@ -219,15 +220,23 @@ after AS (SELECT * REPLACE (CASE WHEN part_key % 7 = 3 THEN instance_number + 10
 
 
 def rolled(spark, folder):
-    """The state before, the changes, the instances after them: some are added, deleted, moved back or forward with a new modality."""
-    inst = settle(V.instances(spark, folder))
+    """The state before, the changes, the instances after them: some are added, deleted, moved back or forward with a new modality.
+
+    All lie in buckets by the cell of their series: the lines are moved there once, the others come from them in place.
+    """
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The lines travel, a fraction of the instances' UIDs.
+    lines = V.newest_lines(spark, folder)
+    names = V.as_instances(lines).columns
+    placed = R.with_series_cell(V.with_instances(lines)).select(*lines.columns, CELL).repartition(buckets, CELL)
+    inst = settle_bucketed(V.with_instances(placed).select(*names, CELL), [CELL], buckets, placed=True)
     group = F.col("part_key") % 7
     number = F.col("instance_number") + F.when(group == 3, 10).when(group == 4, -10).otherwise(0)
     moved = inst.withColumns({"instance_number": number, "modality": F.when(group.isin(3, 4), "U").otherwise(F.col("modality"))})
     op = F.when(group == 1, R.INSERT).when(group == 2, R.DELETE).when(group.isin(3, 4), R.UPDATE)
     changes = moved.withColumn("op", op).where("op IS NOT NULL")
-    state = settle(R.series_state(inst.where(group != 1), V.INSTANCE_COLUMNS))
-    return state, settle(changes), moved.where(group != 2)
+    state = settle_bucketed(R.series_state(inst.where(group != 1), V.INSTANCE_COLUMNS), [CELL], buckets, placed=True)
+    return state, settle_bucketed(changes, [CELL], buckets, placed=True), moved.where(group != 2)
 
 
 @query("rollup_series", f"""{ROLL_SQL}
@@ -237,7 +246,7 @@ def rollup_series(spark, folder):
     """Kept up by a batch; the archive of the instances lies in study buckets and is read only for first instances that went."""
     state, changes, after = rolled(spark, folder)
     path = new_folder(spark, "archive")
-    K.write_archive(after, path, buckets=8)
+    K.write_archive(after.drop(CELL), path, buckets=8)
     read = R.bucket_reader(K.read_archive(spark, path), lambda study: K.study_bucket(study, 8))
     return R.summaries(R.roll_up(state, changes, V.INSTANCE_COLUMNS, read))
 

@@ -38,8 +38,17 @@ def newest_lines(spark: SparkSession, folder: str) -> DataFrame:
     return latest_per_key(arrivals(spark, folder), ["l_orderkey", "l_linenumber"], version_order())
 
 
+def with_instances(lines: DataFrame) -> DataFrame:
+    """The lines with the columns of their instances beside their own."""
+    return lines.select("*", *instance_columns())
+
+
 def as_instances(lines: DataFrame) -> DataFrame:
-    return lines.select(
+    return lines.select(*instance_columns())
+
+
+def instance_columns() -> list[Column]:
+    return [
         F.concat(F.lit("1.2."), text("l_orderkey")).alias("study_uid"),
         F.concat(F.lit("1.2."), text("l_orderkey"), F.lit(".9."), text("l_suppkey")).alias("series_uid"),
         F.concat(F.lit("1.2."), text("l_orderkey"), F.lit("."), text("l_linenumber")).alias("sop_uid"),
@@ -50,7 +59,7 @@ def as_instances(lines: DataFrame) -> DataFrame:
         yyyymmdd("l_shipdate").alias("content_date"),
         F.col("l_partkey").alias("part_key"),
         F.col("l_linestatus").alias("line_status"),
-    )
+    ]
 
 
 def instances(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from scanloom.operators import consistency as C
 from scanloom.operators import dedup as D
 from scanloom.operators import rollup as R
-from scanloom.session import new_folder
+from scanloom.operators.stored import joined_in_place
+from scanloom.session import new_folder, settle_bucketed
 from scanloom.sources import sinks as K
 
 SCHEMA = "study_uid string, series_uid string, sop_uid string, instance_number bigint, series_number bigint, modality string"
@@ -217,3 +218,32 @@ def test_no_content_in_aggregations(spark):
     df = spark.range(5).select("id", F.col("id").cast("string").cast("binary").alias("content"))
     _, stored = K.chunked_bulkdata(K.chunk_rows(df, "id", "content", 2), "id")
     assert "Aggregate" not in stored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rollup_moves_nothing_between_series_buckets(spark):
+    objects = {f"i{i}": (None if i % 7 == 0 else f"1.{i % 5}", f"1.{i % 5}.{i % 3}", i % 11, 1, f"m{i}") for i in range(150)}
+    state = settle_bucketed(R.series_state(R.with_series_cell(as_df(spark, objects)), ATTRIBUTES), ["cell"], 4)
+    changes = []
+    for i in range(0, 150, 4):
+        old = objects.pop(f"i{i}")
+        changes.append(("delete", *old[:2], f"i{i}", *old[2:]))
+    for i in range(1, 150, 4):
+        old = objects[f"i{i}"]
+        objects[f"i{i}"] = (*old[:2], old[2] + 20, old[3], "u")
+        changes.append(("update", *objects[f"i{i}"][:2], f"i{i}", *objects[f"i{i}"][2:]))
+    objects["n"] = (None, "1.0.9", 3, 1, "new")
+    changes.append(("insert", None, "1.0.9", "n", 3, 1, "new"))
+    batch = settle_bucketed(R.with_series_cell(spark.createDataFrame(changes, "op string, " + SCHEMA)), ["cell"], 4)
+    after = settle_bucketed(R.with_series_cell(as_df(spark, objects)), ["cell"], 4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with joined_in_place(spark):
+            merged = R.merge_changes(state, batch, ATTRIBUTES)
+            plan = merged._jdf.queryExecution().executedPlan().toString()
+            looked_up = R.series_state(R.reader_of(after)(state.select("cell", *R.SERIES)), ATTRIBUTES)._jdf.queryExecution().executedPlan().toString()
+        out = {tuple(r) for r in R.summaries(R.roll_up(state, batch, ATTRIBUTES, R.reader_of(after))).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "Exchange" not in plan and "Exchange" not in looked_up
+    assert out == full(spark, objects)
