@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +29,11 @@ def dataset(values: Mapping[str, Column]) -> Column:
     entries = []
     for keyword, value in values.items():
         code, vr = TAGS[keyword]
-        entries.append(
-            F.when(value.isNotNull(), F.struct(F.lit(code).alias("key"), attribute(vr, F.array(value)).alias("value")))
-        )
-    return F.map_from_entries(F.array_compact(F.array(*entries)))
+        entries.append(F.struct(F.lit(code).alias("key"), attribute(vr, F.array(value)).alias("value")))
+    there = [F.when(value.isNotNull(), entry) for value, entry in zip(values.values(), entries, strict=True)]
+    # Where nothing is absent nothing has to be filtered out, which Spark does entry by entry without compiled code.
+    full = reduce(lambda a, b: a & b, [value.isNotNull() for value in values.values()], F.lit(True))
+    return F.when(full, F.map_from_entries(F.array(*entries))).otherwise(F.map_from_entries(F.array_compact(F.array(*there))))
 
 
 def _creator_tags(group: str) -> list[str]:
@@ -147,11 +149,10 @@ def escape_part(col: Column) -> Column:
     return col
 
 
-def canonical_text(ds: Column) -> Column:
-    """Key-order independent text of a dataset, different for different datasets.
+def canonical_lines(ds: Column, *marks: Callable[[Column], Column]) -> Column:
+    """The lines of the canonical text, sorted: ``array<struct<tag, line>>``, with ``marks`` made from the tag behind them.
 
-    Sorted lines ``tag=R:vr=V2:+value\\-=I:binary=B:uri``; absent fields are left out. A value list has its length
-    before it, ``+`` before each value and ``-`` for a NULL one.
+    Texts of parts of a dataset are made of the same lines.
     """
     def labelled(name: str, value: Column) -> Column:
         return F.concat(F.lit(name), escape_part(value))
@@ -163,14 +164,26 @@ def canonical_text(ds: Column) -> Column:
         return F.when((F.size(v) == 1) & first.isNotNull(), labelled("=V1:+", first)).otherwise(several)
 
     # Entries by their keys; sort_array compares them natively, without a comparator function per pair.
-    lines = F.transform(
+    return F.transform(
         F.sort_array(F.map_entries(ds)),
-        lambda e: F.concat(escape_part(e["key"]), *[F.coalesce(part, F.lit("")) for part in (
+        lambda e: F.struct(e["key"].alias("tag"), F.concat(escape_part(e["key"]), *[F.coalesce(part, F.lit("")) for part in (
             labelled("=R:", e["value"]["vr"]), values(e["value"]["Value"]),
             labelled("=I:", e["value"]["InlineBinary"]), labelled("=B:", e["value"]["BulkDataURI"]),
-        )]),
+        )]).alias("line"), *[mark(e["key"]) for mark in marks]),
     )
-    return F.array_join(lines, "\n")
+
+
+def canonical_text(ds: Column) -> Column:
+    """Key-order independent text of a dataset, different for different datasets.
+
+    Sorted lines ``tag=R:vr=V2:+value\\-=I:binary=B:uri``; absent fields are left out. A value list has its length
+    before it, ``+`` before each value and ``-`` for a NULL one.
+    """
+    return lines_text(canonical_lines(ds))
+
+
+def lines_text(lines: Column) -> Column:
+    return F.array_join(lines["line"], "\n")
 
 
 def content_hash(ds: Column) -> Column:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.functions.tags import content_hash, project, without
-from scanloom.model import DATASET_TYPE, IMAGE_EXTRACT, PATIENT_QUERY, SERIES_EXTRACT, STUDY_QUERY
+from scanloom.functions.tags import canonical_lines, content_hash, lines_text, project, without
+from scanloom.model import DATASET_TYPE, IMAGE_EXTRACT, PATIENT_QUERY, SERIES_EXTRACT, STUDY_QUERY, tag
 from scanloom.operators.joins import split_hot_keys
 from scanloom.operators.ordering import first_per_key, latest_per_key
 from scanloom.session import drop_shuffles, release, settle_bucketed
@@ -27,18 +27,38 @@ DELETED = "deleted"
 INSTANCE = "instance"
 
 
+def _taken_apart(instances: DataFrame, extractors: Mapping[str, list[str]]) -> DataFrame:
+    """Each dataset's own part ``_own`` and the shared ones ``_kind``, beside them the hashes ``_own_hash`` and ``_kind_hash``.
+
+    The canonical lines of a dataset are written once, each with the number of its shared part (-1: none); a part's hash is
+    that of its lines.
+    """
+    taken, codes, parts = set(), [], {}
+    for kind, keywords in extractors.items():
+        mine = [k for k in keywords if k not in taken]
+        taken.update(keywords)
+        codes.append([tag(k) for k in mine])
+        parts[f"_{kind}"] = project(F.col("ds"), mine)
+    shared, kept = sorted(taken - set(KEPT_UIDS)), [tag(k) for k in KEPT_UIDS]
+
+    def part_of(code: Column) -> Column:
+        return reduce(lambda other, i: F.when(code.isin(*codes[i]), i).otherwise(other), reversed(range(len(codes))), F.lit(-1))
+
+    def hashed(wanted: Callable[[Column], Column]) -> Column:
+        return F.sha2(lines_text(F.filter("_lines", lambda x: wanted(x))), 256)
+
+    for i, kind in enumerate(extractors):
+        parts[f"_{kind}_hash"] = hashed(lambda x, i=i: x["part"] == i)
+    own = {"_own": without(F.col("ds"), shared), "_own_hash": hashed(lambda x: (x["part"] == -1) | x["tag"].isin(*kept))}
+    lines = canonical_lines(F.col("ds"), lambda code: part_of(code).alias("part"))
+    return instances.withColumn("_lines", lines).withColumns({**parts, **own}).drop("_lines")
+
+
 def split_extracts(instances: DataFrame, extractors: Mapping[str, list[str]] = EXTRACTORS) -> DataFrame:
     """Split each dataset: ``ds`` keeps the instance's own attributes, ``parts`` holds the shared
     extracts as ``array<struct<type, hash, ds>>``."""
-    taken, extracts, parts = set(), {}, []
-    for kind, keywords in extractors.items():
-        name = f"_{kind}"
-        extracts[name] = project(F.col("ds"), [k for k in keywords if k not in taken])
-        taken.update(keywords)
-        part = F.struct(F.lit(kind).alias("type"), content_hash(F.col(name)).alias("hash"), F.col(name).alias("ds"))
-        parts.append(part)
-    own = without(F.col("ds"), sorted(taken - set(KEPT_UIDS)))
-    return instances.withColumns({**extracts, "_own": own}).select(
+    parts = [F.struct(F.lit(kind).alias("type"), F.col(f"_{kind}_hash").alias("hash"), F.col(f"_{kind}").alias("ds")) for kind in extractors]
+    return _taken_apart(instances, extractors).select(
         *[c for c in instances.columns if c != "ds"], F.col("_own").alias("ds"), F.array(*parts).alias("parts")
     )
 
@@ -75,7 +95,11 @@ def references_of(split: DataFrame) -> DataFrame:
 
 
 def instance_hash(ds: Column, refs: Column) -> Column:
-    return F.sha2(F.concat_ws("\n", content_hash(ds), F.array_join(refs, "\n")), 256)
+    return joined_hash(content_hash(ds), refs)
+
+
+def joined_hash(own_hash: Column, refs: Column) -> Column:
+    return F.sha2(F.concat_ws("\n", own_hash, F.array_join(refs, "\n")), 256)
 
 
 def deduplicate(
@@ -85,8 +109,12 @@ def deduplicate(
 
     A job that writes both should materialise :func:`split_extracts` once and derive them from it.
     """
-    split = split_extracts(instances, extractors)
-    return extracts_of(split), references_of(split)
+    # References need the hashes only, so the shared parts are not built for them.
+    apart, refs = _taken_apart(instances, extractors), F.array(*[F.col(f"_{kind}_hash") for kind in extractors])
+    kept = [c for c in instances.columns if c != "ds"]
+    inst = apart.select(*kept, F.col("_own").alias("ds"), refs.alias("refs"), F.lit(INSTANCE).alias("type"), "_own_hash")
+    inst = inst.withColumn("hash", joined_hash(F.col("_own_hash"), F.col("refs"))).drop("_own_hash")
+    return extracts_of(split_extracts(instances, extractors)), inst
 
 
 def merged(own: Column, extracts: list[Column]) -> Column:
@@ -283,9 +311,9 @@ def extracts_used(instances: DataFrame, extractors: Mapping[str, list[str]] = EX
 def dedup_stats(extracts_used: DataFrame, instances: DataFrame) -> DataFrame:
     """Per study: distinct extracts by type, instances, and the hash of the instance set.
 
-    ``extracts_used`` has one row per (study, extract): ``study_uid, type, hash``.
+    ``extracts_used`` has one row per (study, extract): ``study_uid, type, hash``. Hashes travel as bytes.
     """
-    distinct = extracts_used.select("study_uid", "type", "hash").distinct()
+    distinct = extracts_used.select("study_uid", "type", short(F.col("hash")).alias("hash")).distinct()
     kinds = distinct.groupBy("study_uid").agg(
         F.count(F.lit(1)).alias("n_extracts"),
         *[F.count_if(F.col("type") == k).alias(f"n_{k}") for k in EXTRACTORS],

@@ -171,7 +171,7 @@ SELECT study_uid, count(*) AS n_instances, {sql_set_hash("hash")} AS info_hash,
        count(DISTINCT image) AS n_image FROM refs GROUP BY study_uid""")
 def dedup_stats(spark, folder):
     _, inst = D.deduplicate(datasets(spark, folder))
-    inst = settle(inst.select("study_uid", "refs", "hash"))
+    inst = settle(inst.select("study_uid", "refs", "hash"), "zstd")
     return D.dedup_stats(D.extracts_used(inst), inst)
 
 
