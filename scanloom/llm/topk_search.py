@@ -18,8 +18,10 @@ from scanloom.sources.files import Opened
 INDEX = "cell int, n int, dims int, ids binary, matrix binary, postings binary"
 #: Most pivots that rows are gathered around, blocks of a shard, and steps in which a block's impacts are taken.
 PIVOTS, SHARD_BLOCKS, STEPS = 64, 16, 12
-#: So few rows of a block left are rescored at once.
-ENOUGH = 512
+#: So few rows of a block left are rescored at once; queries that search a block together; pairs rescored at a time.
+ENOUGH, TOGETHER, RESCORED = 512, 128, 1 << 14
+#: Less than any score, with room for sums.
+NO_BAR = -(1 << 62)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -87,90 +89,123 @@ def build_index(rows: DataFrame, block_rows: int = 2048) -> DataFrame:
 
 
 class Block:
-    """An index row, opened."""
+    """An index row, opened: its lists merged into one by impact.
+
+    A posting's impact is the distance of its value from the middle of its dimension in the block, so impacts are not
+    negative and the merged list serves queries of any signs.
+    """
 
     def __init__(self, n: int, dims: int, ids: bytes, matrix: bytes, postings: bytes):
         self.n, self.dims = n, dims
         self.ids = np.frombuffer(ids, np.int64)
         self.matrix = np.frombuffer(matrix, np.int64).reshape(n, dims)
-        self.postings = np.frombuffer(postings, np.int32).reshape(dims, n)
-        self.levels = np.take_along_axis(self.matrix.T, self.postings, 1)
-        self.top, self.low = self.levels[:, 0], self.levels[:, -1]
-
-    def sized(self, query: np.ndarray) -> np.ndarray:
-        q = np.zeros(self.dims, np.int64)
-        q[: min(self.dims, len(query))] = query[: self.dims]
+        lists = np.frombuffer(postings, np.int32).reshape(dims, n)
+        levels = np.take_along_axis(self.matrix.T, lists, 1)
+        self.top, self.low = levels[:, 0], levels[:, -1]
+        self.middle = np.floor(levels.mean(1)).astype(np.int64)
+        gains = (levels - self.middle[:, None]).ravel()
+        order = np.argsort(-np.abs(gains), kind="stable")
+        self.gains = gains[order]
+        self.places = lists.ravel()[order].astype(np.int64) * dims + order // max(n, 1)
+        self.largest = int(np.abs(self.matrix).max(initial=0))
+
+    def sized(self, queries: np.ndarray) -> np.ndarray:
+        q = np.zeros((len(queries), self.dims), np.int64)
+        both = min(self.dims, queries.shape[1])
+        q[:, :both] = queries[:, :both]
         return q
 
-    def bound(self, query: np.ndarray) -> int:
-        """No row of the block scores more."""
-        q = self.sized(query)
-        return int(np.maximum(q * self.top, q * self.low).sum())
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """No row of the block scores more, for each query."""
+        q = self.sized(queries)
+        return np.maximum(q, 0) @ self.top + np.minimum(q, 0) @ self.low
 
     def search(self, own: int, query: np.ndarray, k: int, bar: int | None, enough: int = ENOUGH) -> tuple[np.ndarray, np.ndarray, int]:
-        """Scores and ids of all rows that may be among the best ``k``, and how many postings were read.
-
-        ``bar`` is a score that ``k`` other rows reach, if known. A component's impact is its gain over the dimension's
-        worst one in the block, so impacts are not negative. Impacts are quantised into ``STEPS`` levels of the block's
-        largest; a step reads the next level's segments of all dimensions, largest impacts first, and adds their exact
-        values. A row's sum is a lower bound; with the largest impact left in every dimension in which the row has not
-        been read yet it is an upper bound. Rows whose upper bound is under the bar, or under ``k`` lower bounds, are out;
-        reading stops when few rows are left, which are rescored in full.
+        """:meth:`search_all` for one query."""
+        bars = np.array([NO_BAR if bar is None else bar], np.int64)
+        _, scores, ids, read = self.search_all(np.array([own]), query[None], k, bars, enough)
+        return scores, ids, int(read[0])
+
+    def search_all(self, own: np.ndarray, queries: np.ndarray, k: int, bars: np.ndarray, enough: int = ENOUGH):
+        """(query's place, score, id) of all rows that may be among a query's best ``k``, and how many postings each read.
+
+        ``bars`` are scores that ``k`` other rows reach, ``NO_BAR`` if unknown. Impacts are quantised: a step's threshold
+        is half of the one before. A step reads the next segment of the merged list, largest impacts first, and adds
+        the postings' exact gains to the rows' scores, for all queries at once. What a row's unread postings add or take
+        away is bounded by the largest impact left, in the dimensions in which it has not been read. Rows whose upper bound
+        is under the bar, or under ``k`` lower bounds, are out; a query stops when few rows are left, which are rescored in full.
         """
-        q = self.sized(query)
-        used = np.flatnonzero(q)
-        worst = np.where(q > 0, q * self.low, q * self.top)
-        lists = []
-        for d in used:
-            forward = q[d] > 0
-            rows = self.postings[d] if forward else self.postings[d][::-1]
-            gain = q[d] * (self.levels[d] if forward else self.levels[d][::-1]) - worst[d]
-            lists.append((rows, gain, -gain))
-        most = max((int(g[0]) for _, g, _ in lists), default=0)
-        at = [0] * len(lists)
-        left = np.array([int(g[0]) for _, g, _ in lists], np.int64)
-        seen = np.zeros((self.n, len(lists)), bool)
-        sums = np.full(self.n, int(worst.sum()), np.int64)
-        possible, read = np.flatnonzero(self.ids != own), 0
+        q = self.sized(queries)
+        # Products of whole numbers are exact in floating point up to 2 ** 53.
+        weight = int(np.abs(q).sum(1).max(initial=0))
+        kind = np.float64 if 4 * weight * max(self.largest, 1) < 1 << 53 else np.int64
+        part, unread = np.zeros(self.matrix.shape, kind), np.ones(self.matrix.shape, kind)
+        size = np.abs(q)
+        possible = self.ids != own[:, None]
+        bars, read, at = bars.copy(), np.zeros(len(q), np.int64), 0
+        live = np.arange(len(q))
         for step in range(1, STEPS + 1):
-            if len(possible) <= max(k, enough):
+            live = live[possible[live].sum(1) > max(k, enough)]
+            if not len(live) or at == len(self.gains):
                 break
-            floor = most * (STEPS - step) // STEPS
-            for j, (rows, gain, falling) in enumerate(lists):
-                to = self.n if step == STEPS else int(np.searchsorted(falling, -floor, side="left"))
-                if to > at[j]:
-                    now = rows[at[j] : to]
-                    sums[now] += gain[at[j] : to]
-                    seen[now, j] = True
-                    read += to - at[j]
-                    at[j] = to
-                    left[j] = int(gain[to]) if to < self.n else 0
-            sure = sums[possible]
-            if len(sure) >= k:
-                reached = int(np.partition(sure, len(sure) - k)[len(sure) - k])
-                bar = reached if bar is None else max(bar, reached)
-            if bar is not None:
-                possible = possible[sure + (~seen[possible]) @ left >= bar]
-        return self.matrix[possible] @ q, self.ids[possible], read
+            impact = abs(int(self.gains[0])) >> step
+            to = len(self.gains) if step == STEPS else int(np.searchsorted(-np.abs(self.gains), -impact, side="left"))
+            part.ravel()[self.places[at:to]] = self.gains[at:to]
+            unread.ravel()[self.places[at:to]] = 0
+            at = to
+            left = abs(int(self.gains[to])) if to < len(self.gains) else 0
+            read[live] = to
+            mine = q[live].astype(kind)
+            sums = mine @ part.T + (mine @ self.middle.astype(kind))[:, None]
+            slack = size[live].astype(kind) @ unread.T * left
+            if self.n >= k:
+                sure = np.where(self.ids != own[live][:, None], sums - slack, NO_BAR)
+                bars[live] = np.maximum(bars[live], np.partition(sure, self.n - k, 1)[:, self.n - k].astype(np.int64))
+            possible[live] &= sums + slack >= bars[live][:, None]
+        which, rows = np.nonzero(possible)
+        scores = np.concatenate([np.zeros(0, np.int64), *(
+            np.einsum("ij,ij->i", self.matrix[rows[i : i + RESCORED]], q[which[i : i + RESCORED]]) for i in range(0, len(rows), RESCORED)
+        )])
+        return which, scores, self.ids[rows], read
 
 
 def best_of(blocks: Sequence[Block], own: int, query: np.ndarray, k: int) -> tuple[list[tuple[int, int]], int]:
-    """The ``k`` best (score, id) of all blocks, ties to smaller ids, without rows of id ``own``; and the postings read.
+    """:func:`best_of_all` for one query: its best (score, id), and the postings read."""
+    which, scores, ids, read = best_of_all(blocks, np.array([own]), query[None], k)
+    return list(zip(scores.tolist(), ids.tolist())), int(read[0])
+
+
+def best_of_all(blocks: Sequence[Block], own: np.ndarray, queries: np.ndarray, k: int):
+    """(query's place, score, id) of the ``k`` best of all blocks for each query, in order, ties to smaller ids, without rows
+    of the query's id; and the postings that each read.
 
-    Blocks are searched from the largest bound down, and not at all once a block's bound is under the ``k``-th score.
+    A query goes through the blocks from the largest bound down, and leaves once a block's bound is under its ``k``-th
+    score. In each round, queries that are due in the same block search it together, ``TOGETHER`` at a time.
     """
-    bounds = np.array([b.bound(query) for b in blocks], np.int64)
-    scores, ids, read = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-    for i in np.argsort(-bounds, kind="stable"):
-        bar = int(scores[-1]) if len(scores) == k else None
-        if bar is not None and bounds[i] < bar:
-            break
-        s, v, n = blocks[i].search(own, query, k, bar)
-        read += n
-        scores, ids = np.append(scores, s), np.append(ids, v)
-        best = np.lexsort((ids, -scores))[:k]
-        scores, ids = scores[best], ids[best]
-    return list(zip(scores.tolist(), ids.tolist())), read
+    m = len(queries)
+    bounds = np.stack([b.bounds(queries) for b in blocks], 1)
+    turns = np.argsort(-bounds, axis=1, kind="stable")
+    which, scores, ids = (np.zeros(0, np.int64) for _ in range(3))
+    bars, read = np.full(m, NO_BAR, np.int64), np.zeros(m, np.int64)
+    live = np.arange(m)
+    for turn in range(len(blocks)):
+        live = live[bounds[live, turns[live, turn]] >= bars[live]]
+        due = turns[live, turn]
+        found = [(which, scores, ids)]
+        for i in np.unique(due):
+            mine = live[due == i]
+            for at in range(0, len(mine), TOGETHER):
+                some = mine[at : at + TOGETHER]
+                w, s, v, n = blocks[i].search_all(own[some], queries[some], k, bars[some])
+                read[some] += n
+                found.append((some[w], s, v))
+        which, scores, ids = map(np.concatenate, zip(*found))
+        order = np.lexsort((ids, -scores, which))
+        which, scores, ids = which[order], scores[order], ids[order]
+        nth = np.arange(len(which)) - np.searchsorted(which, which)
+        which, scores, ids, nth = (x[nth < k] for x in (which, scores, ids, nth))
+        bars[which[nth == k - 1]] = scores[nth == k - 1]
+    return which, scores, ids, read
 
 
 def batches_of(paths: Sequence[str]) -> Iterator[pd.DataFrame]:
@@ -205,12 +240,10 @@ def topk_search(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows:
         if not blocks:
             return
         for pdf in batches_of(paths):
-            out = []
-            longest = max(map(len, pdf["embedding"]))
-            for own, q in zip(pdf["vec_id"].tolist(), whole_numbers(list(pdf["embedding"]), longest)):
-                out += [(own, i, s) for s, i in best_of(blocks, own, q, k)[0]]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=target)
+            own, longest = pdf["vec_id"].to_numpy(np.int64), max(map(len, pdf["embedding"]), default=0)
+            which, scores, ids, _ = best_of_all(blocks, own, whole_numbers(list(pdf["embedding"]), longest), k)
+            if len(which):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (own[which], ids, scores)], schema=target)
 
     found = index.mapInArrow(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanloom.llm.chat_formatting import preference_pairs, swapped_answers
-from scanloom.llm.topk_search import Block, best_of, topk_search
+from scanloom.llm.topk_search import Block, best_of, best_of_all, topk_search
 
 
 def block_of(m, ids):
@@ -95,3 +95,23 @@ def test_swap(spark):
     extra = a.withColumn("last", F.lit(1)).withColumn("other", F.lit("o"))
     assert {(r.conv_id, r.turn): r.text for r in swapped_answers(extra).collect()} == got
     assert got == {(0, 0): "a", (0, 1): "d", (1, 0): "c", (1, 1): "b", (2, 0): "", (3, 0): "f"}
+
+
+def test_queries_search_blocks_together(monkeypatch):
+    """Queries that are due in the same block are searched at once, in either kind of numbers, with the rows of brute force."""
+    rng = np.random.default_rng(5)
+    for scale in (1, 1 << 16):
+        m = rng.integers(-900, 900, (4000, 24)).astype(np.int64) * scale
+        m[1500:1900] = m[7]
+        ids = np.arange(4000) // 2
+        blocks = [block_of(m[a : a + 1000], ids[a : a + 1000]) for a in range(0, 4000, 1000)]
+        calls = []
+        monkeypatch.setattr(Block, "search_all", lambda self, own, *a, f=Block.search_all: (calls.append(len(own)), f(self, own, *a))[1])
+        asked = np.arange(0, 4000, 40)
+        which, scores, found, read = best_of_all(blocks, ids[asked], m[asked], 10)
+        monkeypatch.undo()
+        assert len(calls) <= len(blocks) ** 2 and sum(calls) > len(asked) and (read <= m.size).all()
+        for j, i in enumerate(asked):
+            s = m @ m[i]
+            want = [x for x in np.lexsort((ids, -s)) if ids[x] != ids[i]][:10]
+            assert scores[which == j].tolist() == s[want].tolist() and found[which == j].tolist() == ids[want].tolist()
