@@ -61,6 +61,15 @@ class PrefixCounter:
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
         self.library = Tokenizer.from_file(path)
         self.fitting: dict[tuple[bytes, bytes], bool] = {}
+        # The merge that makes each token; plain are files in which a token has one, after those of its parts, and none before it across its parts.
+        self.parts = {a + b: (a, b) for a, b in self.ranks}
+        self.made = {a + b: r for (a, b), r in self.ranks.items()}
+        single = lambda t: len(t) == 1 or t in self.parts
+        self.plain = (
+            len(self.parts) == len(self.ranks) and all(map(single, self.ids))
+            and all(all(single(x) and self.made.get(x, -1) < r for x in pair) for pair, r in self.ranks.items())
+            and all(self.apart(a, b, r) for (a, b), r in self.ranks.items())
+        )
         self.tables: dict[str, list[int]] = {}
         self.totals: dict[str, int] = {}
 
@@ -80,19 +89,63 @@ class PrefixCounter:
         if key not in self.fitting:
             if len(self.fitting) >= MEMO:
                 self.fitting.clear()
-            self.fitting[key] = self.merge(left + right) == ([left, right] if left else [right])
+            if self.plain:
+                self.fitting[key] = not left or self.apart(left, right, 1 << 30)
+            else:
+                self.fitting[key] = self.merge(left + right) == ([left, right] if left else [right])
         return self.fitting[key]
 
+    def apart(self, left: bytes, right: bytes, limit: int) -> bool:
+        """Whether BPE makes ``left`` and ``right`` side by side without a merge across them of a rank below ``limit``.
+
+        Their merges are undone, the latest first: a merge across the border must not come before the one undone last.
+        """
+        ranks, made, parts = self.ranks, self.made, self.parts
+        while True:
+            rank = ranks.get((left, right))
+            if rank is not None and rank < limit:
+                return False
+            a, b = made.get(left, -1), made.get(right, -1)
+            if a > b:
+                limit, left = a, parts[left][1]
+            elif b >= 0:
+                limit, right = b + 1, parts[right][0]  # of equal pairs the left one is merged first
+            else:
+                return True
+
     def ends(self, data: bytes) -> list[int]:
         """Token count after each byte of a piece, from 0 on."""
-        count, last = [0] * (len(data) + 1), [b""] * (len(data) + 1)
-        for i in range(1, len(data) + 1):
+        count, last = [0], [b""]
+        self.extend(data, count, last)
+        return count
+
+    def extend(self, data: bytes, count: list[int], last: list[bytes]) -> None:
+        """Go on from the counts and last tokens of the prefixes that ``count`` and ``last`` hold."""
+        have = len(count)
+        count += [0] * (len(data) + 1 - have)
+        last += [b""] * (len(data) + 1 - have)
+        for i in range(have, len(data) + 1):
             for start in range(max(0, i - self.longest), i):
                 token = data[start:i]
                 if token in self.ids and self.fits(last[start], token):
                     count[i], last[i] = count[start] + 1, token
                     break
-        return count
+
+    def learn(self, pieces: list[str]) -> None:
+        """Totals of pieces, in order, so that a piece goes on from the prefix it shares with the one before."""
+        if len(self.totals) + len(pieces) > MEMO:
+            self.totals.clear()
+        before, count, last = b"", [0], [b""]
+        for data, piece in sorted((p.encode(), p) for p in pieces):
+            same = 0
+            for a, b in zip(before, data):
+                if a != b:
+                    break
+                same += 1
+            del count[same + 1 :], last[same + 1 :]
+            self.extend(data, count, last)
+            self.totals[piece] = count[-1]
+            before = data
 
     def table(self, piece: str) -> list[int]:
         """Token count after each code point of a piece, from 0 on."""
@@ -214,6 +267,7 @@ class PrefixColumns:
     def __init__(self, counter: PrefixCounter):
         self.counter = counter
         self.known: dict[str, bytes] = {}
+        self.totals: dict[str, int] = {}
 
     def tables(self, chunks: list[str]) -> list[bytes]:
         """Counts after each code point of each chunk, as 32-bit numbers."""
@@ -237,21 +291,26 @@ class PrefixColumns:
         out = [next(odd) if c else plain[slice(*next(rest))] for c in crowded.tolist()]
         return np.concatenate(out), np.append(0, np.cumsum([len(x) for x in out]))
 
-    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _chunks(self, texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Bounds of the texts' chunks, the distinct chunks and the number of each chunk among them."""
         lists = pc.split_pattern(texts, " ")
         first = lists.offsets.to_numpy().astype(np.int64)
         first -= first[0]
         words = lists.flatten().dictionary_encode()
         distinct, nth = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        if not len(nth):
-            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         opens = np.zeros(len(nth), bool)
         opens[first[:-1]] = True
         # A word opens its text or comes after a space: a chunk of its own each.
         key = nth * 2 + opens
         used = np.bincount(key, minlength=2 * len(distinct)) > 0
-        tables = self.tables([distinct[k // 2] if k % 2 else " " + distinct[k // 2] for k in np.flatnonzero(used).tolist()])
-        chunk = (np.cumsum(used) - 1)[key]
+        chunks = [distinct[k // 2] if k % 2 else " " + distinct[k // 2] for k in np.flatnonzero(used).tolist()]
+        return first, chunks, (np.cumsum(used) - 1)[key]
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        first, chunks, chunk = self._chunks(texts)
+        if not len(chunk):
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        tables = self.tables(chunks)
         size = np.fromiter(map(len, tables), np.int64, len(tables)) // 4
         pool = np.frombuffer(b"".join(tables), np.int32)
         end = np.cumsum(size)
@@ -263,6 +322,48 @@ class PrefixColumns:
         counts = pool[np.repeat((end - size)[chunk] - at[:-1], taken) + np.arange(at[-1])] + np.repeat(before, taken) if at[-1] else np.zeros(0, np.int64)
         return counts.astype(np.int32), at[first]
 
+    def whole(self, column: pa.Array, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Token counts of all texts, and the code points of their longest prefixes of at most ``limit`` tokens."""
+        texts = pc.fill_null(column, "")
+        crowded = pc.match_substring_regex(texts, CROWDED).to_numpy(zero_copy_only=False)
+        n, fit = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        n[~crowded], fit[~crowded] = self._whole_plain(texts.filter(pa.array(~crowded)), limit)
+        for i, t in zip(np.flatnonzero(crowded).tolist(), texts.filter(pa.array(crowded)).to_pylist()):
+            n[i] = self.counter.count(t)
+            fit[i] = self.counter.fit(t, limit) if n[i] > limit else len(t)
+        return n, fit
+
+    def _whole_plain(self, texts: pa.Array, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        first, chunks, chunk = self._chunks(texts)
+        totals = np.array(self._totals(chunks), np.int64)
+        points = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        tokens = np.append(0, np.cumsum(totals[chunk]))
+        places = np.append(0, np.cumsum(points[chunk]))
+        n, fit = np.diff(tokens[first]), np.diff(places[first])
+        for i in np.flatnonzero(n > limit).tolist():
+            # Every chunk of a text costs a token at least: the end lies in the last one that starts under the limit.
+            lo = int(first[i])
+            last = int(np.searchsorted(tokens[lo : first[i + 1]], tokens[lo] + limit)) - 1 + lo
+            if last < lo:
+                fit[i] = 0
+                continue
+            inside = np.frombuffer(self.tables([chunks[chunk[last]]])[0], np.int32) + (tokens[last] - tokens[lo])
+            good = np.flatnonzero(inside <= limit)
+            fit[i] = places[last] - places[lo] + (good[-1] + 1 if len(good) else 0)
+        return n, fit
+
+    def _totals(self, chunks: list[str]) -> list[int]:
+        if len(self.totals) + len(chunks) > MEMO // 2:
+            self.totals = {}
+        new = [c for c in chunks if c not in self.totals]
+        if new:
+            segments = [self.counter.segments(c) for c in new]
+            known = self.counter.totals
+            self.counter.learn(list({p for s in segments for _, ps in s if not isinstance(ps, str) for p in ps if p not in known}))
+            for c, s in zip(new, segments):
+                self.totals[c] = sum(1 if isinstance(p, str) else sum(map(self.counter.total, p)) for _, p in s)
+        return [self.totals[c] for c in chunks]
+
 
 @cache
 def counter(path: str) -> PrefixCounter:
@@ -275,6 +376,13 @@ def columns(path: str) -> PrefixColumns:
     return PrefixColumns(counter(path))
 
 
+def groups(n_bytes: pa.Array) -> list[tuple[int, int]]:
+    """Bounds of runs of texts of about ``GROUP`` bytes."""
+    cuts = pc.cumulative_sum(n_bytes).to_numpy() // GROUP
+    edges = [0, *(np.flatnonzero(np.diff(cuts)) + 1).tolist(), len(n_bytes)]
+    return [(lo, hi) for lo, hi in zip(edges, edges[1:]) if hi > lo]
+
+
 PARTS = (
     "uid long, doc_id long, n_bytes long, part int, base int, last int, lowest int, highest int, counts array<smallint>"
 )
@@ -295,13 +403,10 @@ def prefix_parts(docs: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             n_bytes = pc.cast(pc.binary_length(texts), pa.int64())
-            cuts = pc.cumulative_sum(n_bytes).to_numpy() // GROUP
-            edges = [0, *(np.flatnonzero(np.diff(cuts)) + 1).tolist(), len(texts)]
-            for lo, hi in zip(edges, edges[1:]):
-                if hi > lo:
-                    counts, bounds = columns(tokenizer).of(texts.slice(lo, hi - lo))
-                    yield parts(counts, bounds, own + at + np.arange(hi - lo), batch.column("doc_id").slice(lo, hi - lo), n_bytes.slice(lo, hi - lo))
-                    at += hi - lo
+            for lo, hi in groups(n_bytes):
+                counts, bounds = columns(tokenizer).of(texts.slice(lo, hi - lo))
+                yield parts(counts, bounds, own + at + np.arange(hi - lo), batch.column("doc_id").slice(lo, hi - lo), n_bytes.slice(lo, hi - lo))
+                at += hi - lo
 
     def parts(counts, bounds, uid, doc_ids, n_bytes):
         size = np.diff(bounds)
@@ -338,17 +443,17 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     For one limit only: the tables of the pieces are used where they are made. :func:`stored_token_counts` writes the table
     of all prefixes, which answers any number of limits.
     """
-    def run(cols):
-        c = counter(tokenizer)
-        texts = [t or "" for t in cols["text"]]
-        n = [c.count(t) for t in texts]
-        return {
-            "doc_id": cols["doc_id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n,
-            "over_limit": [k > limit for k in n], "fit_points": [c.fit(t, limit) if k > limit else len(t) for t, k in zip(texts, n)],
-        }
+    def run(batches):
+        for batch in batches:
+            texts = pc.fill_null(batch.column("text"), "")
+            n_bytes = pc.cast(pc.binary_length(texts), pa.int64())
+            for lo, hi in groups(n_bytes):
+                n, fit = columns(tokenizer).whole(texts.slice(lo, hi - lo), limit)
+                own = [batch.column("doc_id").slice(lo, hi - lo), n_bytes.slice(lo, hi - lo), *map(pa.array, (n, n > limit, fit))]
+                yield pa.RecordBatch.from_arrays(own, names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_points"])
 
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_columns(narrow, run, "doc_id long,n_bytes long,n_tokens long,over_limit boolean,fit_points long")
+    return narrow.mapInArrow(run, "doc_id long,n_bytes long,n_tokens long,over_limit boolean,fit_points long")
 
 
 def stored_token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:

@@ -107,3 +107,23 @@ def test_edge_rows(spark):
     assert got == [(0, 2), (1, 0), (1, 0), (2, 0)]
     assert token_counts(docs.limit(0), PATH).collect() == []
     assert sorted(len(r.counts) for r in prefix_table(docs, PATH).collect()) == [1, 1, 1, 4]
+
+
+def test_whole_columns_equal_single_texts(pair):
+    """Counts and fits by chunks, and the totals that go on from shared prefixes, equal those of single texts."""
+    own, lib = pair
+    rng = random.Random(9)
+    parts = ["the", " ", " ", "  ", "\n", "'re", "ing", "É", "　", "hello", "<|endoftext|>", "<|", " a b c d", "therein", "é"]
+    texts = [*ODD, *("".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(400)), None]
+    for limit in (0, 1, 4, 9):
+        n, fit = PrefixColumns(PrefixCounter(PATH)).whole(pa.array(["x", *texts], pa.string())[1:], limit)
+        assert n.tolist() == [brute(lib, t or "") for t in texts]
+        assert fit.tolist() == [own.fit(t or "", limit) for t in texts]
+
+
+def test_apart_equals_merging(pair):
+    own, _ = pair
+    assert own.plain
+    rng, tokens = random.Random(3), [t for t in own.ids if len(t) < 5]
+    for left, right in [(rng.choice(tokens), rng.choice(tokens)) for _ in range(3000)] + [(t, t) for t in tokens[:500]]:
+        assert own.apart(left, right, 1 << 30) == (own.merge(left + right) == [left, right])
