@@ -118,3 +118,44 @@ def test_edge_rows(spark):
     assert got == sorted((d or 0, *b[:3]) for (d, _, _), b in zip(rows, want))
     assert L.lm_scoring(docs.where("doc_id is null")).first().n_known == 0
     assert L.lm_scoring(docs.limit(0)).collect() == []
+
+
+def test_features_act_inside_classes(spark, monkeypatch):
+    """With ``inner`` a class' tokens depend on the words before: scores by brute force, probabilities that sum to one."""
+    texts = ["blue car red bar", "red bar blue car", "a blue car", "the red bar", "été où ça"] * 8
+    rows = [(i, f"{x} u{i}") for i, x in enumerate(texts)] + [(200, None)]
+    monkeypatch.setattr(L, "top_singles", lambda vocabulary: ["blue", "red"])  # car and bar share a class, told apart only inside it
+    kept = {}
+    monkeypatch.setattr(L, "scored", lambda docs, tables, weights, f=L.scored: (kept.update(t=tables.value, w=weights), f(docs, tables, weights))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in L.lm_scoring(docs, head=20, inner=True).collect()}
+    t, w = kept["t"], kept["w"].astype(np.float64)
+    c = Counter(x for d, s in rows if not held(d) for x in tokens(s))
+    k = lambda x: ["blue", "red"].index(x) if x in ("blue", "red") else L.suffix_class(x.encode())
+    assert k("car") == k("bar")
+    head = {x.decode(): int(m) for x, m in zip(t.words, t.members)}
+    assert len(head) < len(c)
+    m = lambda x: head[x] if x in head else L.shared_member(x.encode())
+    n, v = Counter(), Counter()
+    for x, times in c.items():
+        n[k(x), m(x)] += times
+        v[k(x), m(x)] += 1
+    within = lambda x: (c[x] + 0.1) / (n[k(x), m(x)] + 0.1 * (v[k(x), m(x)] + 1))
+    inside = {}
+    for d, s in rows:
+        words = tokens(s)
+        f = L.features(L.HASHES.of([x.encode() for x in words[:-1]]))
+        ks = np.array([k(x) for x in words])
+        outer, inner = L.log_classes(w[: L.ROWS + 1], f), L.log_classes(w[L.ROWS + 1 :], L.inner_features(f, ks))
+        assert np.allclose(np.exp(outer).sum(1), 1) and np.allclose(np.exp(inner).sum(1), 1)
+        want = 0.0
+        for i, x in enumerate(words):
+            want += outer[i, k(x)] / math.log(10) + math.log10(within(x))
+            if k(x) >= L.SINGLES:
+                want += inner[i, m(x)] / math.log(10)
+                if i:
+                    inside[words[i - 1], x] = inner[i, [m("car"), m("bar")]]
+        assert got[d].score == pytest.approx(want, abs=1e-4)
+    # The word before chooses among the tokens of one class.
+    after_blue, after_red = inside["blue", "car"], inside["red", "bar"]
+    assert after_blue[0] - after_blue[1] > after_red[0] - after_red[1] + 0.1
