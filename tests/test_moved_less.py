@@ -6,6 +6,7 @@ from scanloom.functions import tags as G
 from scanloom.operators import dedup as D
 from scanloom.operators import stored as S
 from scanloom.operators import summaries as U
+from scanloom.operators.joins import may_be_among
 from scanloom.plans import catalog
 
 KEYS = ["study_uid", "series_uid", "sop_uid"]
@@ -24,6 +25,25 @@ def rows(spark, n=40):
     return table.select(*KEYS, F.when(F.coalesce("sop_uid", F.lit("")) != "1.8.4", ds).alias("ds"))
 
 
+def test_filter_of_hashes(spark):
+    keys = spark.range(1000).select(F.xxhash64("id").alias("key")).union(spark.range(1).select(F.lit(None).cast("long")))
+    test = may_be_among(keys)
+    found = spark.range(20_000).where(test(F.xxhash64("id")))
+    assert found.where("id < 1000").count() == 1000 and found.count() < 3500
+    none = may_be_among(keys.where("key is null"))
+    assert spark.range(50).where(none(F.col("id"))).count() == 0
+
+
+def test_instances_without_replaced_references_are_not_moved(spark):
+    inst = spark.createDataFrame(
+        [(1, "a", ["x", "y"]), (2, "b", ["z"]), (3, "c", None), (4, "d", []), (None, "e", ["x"]), (5, "f", ["y", "y2"])], "k long, l string, refs array<string>"
+    )
+    swaps = spark.createDataFrame([("x", "x9", 1), ("x", "x1", 2), ("y", None, 3), ("y2", "y3", 1)], "old_hash string, new_hash string, at int")
+    out = D.update_attributes(inst, swaps, ["k", "l"])
+    assert "Union" in plan_of(out)
+    assert {(r.k, r.l): r.refs for r in out.collect()} == {(1, "a"): ["x1", "y"], (2, "b"): ["z"], (3, "c"): None, (4, "d"): [], (None, "e"): ["x"], (5, "f"): ["y", "y3"]}
+
+
 def test_recombination_joins_type_by_type(spark):
     split = D.split_extracts(rows(spark).where("sop_uid IS NOT NULL AND ds IS NOT NULL"))
     inst, extracts = D.references_of(split), D.extracts_of(split)
