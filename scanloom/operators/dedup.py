@@ -27,6 +27,15 @@ DELETED = "deleted"
 INSTANCE = "instance"
 
 
+def _tag_sets(extractors: Mapping[str, list[str]]) -> dict[str, list[str]]:
+    """The tags that each shared part gets: those of its set that no part before it has."""
+    taken, sets = set(), {}
+    for kind, keywords in extractors.items():
+        sets[kind] = [k for k in keywords if k not in taken]
+        taken.update(keywords)
+    return sets
+
+
 def _taken_apart(instances: DataFrame, extractors: Mapping[str, list[str]]) -> DataFrame:
     """Each dataset's own part ``_own`` and the shared ones ``_kind``, beside them the hashes ``_own_hash`` and ``_kind_hash``.
 
@@ -34,9 +43,8 @@ def _taken_apart(instances: DataFrame, extractors: Mapping[str, list[str]]) -> D
     that of its lines.
     """
     taken, codes, parts = set(), [], {}
-    for kind, keywords in extractors.items():
-        mine = [k for k in keywords if k not in taken]
-        taken.update(keywords)
+    for kind, mine in _tag_sets(extractors).items():
+        taken.update(extractors[kind])
         codes.append([tag(k) for k in mine])
         parts[f"_{kind}"] = project(F.col("ds"), mine)
     shared, kept = sorted(taken - set(KEPT_UIDS)), [tag(k) for k in KEPT_UIDS]
@@ -76,6 +84,17 @@ def extracts_of(split: DataFrame) -> DataFrame:
     return once.select(F.lower(F.hex("hash")).alias("hash"), "type", unpacked(F.col("ds")).alias("ds"))
 
 
+def distinct_extracts(instances: DataFrame, extractors: Mapping[str, list[str]] = EXTRACTORS) -> DataFrame:
+    """The same as :func:`extracts_of` the split instances, without their hashes.
+
+    Equal extracts have equal texts, so only the texts travel, and the hash is taken once from each that is left.
+    """
+    parts = [F.struct(F.lit(kind).alias("type"), packed(project(F.col("ds"), mine)).alias("ds")) for kind, mine in _tag_sets(extractors).items()]
+    rows = instances.select(F.explode_outer(F.array(*parts)).alias("p")).select("p.type", "p.ds")
+    once = rows.groupBy("type", "ds").agg(F.count(F.lit(1)).alias("_n")).select("type", unpacked(F.col("ds")).alias("ds"))
+    return once.select(content_hash(F.col("ds")).alias("hash"), "type", "ds")
+
+
 def packed(ds: Column) -> Column:
     """A dataset as JSON text in tag order, the same for equal datasets."""
     return F.to_json(F.map_from_entries(F.sort_array(F.map_entries(ds))))
@@ -114,7 +133,7 @@ def deduplicate(
     kept = [c for c in instances.columns if c != "ds"]
     inst = apart.select(*kept, F.col("_own").alias("ds"), refs.alias("refs"), F.lit(INSTANCE).alias("type"), "_own_hash")
     inst = inst.withColumn("hash", joined_hash(F.col("_own_hash"), F.col("refs"))).drop("_own_hash")
-    return extracts_of(split_extracts(instances, extractors)), inst
+    return distinct_extracts(instances, extractors), inst
 
 
 def merged(own: Column, extracts: list[Column]) -> Column:

@@ -25,6 +25,13 @@ def rows(spark, n=40):
     return table.select(*KEYS, F.when(F.coalesce("sop_uid", F.lit("")) != "1.8.4", ds).alias("ds"))
 
 
+def test_hashes_do_not_travel_with_extracts(spark):
+    one, _ = D.deduplicate(rows(spark))
+    other = D.extracts_of(D.split_extracts(rows(spark)))
+    assert sorted(map(str, one.collect())) == sorted(map(str, other.select(one.columns).collect()))
+    assert "unhex" not in plan_of(one)  # the hash is no key of the groups
+
+
 def test_filter_of_hashes(spark):
     keys = spark.range(1000).select(F.xxhash64("id").alias("key")).union(spark.range(1).select(F.lit(None).cast("long")))
     test = may_be_among(keys)
