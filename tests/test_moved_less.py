@@ -60,3 +60,13 @@ def test_recombination_joins_type_by_type(spark):
     assert "Join" not in plan_of(back)  # what was found of a type is written
     missing = {r.sop_uid: r.missing_refs for r in back.collect()}
     assert missing.pop("1.8.7") == 2 and missing.pop("1.8.8") == 0 and set(missing.values()) == {1}
+
+
+def test_rows_are_split_where_they_lie(spark):
+    full = rows(spark).where("ds IS NOT NULL")
+    hot = full.groupBy("study_uid").agg(F.lit(2).alias("slices"))
+    split = D.split_extracts(S.by_cell(full, 4, hot))
+    assert plan_of(split).index("sha2") < plan_of(split).index("Exchange")  # upper nodes come first
+    one, other = S.write_store(split, 4, placed=True), S.write_store(D.split_extracts(full), 4, hot)
+    for a, b in ((one.refs, other.refs), (one.extracts, other.extracts)):
+        assert sorted(map(str, a.select(b.columns).collect())) == sorted(map(str, b.collect()))
