@@ -13,7 +13,7 @@ from scanloom.operators import stored as S
 from scanloom.operators import summaries as U
 from scanloom.plans import view as V
 from scanloom.plans.registry import query, table
-from scanloom.session import drop_shuffles, new_folder, release, settle
+from scanloom.session import drop_shuffles, new_folder, release, settle, settle_bucketed
 
 KEYS = ["study_uid", "series_uid", "sop_uid"]
 
@@ -174,7 +174,10 @@ SELECT study_uid, count(*) AS n_instances, {sql_set_hash("hash")} AS info_hash,
        count(DISTINCT image) AS n_image FROM refs GROUP BY study_uid""")
 def dedup_stats(spark, folder):
     _, inst = D.deduplicate(datasets(spark, folder))
-    inst = settle(inst.select("study_uid", "refs", "hash"), "zstd")
+    # Rows come from the join by study and stay where they are, so what is counted per study is not moved again.
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    inst = settle_bucketed(inst.select("study_uid", "refs", "hash"), ["study_uid"], buckets, placed=True)
+    drop_shuffles(spark)
     return D.dedup_stats(D.extracts_used(inst), inst)
 
 

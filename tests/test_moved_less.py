@@ -51,6 +51,10 @@ def test_instances_without_replaced_references_are_not_moved(spark):
     assert {(r.k, r.l): r.refs for r in out.collect()} == {(1, "a"): ["x1", "y"], (2, "b"): ["z"], (3, "c"): None, (4, "d"): [], (None, "e"): ["x"], (5, "f"): ["y", "y3"]}
 
 
+def test_counts_per_study_stay_in_their_buckets(spark, sf):
+    assert "Exchange hashpartitioning" not in plan_of(catalog.QUERIES["dedup_stats"](spark, sf))
+
+
 def test_recombination_joins_type_by_type(spark):
     split = D.split_extracts(rows(spark).where("sop_uid IS NOT NULL AND ds IS NOT NULL"))
     inst, extracts = D.references_of(split), D.extracts_of(split)
