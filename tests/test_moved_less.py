@@ -55,6 +55,15 @@ def test_counts_per_study_stay_in_their_buckets(spark, sf):
     assert "Exchange hashpartitioning" not in plan_of(catalog.QUERIES["dedup_stats"](spark, sf))
 
 
+def test_documents_are_made_inside_buckets(spark, sf, monkeypatch):
+    plans = []
+    monkeypatch.setattr(U, "write_documents", lambda docs, path, f=U.write_documents: (plans.append(plan_of(docs)), f(docs, path))[1])
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition", "true")
+    assert catalog.QUERIES["archive_documents"](spark, sf).count() > 0
+    assert "Exchange hashpartitioning" not in plans[0]
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition", "true") == before
+
+
 def test_recombination_joins_type_by_type(spark):
     split = D.split_extracts(rows(spark).where("sop_uid IS NOT NULL AND ds IS NOT NULL"))
     inst, extracts = D.references_of(split), D.extracts_of(split)
